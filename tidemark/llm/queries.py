@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op10_quality": quality.op10_quality,
 }
-SQL = {"op6_mixing": mixing.OP6_SQL}
+SQL = {"op6_mixing": mixing.OP6_SQL, "op10_quality": quality.OP10_SQL}

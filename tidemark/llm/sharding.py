@@ -21,7 +21,7 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 BLOCKS = 2048
 #: Bytes that a row is charged besides its text.
 ROW_BYTES = 16
-ROWS_PER_FILE = 200_000
+ROWS_PER_FILE = 20_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], price=None) -> dict[tuple[int, int], int]:
