@@ -9,13 +9,15 @@ words and beginnings of words; the model is linear, trained in numpy on a bounde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .words import map_texts, mixed, small_batches, span_hash, split
+from .common import saved, table
+from .words import map_texts, mixed, pieces, small_batches, span_hash, split
 
 BUCKETS = 1 << 20
 #: Bytes of a word's beginnings that are features beside the word, so that inflected forms share evidence.
@@ -24,7 +26,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 12000
 #: Buckets that the model may use: those whose presence differs most between the two samples.
 FEATURES = 2000
-LEAST_Z, LEAST_FEATURES = 4.5, 60
+LEAST_Z, LEAST_FEATURES, LEAST_TEXTS = 4.5, 60, 5
 EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.05, 1e-3
 #: The decision threshold lies where the predicted share of unlabelled texts is within these multiples of the prior.
 NEAR_PRIOR = (1.15, 0.8)
@@ -51,16 +53,31 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(docs), (np.concatenate(keys) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _buckets(data: np.ndarray, offsets: np.ndarray) -> dict:
-    """The distinct buckets of each document, case ignored."""
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many positive and unlabelled texts hold each bucket, one sum for each piece of text."""
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        for a, b, data, offsets in pieces(batch.column("body"), lower=True):
+            doc, bucket = _parts(data, offsets)
+            key = np.unique(doc * BUCKETS + bucket)
+            positive = kinds[a:b][key // BUCKETS] == 1
+            found, at = np.unique(key % BUCKETS, return_inverse=True)
+            p = np.bincount(at[positive], minlength=len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(p), pa.array(np.bincount(at, minlength=len(found)) - p)], names=["bucket", "p", "u"])
+
+
+def _known(chosen: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, index in chosen) of the chosen buckets in each document, each once, by document."""
     doc, bucket = _parts(data, offsets)
-    key = np.unique(doc * BUCKETS + bucket)
-    doc = key // BUCKETS
-    return {"buckets": pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32), pa.array((key % BUCKETS).astype(np.int32)))}
+    known = np.zeros(BUCKETS, bool)
+    known[chosen] = True
+    hit = known[bucket]
+    key = np.unique(doc[hit] * BUCKETS + bucket[hit])
+    return key // BUCKETS, np.searchsorted(chosen, key % BUCKETS)
 
 
 class _Bags:
-    """Documents as sorted bucket lists in one flat array."""
+    """Documents as lists of features in one flat array."""
 
     def __init__(self, lists: list) -> None:
         self.flat = np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)])
@@ -69,17 +86,6 @@ class _Bags:
     def __len__(self) -> int:
         return len(self.ends) - 1
 
-    def presence(self) -> np.ndarray:
-        return np.bincount(self.flat, minlength=BUCKETS)
-
-    def only(self, column: np.ndarray) -> "_Bags":
-        """With buckets renamed to column[bucket]; those at -1 are left out."""
-        out = _Bags([])
-        new = column[self.flat]
-        keep = new >= 0
-        out.flat, out.ends = new[keep], np.concatenate([[0], np.cumsum(keep)])[self.ends]
-        return out
-
     def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row in the batch, feature) of every entry of the documents `which`."""
         n = self.ends[which + 1] - self.ends[which]
@@ -91,22 +97,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(positive: _Bags, unlabelled: _Bags, prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias) of the linear classifier with the least non-negative PU risk, logistic loss."""
-    p, u = positive.presence() + 0.5, unlabelled.presence() + 0.5
-    a, b = p / (len(positive) + 1), u / (len(unlabelled) + 1)
-    # Two-proportion z statistic.
-    z = (a - b) / np.sqrt(a * (1 - a) / (len(positive) + 1) + b * (1 - b) / (len(unlabelled) + 1))
-    z[positive.presence() + unlabelled.presence() < 5] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    clear = np.abs(z[chosen]) >= LEAST_Z
-    clear[:LEAST_FEATURES] |= z[chosen[:LEAST_FEATURES]] > 0
-    chosen = chosen[clear]
-    column = np.full(BUCKETS, -1)
-    column[chosen] = np.arange(len(chosen))
-    pos, unl = positive.only(column), unlabelled.only(column)
-    w, bias = np.zeros(len(chosen)), 0.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+def choose(counts: DataFrame, n_positive: int, n_unlabelled: int) -> np.ndarray:
+    """The buckets, ascending, whose shares of positive and of unlabelled texts differ most; counts: bucket, p, u.
+
+    By the two-proportion z statistic; buckets in fewer than LEAST_TEXTS texts are left out.
+    """
+    a, b = ((F.col(c) + 0.5) / (n + 1) for c, n in (("p", n_positive), ("u", n_unlabelled)))
+    z = (a - b) / F.sqrt(a * (1 - a) / (n_positive + 1) + b * (1 - b) / (n_unlabelled + 1))
+    rows = counts.where(F.col("p") + F.col("u") >= LEAST_TEXTS).withColumn("z", z).orderBy(F.abs("z").desc(), "bucket").limit(FEATURES).select("bucket", "z").collect()
+    return np.sort(np.array([r.bucket for k, r in enumerate(rows) if abs(r.z) >= LEAST_Z or (k < LEAST_FEATURES and r.z > 0)], np.int64))
+
+
+def fit_nnpu(pos: _Bags, unl: _Bags, features: int, prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(weight of each feature, bias) of the linear classifier with the least non-negative PU risk, logistic loss."""
+    w, bias = np.zeros(features), 0.0
+    m, v = np.zeros(features + 1), np.zeros(features + 1)
     rng, step = np.random.default_rng(seed), 0
     for _ in range(EPOCHS if len(pos) and len(unl) else 0):
         order = rng.permutation(len(unl))
@@ -128,11 +133,9 @@ def fit_nnpu(positive: _Bags, unlabelled: _Bags, prior: float, seed: int = 7) ->
             move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w -= move[:-1]
             bias -= move[-1]
-    if len(chosen) and len(pos):
+    if features and len(pos):
         bias += _threshold(np.bincount(np.repeat(np.arange(len(unl)), np.diff(unl.ends)), w[unl.flat], len(unl)) + bias, prior)
-    full = np.zeros(BUCKETS)
-    full[chosen] = w
-    return full, bias
+    return w, bias
 
 
 def _threshold(z: np.ndarray, prior: float) -> float:
@@ -148,8 +151,8 @@ def _threshold(z: np.ndarray, prior: float) -> float:
     return -float(z[k] + z[k + 1]) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """Fits on rows of the training folds. The class prior is the toxic share of all labelled training rows.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """(chosen buckets, ascending, their weights, bias), fitted on rows of the training folds. The class prior is the toxic share of all labelled training rows.
 
     Labels that contradict each other for one id count as toxic. Without a toxic training row,
     or without documents, the model is all zeros with a bias that scores everything as clean.
@@ -163,28 +166,31 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     unlabelled = docs.select(F.col(id_col).alias("id")).where("id is not null").where(key % FOLDS != 0).orderBy(spread, "id").limit(MOST_UNLABELLED).select("id", F.lit(0).alias("kind")).distinct()
     # Bounded by the two parameters.
     ids = spark.createDataFrame([tuple(r) for r in positive.unionByName(unlabelled).collect()], "id long, kind int")
-    small_batches(docs)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(ids), "id")
-    bags = map_texts(texts, "body", _buckets, "buckets array<int>", lower=True).select("kind", "id", "buckets").toPandas().sort_values(["kind", "id"], kind="stable")
-    p, u = (_Bags(list(bags[bags.kind == k].buckets)) for k in (1, 0))
-    if not len(p) or not len(u):
-        return np.zeros(BUCKETS), -5.0
-    return fit_nnpu(p, u, min(max(share, 1e-4), 0.9))
+    texts = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(ids), "id"), "tox-sample")
+    sizes = {r.kind: r["count"] for r in texts.groupBy("kind").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_p or not n_u:
+        return np.zeros(0, np.int64), np.zeros(0), -5.0
+    small_batches(texts)
+    chosen = choose(texts.mapInArrow(_presence, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), n_p, n_u)
+
+    def features(data: np.ndarray, offsets: np.ndarray) -> dict:
+        doc, at = _known(chosen, data, offsets)
+        return {"features": pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32), pa.array(at.astype(np.int32)))}
+
+    # At most FEATURES numbers for each text of the bounded sample.
+    bags = map_texts(texts, "body", features, "features array<int>", lower=True).select("kind", "id", "features").toPandas().sort_values(["kind", "id"], kind="stable")
+    w, bias = fit_nnpu(*(_Bags(list(bags[bags.kind == k].features)) for k in (1, 0)), len(chosen), min(max(share, 1e-4), 0.9))
+    return chosen, w, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text") -> DataFrame:
     """docs with `tox_score`, 0 to 1: every word of every text; null and empty texts score the bias alone."""
-    weights, bias = model
-    used = np.flatnonzero(weights)
-    values = weights[used]
+    chosen, weights, bias = model
 
     def make(data: np.ndarray, offsets: np.ndarray) -> dict:
-        doc, bucket = _parts(data, offsets)
-        known = np.zeros(BUCKETS, bool)
-        known[used] = True
-        hit = known[bucket]
-        key = np.unique(doc[hit] * BUCKETS + bucket[hit])
-        z = np.bincount(key // BUCKETS, values[np.searchsorted(used, key % BUCKETS)], len(offsets) - 1)
+        doc, at = _known(chosen, data, offsets)
+        z = np.bincount(doc, weights[at], len(offsets) - 1) if len(at) else np.zeros(len(offsets) - 1)
         return {"tox_score": _sigmoid(z + bias)}
 
     return map_texts(docs, text_col, make, "tox_score double", lower=True)
