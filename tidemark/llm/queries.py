@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import mixing, quality, sharding, toxicity
+from . import mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_tokens": tokens.op7_tokens,
     "op10_quality": quality.op10_quality,
 }
 SQL = {"op6_mixing": mixing.OP6_SQL, "op10_quality": quality.OP10_SQL}
