@@ -103,7 +103,7 @@ class Writer:
     def __init__(self, folder: str) -> None:
         self.path = f"{folder}/{uuid.uuid4().hex}.ids.zst"
         fs, at = _filesystem(self.path)
-        self.out = fs.open_output_stream(at)
+        self.out = fs.open_output_stream(at, compression=None)
         self.pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
         self.open: list[bytes] = []
         self.size = self.written = 0
