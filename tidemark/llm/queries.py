@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import mixing, quality, sharding, tokens, toxicity
+from . import html, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
