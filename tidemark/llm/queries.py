@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import html, mixing, quality, sharding, tokens, toxicity
+from . import decontam, html, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_tokens": tokens.op7_tokens,
     "op10_quality": quality.op10_quality,

@@ -95,15 +95,26 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed(h[at])
 
 
+def whole_hash(w: Words, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words at each of starts as one shingle."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    h = np.full(len(starts), n, np.uint64)
+    for j in range(n):
+        h = mixed(h ^ w.hash[starts + j] * _STEPS[j + 8])
+    return h
+
+
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every k-word shingle, repeats included; a document of 1 to k - 1 words has one, its whole sequence."""
+    """(document, hash) of every k-word shingle, repeats included, by document; a document of 1 to k - 1 words has one, its whole sequence."""
     at, h = windows(w, k)
     n = np.diff(w.first)
-    doc = np.repeat(np.arange(len(n)), n)[at] if len(at) else at
-    short = np.flatnonzero((n > 0) & (n < k))
-    if len(short):
-        whole = np.array([np.bitwise_xor.reduce(mixed(w.hash[a : a + m] * _STEPS[:m])) + np.uint64(m) for a, m in zip(w.first[short], n[short], strict=True)], np.uint64)
-        doc, h = np.concatenate([doc, short]), np.concatenate([h, mixed(whole)])
+    doc = w.doc[at] if len(at) else at
+    for m in range(1, k):
+        short = np.flatnonzero(n == m)
+        if len(short):
+            doc, h = np.concatenate([doc, short]), np.concatenate([h, whole_hash(w, w.first[short], m)])
+    if (n[n > 0] < k).any():
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
     return doc, h
