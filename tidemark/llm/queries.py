@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import decontam, html, licenses, mixing, quality, sharding, tokens, toxicity
+from . import decontam, html, jaccard, licenses, mixing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontam.op5_decontamination,
