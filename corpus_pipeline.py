@@ -1,29 +1,52 @@
-"""The corpus pipeline: stages applied one after the other, each written as Parquet and reread.
+"""The corpus pipeline: toxicity, near duplicates, benchmark leaks, source mix, shards.
 
-This file is completed stage by stage; see STAGES.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to
+the shared folder and reads again as the next stage's docs. All stages but the last return the
+columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import decontam, jaccard, mixing, sharding, toxicity
 from tidemark.llm.common import scratch
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     return mixing.emit(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus in 40 shards of near equal bytes, read back from the shard files."""
+    """The corpus in 40 shards of near equal bytes, with shard and slot, read back from the shard files."""
     return sharding.rewritten(docs)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
-#: Stages 1 to 3 are a trained model, an exact set join and fingerprints: no SQL gives their rows.
+#: A trained model, an exact set join and fingerprints come first: SQL gives none of their rows.
 ORACLE_SQL = None
 
 

@@ -230,5 +230,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return profile.join(of_class, ["n_shingles", "f", "g"], "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest id; rows with a null id all stay."""
+    joined = join(docs, id_col=id_col, text_col=text_col)
+    stays = joined.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__stays")).distinct()
+    kept = docs.join(stays, docs[id_col] == stays["__stays"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

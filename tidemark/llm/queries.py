@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import decontam, html, jaccard, licenses, mixing, quality, sharding, tokens, toxicity
+from . import decontam, html, jaccard, licenses, mixing, quality, sharding, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontam.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_tokens": tokens.op7_tokens,
+    "op8_substrings": substrings.op8_substrings,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality": quality.op10_quality,
 }

@@ -208,5 +208,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     )
 
 
+def clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns unchanged, that score under 0.5."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    # A column of docs may be called tox_score: inside, columns go by position.
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return score(inner, model, text_col=f"c{docs.columns.index(text_col)}").where("tox_score < 0.5").drop("tox_score").toDF(*docs.columns)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
