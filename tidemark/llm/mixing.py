@@ -59,8 +59,8 @@ def _hex(text, digits: int):
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, copies (and the columns of `carry`).
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows: bool = False) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, copies (and with `rows` the whole row as the struct __row).
 
     Null text: size 0. Null source: a source of its own, last in order. Repeated rows count each
     time; rows equal in id and size are interchangeable. Empty table: no rows. Columns other
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             F.coalesce(F.col(source_col), F.lit("")).alias("g"),
             F.col(source_col).isNull().alias("g_null"),
             size.alias("size"),
-            F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried"),
+            (F.struct(*docs.columns) if rows else F.lit(None).cast("boolean")).alias("__row"),
         )
         # Eight bands an octave.
         .withColumn("band", bits * 8 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0))) % 8)
@@ -94,14 +94,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     counted = placed.withColumn("copies", (F.floor(rate * F.col("k") + offset) - F.floor(rate * (F.col("k") - 1) + offset)).cast("long"))
     return counted.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"carried.{c}").alias(c) for c in carry if c != id_col],
+        (F.col("copies") * F.col("size")).alias("taken"), "copies", *["__row"] * rows,
     )
 
 
 def emit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: every row of docs as many times as the mix takes it, columns unchanged."""
-    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, carry=tuple(docs.columns))
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int"))).alias("__copy"), F.col("copies").alias("__copies")).where("__copies > 0").select(*docs.columns)
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, rows=True).where("copies > 0")
+    return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
