@@ -78,7 +78,7 @@ def test_jaccard_equals_all_pairs(docs, rows):
 
 
 def test_jaccard_refines_wide_keys(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "WIDE", 5)
+    monkeypatch.setattr(jaccard, "WIDE", 5)  # every shared key is wide
     rng = random.Random(5)
     shared = words(rng, 25, 10_000)
     texts = [words(rng, 40, 10_000) + " " + shared for _ in range(60)]

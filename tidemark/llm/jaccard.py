@@ -15,8 +15,9 @@ done in the steps below, each of them a Spark job over keyed rows.
    the classes form a signature tree, whose nodes hold the OR of the token bitmaps, the range of
    set sizes, and a component if there is only one. A dual traversal of the tree prunes node
    pairs of one component, with sizes too far apart, or whose largest possible overlap is too
-   small. Keys with many classes are first refined to tuples of up to DEEPEST hashes, which
-   linked sets share too (fewer than 5 of 32 with 2 in 10**13). What is left is compared exactly.
+   small. Keys under which many components meet (a passage that many texts quote) serve only
+   as tuples of SHARED such keys: a linked pair without another key in common has one of those,
+   by 2. What is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -35,14 +36,17 @@ from .words import map_texts, mixed, pieces, shingles, small_batches, split
 SHINGLE = 5
 #: Linked: 100 * intersection >= 75 * union.
 PERCENT = 75
-PREFIX, KEYS, DEEPEST = 32, 24, 5
+#: Keys of a set, and those that a linked pair shares at least, but for 9 pairs in 10**12.
+PREFIX, SHARED = 24, 3
 BITMAP = 2048
-#: Classes under one key that go to a tree without refining the key.
+#: Components under one key beyond which the key serves only in tuples of SHARED.
 WIDE = 2000
+#: Rounds of comparisons with leaders before the trees.
+ROUNDS = 3
 #: Comparisons of one class that go to one task.
 FOLLOWERS = 500
-#: Rows of roles that are broadcast at most, about 10 MB.
-SMALL = 100_000
+#: Rows of roles that are broadcast at most, about 12 MB.
+SMALL = 500_000
 LEAF, FAN = 16, 8
 
 
@@ -171,23 +175,44 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(wanted, "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "id").mapInArrow(run, "a long, b long")
 
 
-def _refined(classes: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, rep) rows of the keys that hold several components, wide keys refined."""
-    entries = classes.select("rep", "prefix", F.posexplode(F.slice("prefix", 1, KEYS)).alias("pos", "key"))
-    out, depth = None, 1
-    while True:
-        marked = saved(entries.join(component, entries.rep == component.node, "left").select("rep", "prefix", "pos", "key", F.coalesce("component", "rep").alias("component")), "entries")
-        keys = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-        mixed_keys = saved(marked.join(keys, "key"), "mixed-keys")
-        narrow = mixed_keys if depth == DEEPEST else mixed_keys.where(F.col("n") <= WIDE)
-        part = narrow.select("key", "rep", "component")
-        out = part if out is None else out.unionByName(part)
-        wide = mixed_keys.where(F.col("n") > WIDE)
-        if depth == DEEPEST or wide.isEmpty():
-            return out
-        # Tuples in prefix order, so that each set of hashes is met once.
-        entries = wide.select("rep", "prefix", F.col("pos").alias("p"), F.col("key").alias("k"), F.posexplode("prefix").alias("pos", "t")).where("pos > p").select("rep", "prefix", "pos", F.xxhash64("k", "t").alias("key"))
-        depth += 1
+def _labelled(classes: DataFrame, component: DataFrame) -> DataFrame:
+    """classes (rep, n_shingles, prefix) with their present component."""
+    return classes.select("rep", "n_shingles", "prefix").join(component, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "prefix", F.coalesce("component", "rep").alias("component"))
+
+
+def _near(labelled: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each class beside one leader of another component and like size, that with most keys in common."""
+    entries = labelled.select("rep", "n_shingles", "component", F.explode("prefix").alias("key"))
+    rank = F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("leader"), F.col("n_shingles").alias("m"), F.col("component").alias("c"))
+    first = entries.groupBy("key").agg(F.min(rank).alias("l"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "l.leader", "l.m", "l.c")
+    return (
+        entries.join(first, "key")
+        .where((F.col("component") != F.col("c")) & (100 * F.least("n_shingles", "m") >= PERCENT * F.greatest("n_shingles", "m")))
+        .groupBy("rep", "leader")
+        .count()
+        .groupBy("rep")
+        .agg(F.max(F.struct("count", "leader")).alias("best"))
+        .select(F.col("rep").alias("a"), F.col("best.leader").alias("b"))
+    )
+
+
+def _several(entries: DataFrame) -> DataFrame:
+    """Entries (key, rep, component) of the keys that hold several components, with n, the number of entries."""
+    keys = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    return entries.join(keys, "key")
+
+
+def _keyed(labelled: DataFrame) -> DataFrame:
+    """(key, rep, component): what the trees search; keys with many components are taken SHARED at a time."""
+    mixed_keys = saved(_several(labelled.select("rep", "component", F.explode("prefix").alias("key"))), "mixed-keys")
+    wide = mixed_keys.where(F.col("n") > WIDE).groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > WIDE).select("key")
+    narrow = mixed_keys.join(wide, "key", "left_anti").select("key", "rep", "component")
+    of_rep = mixed_keys.join(wide, "key", "left_semi").groupBy("rep", "component").agg(F.sort_array(F.collect_list("key")).alias("t")).where(F.size("t") >= SHARED)
+    at = lambda i: F.col("t")[i]
+    after = lambda i: F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda j: j > i)
+    triples = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(after(i), lambda j: F.transform(after(j), lambda k: F.xxhash64(at(i), at(j), at(k)))))))
+    tuples = of_rep.select("rep", "component", F.explode(triples).alias("key"))
+    return narrow.unionByName(_several(tuples).select("key", "rep", "component"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,25 +230,18 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     classes = saved(member.where("id = rep").dropDuplicates(["rep", "f", "g"]).select("rep", "n_shingles", "prefix", "bitmap"), "classes")
     texts = rows.where("id is not null")
 
-    # Leaders.
-    entries = classes.select("rep", "n_shingles", F.explode(F.slice("prefix", 1, KEYS)).alias("key"))
-    first = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("leader"), F.col("n_shingles").alias("m"))).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l.leader", "l.m")
-    near = (
-        entries.join(first, "key")
-        .where((F.col("rep") != F.col("leader")) & (100 * F.least("n_shingles", "m") >= PERCENT * F.greatest("n_shingles", "m")))
-        .groupBy("rep", "leader")
-        .count()
-        .groupBy("rep")
-        .agg(F.max(F.struct("count", "leader")).alias("best"))
-    )
-    links = saved(verify(texts, near.select(F.col("rep").alias("a"), F.col("best.leader").alias("b"))), "links")
-    component = saved(components(links), "components")
+    # Leaders, a few rounds: what the first leaves apart meets others in the next.
+    links = component = None
+    for seed in range(ROUNDS):
+        near = _near(_labelled(classes, component) if component is not None else classes.withColumn("component", F.col("rep")), seed)
+        more = saved(verify(texts, near), "links")
+        links = more if links is None else links.unionByName(more)
+        component = saved(components(links), "components")
 
     # Trees.
-    keyed = _refined(classes.select("rep", "prefix"), component).join(classes.select("rep", "n_shingles", "bitmap"), "rep")
+    keyed = _keyed(_labelled(classes, component)).join(classes.select("rep", "n_shingles", "bitmap"), "rep")
     candidates = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_search, "a long, b long").distinct()
-    more = saved(verify(texts, candidates), "links")
-    component = components(links.unionByName(more))
+    component = components(links.unionByName(saved(verify(texts, candidates), "links")))
 
     of_class = reps.join(component, reps.rep == component.node, "left").select("n_shingles", "f", "g", F.coalesce("component", "rep").alias("c"))
     # An id that occurs with several texts joins their classes.
