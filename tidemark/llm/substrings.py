@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ LENGTH, GRAM = 200, 40
 WINDOW = LENGTH - GRAM + 1
 #: Distinct contexts of a run, and those aimed at for a range.
 RUN, RANGE = 50_000, 20_000
-#: First bytes of contexts that are drawn for the range bounds.
-SAMPLE = 20_000
+#: Range bounds come from the first bytes of one anchor in DRAWN, of SAMPLE anchors at most.
+DRAWN, SAMPLE = 256, 40_000
+#: Anchors and spans that are broadcast at most, about 32 MB; beyond that texts are shuffled to them.
+SMALL = 4_000_000
 _MOST = np.uint64(2**64 - 1)
 
 
@@ -85,9 +88,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, h, first = anchors(data, offsets)
             first = first.astype(np.int32)
             own = at - np.repeat(offsets[:-1], np.diff(first))
+            few = np.flatnonzero(h % np.uint64(DRAWN) == 0)
+            raw = bytes(data)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(a, b - a) for c in ("id", "print")), pa.ListArray.from_arrays(first, pa.array(own.astype(np.int32))), pa.ListArray.from_arrays(first, pa.array(h.view(np.int64)))],
-                names=["id", "print", "at", "gram"],
+                [*(batch.column(c).slice(a, b - a) for c in ("id", "print")), pa.ListArray.from_arrays(first, pa.array(own.astype(np.int32))), pa.ListArray.from_arrays(first, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(np.searchsorted(few, first).astype(np.int32), pa.array([raw[x : x + GRAM] for x in at[few].tolist()], pa.binary()))],
+                names=["id", "print", "at", "gram", "drawn"],
             )
 
 
@@ -182,6 +187,7 @@ def _runs(bounds: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[bytes, bytes], list] = {}
+        pack = zstandard.ZstdCompressor(level=3).compress
 
         def flush() -> pa.RecordBatch:
             rows, order = [], sorted(known)
@@ -192,7 +198,7 @@ def _runs(bounds: list[bytes]):
                 if own:
                     shared, lengths, rests = front_code([x for x, _ in own])
                     left = b"".join(len(y).to_bytes(2, "little") + y for _, y in own)
-                    rows.append(empty | {"part": part, "run": name, "shared": shared, "lengths": lengths, "rests": rests, "before": left, "keys": b"".join(known[x][0] for x in own), "times": np.array([known[x][1] for x in own], "<u4").tobytes()})
+                    rows.append(empty | {"part": part, "run": name, "shared": pack(shared), "lengths": pack(lengths), "rests": pack(rests), "before": pack(left), "keys": b"".join(known[x][0] for x in own), "times": np.array([known[x][1] for x in own], "<u4").tobytes()})
             known.clear()
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -240,7 +246,8 @@ def repeats(shared: np.ndarray, size: np.ndarray, before: np.ndarray, depth: np.
 
 def _merge_range(rows: pa.Table) -> pa.Table:
     """The runs of a range -> key and spans (first byte, byte after the last, relative to the anchor) of each context with a repeat."""
-    columns = {c: rows[c].to_pylist() for c in ("shared", "lengths", "rests", "before", "keys", "times")}
+    unpack = zstandard.ZstdDecompressor().decompress
+    columns = {c: [unpack(x) if x else b"" for x in rows[c].to_pylist()] for c in ("shared", "lengths", "rests", "before")} | {c: rows[c].to_pylist() for c in ("keys", "times")}
     lefts, times = [], [np.frombuffer(t, "<u4") for t in columns["times"]]
     for raw in columns["before"]:
         own, at = [], 0
@@ -290,6 +297,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names=["id", *out])
 
 
+def _near(side: DataFrame, size: int) -> DataFrame:
+    """side, broadcast if its lists hold SMALL elements at most."""
+    return F.broadcast(side) if size <= SMALL else side
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left, which may split a character).
 
@@ -301,18 +313,18 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs, 500)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body")).withColumn("print", F.xxhash64("id", "body"))
     long = rows.where(F.octet_length("body") >= LENGTH)
-    found = saved(long.mapInArrow(_find, "id long, print long, at array<int>, gram array<bigint>"), "anchors")
+    found = saved(long.mapInArrow(_find, "id long, print long, at array<int>, gram array<bigint>, drawn array<binary>"), "anchors")
     each = found.select("id", "print", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("id", "print", "x.at", "x.gram")
     twice = found.select(F.explode("gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram")
-    wanted = each.join(twice, "gram").groupBy("print", "id").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumnRenamed("id", "same")
-    texts = long.join(wanted, (long["print"] == wanted["print"]) & long["id"].eqNullSafe(wanted["same"])).select("id", long["print"], "at", "body")
-    texts = saved(texts, "repeating-texts")
-
-    # Range bounds from a bounded draw; any bounds are right, these make ranges of like size.
-    total = texts.select(F.sum(F.size("at"))).first()[0] or 0
-    share = min(1.0, SAMPLE / max(total, 1))
-    drawn = texts.select("body", "print", F.explode("at").alias("at")).where(F.pmod(F.xxhash64("print", "at"), F.lit(1_000_000)) < share * 1_000_000)
-    drawn = sorted({bytes(r[0]) for r in drawn.select(F.substring(F.col("body").cast("binary"), F.col("at") + 1, F.lit(GRAM))).limit(2 * SAMPLE).collect()})
+    wanted = saved(each.join(twice, "gram").groupBy("print", "id").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumnRenamed("id", "same"), "repeating-anchors")
+    total = wanted.select(F.sum(F.size("at"))).first()[0] or 0
+    texts = long.join(_near(wanted, total), (long["print"] == wanted["print"]) & long["id"].eqNullSafe(wanted["same"])).select("id", long["print"], "at", "body")
+
+    # Any bounds are right; these make ranges of like size.
+    count = found.select(F.sum(F.size("drawn"))).first()[0] or 0
+    share = min(1.0, SAMPLE / max(count, 1))
+    drawn = found.select("print", F.posexplode("drawn").alias("k", "b")).where(F.pmod(F.xxhash64("print", "k"), F.lit(1_000_000)) < share * 1_000_000).select("b").limit(2 * SAMPLE)
+    drawn = sorted({bytes(r.b) for r in drawn.collect()})
     parts = max(1, -(-total // RANGE))
     bounds = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
 
@@ -321,7 +333,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     placed = coded.where("part is null").select("id", "print", F.explode(F.arrays_zip("at", "key")).alias("x")).select("id", "print", "x.at", "x.key")
     cut = placed.join(spans, "key").select("id", "print", "at", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(F.col("id").alias("same"), "print", (F.col("at") + F.col("x.starts")).alias("s"), (F.col("at") + F.col("x.ends")).alias("e"))
     of_row = cut.distinct().groupBy("print", "same").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select("print", "same", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
-    joined = rows.join(of_row, (rows["print"] == of_row["print"]) & rows["id"].eqNullSafe(of_row["same"]), "left").select("id", "body", "starts", "ends")
+    of_row = saved(of_row, "spans")
+    spread = of_row.select(F.sum(F.size("starts"))).first()[0] or 0
+    joined = rows.join(_near(of_row, spread), (rows["print"] == of_row["print"]) & rows["id"].eqNullSafe(of_row["same"]), "left").select("id", "body", "starts", "ends")
     return joined.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
