@@ -32,11 +32,11 @@ def crossover_sweep(bars: DataFrame, fasts: list[int], slows: list[int], ppy: fl
     Each mean is computed once for all configurations that use it, in one window pass; the
     configurations are then rows of an array, so bars are never joined with the grid.
     """
-    from .timeseries import BY, sma
+    from .timeseries import by, sma
 
     means = {n: f"m{n}" for n in sorted({*fasts, *slows})}
-    base = bars.withColumns({"ret": ratio(F.col("close"), F.lag("close").over(BY)) - 1} | {c: sma(F.col("close"), n) for n, c in means.items()})
-    held = {f"h{f}_{s}": F.lag((F.col(means[f]) > F.col(means[s])).cast("double")).over(BY) for f in fasts for s in slows if f < s}
+    base = bars.withColumns({"ret": ratio(F.col("close"), F.lag("close").over(by())) - 1} | {c: sma(F.col("close"), n) for n, c in means.items()})
+    held = {f"h{f}_{s}": F.lag((F.col(means[f]) > F.col(means[s])).cast("double")).over(by()) for f in fasts for s in slows if f < s}
     rows = base.withColumns(held).where("ret is not null")
     configs = F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(f"h{f}_{s}").alias("held")) for f in fasts for s in slows if f < s])
     each = rows.select("ts", "ret", F.explode(configs).alias("c")).where("c.held is not null").select("ts", F.col("c.fast").alias("fast"), F.col("c.slow").alias("slow"), (F.col("ret") * F.col("c.held")).alias("r"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 
-BY = Window.partitionBy("symbol").orderBy("ts")
+def by() -> Window:
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def last(n: int) -> Window:
     """The current row and the n - 1 before it."""
-    return BY.rowsBetween(-(n - 1), 0)
+    return by().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, of: Column, n: int) -> Column:
@@ -43,17 +44,17 @@ def ema(x: Column, span: int) -> Column:
 
 
 def simple_return(x: Column) -> Column:
-    return ratio(x, F.lag(x).over(BY)) - 1
+    return ratio(x, F.lag(x).over(by())) - 1
 
 
 def true_range(high: Column, low: Column, close: Column) -> Column:
-    before = F.lag(close).over(BY)
+    before = F.lag(close).over(by())
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
-def drawdown(equity: Column, keys: Window = BY) -> Column:
+def drawdown(equity: Column, keys: Window | None = None) -> Column:
     """Share below the highest value so far, 0 or negative."""
-    return ratio(equity, F.max(equity).over(keys.rowsBetween(Window.unboundedPreceding, 0))) - 1
+    return ratio(equity, F.max(equity).over((keys or by()).rowsBetween(Window.unboundedPreceding, 0))) - 1
 
 
 def indicators(bars: DataFrame, *, n: int = 20, rsi_n: int = 14) -> DataFrame:
@@ -62,7 +63,7 @@ def indicators(bars: DataFrame, *, n: int = 20, rsi_n: int = 14) -> DataFrame:
     Two narrow steps, since a window cannot stand inside a window: all share one partitioning.
     """
     close, volume = F.col("close"), F.col("volume")
-    move = close - F.lag(close).over(BY)
+    move = close - F.lag(close).over(by())
     steps = bars.withColumns(
         {
             "ret": simple_return(close),
@@ -72,7 +73,7 @@ def indicators(bars: DataFrame, *, n: int = 20, rsi_n: int = 14) -> DataFrame:
         }
     )
     gain, loss = (F.when(F.count(c).over(last(rsi_n)) == rsi_n, F.avg(c).over(last(rsi_n))) for c in ("__gain", "__loss"))
-    prior = BY.rowsBetween(-n, -1)
+    prior = by().rowsBetween(-n, -1)
     mean_volume, std = sma(volume, n), rolling_std(close, n, population=True)
     return steps.withColumns(
         {
@@ -105,7 +106,7 @@ def streaks(flags: DataFrame, keys: list[str], order: str, flag: str) -> DataFra
 
 def held_direction(score: Column, enter: float, leave: float) -> Column:
     """Long-only hysteresis: 1 from a score above enter until one at or under leave; other scores hold."""
-    return F.coalesce(F.last(F.when(score > enter, 1).when(score <= leave, 0), ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return F.coalesce(F.last(F.when(score > enter, 1).when(score <= leave, 0), ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
 def ewma_variance(returns: DataFrame, *, decay: float = 0.94, seed_rows: int = 20) -> DataFrame:
