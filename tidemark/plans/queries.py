@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import ledger, metrics, risk, sweep, timeseries, trades, trials, xsection
+from ..operators import ledger, metrics, reports, risk, sweep, timeseries, trades, trials, xsection
 from ..sources import bars, coverage
 from ..streaming import barcheck
 
@@ -332,6 +332,78 @@ def s_drift(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(trials.drift(b.where("ts = '2024-01-05'"), b.where("ts = '2024-01-20'")))
 
 
+# Summaries, scanners and reports.
+
+
+def e_bar_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.bar_summary(bars.weekly(spark, sf)))
+
+
+def g_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(timeseries.latest(bars.as_of(reports.volume_scan(bars.hourly(spark, sf)).select("ts", "symbol", "ratio", "signal", "strength"), "2024-01-20 10:00:00")))
+
+
+def g_forward(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.forward_evaluation(reports.volume_scan(bars.hourly(spark, sf)), 5))
+
+
+def lagged(spark: SparkSession, sf: str) -> DataFrame:
+    return returns_of(bars.weekly(spark, sf)).select("ts", "symbol", (-F.col("ret")).alias("score"), "ret")
+
+
+def e_ic_by_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.ic_by_lag(lagged(spark, sf), 4))
+
+
+def e_decay(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.decay_fit(reports.ic_by_lag(lagged(spark, sf), 4).withColumn("mean_ic", F.abs("mean_ic"))))
+
+
+def e_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    past = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-8, -1)
+    b = returns_of(bars.weekly(spark, sf)).withColumn("q", F.col("ret") * F.col("ret"))
+    return tidy(reports.forecast_quality(b.select("symbol", F.col("q").alias("realized"), F.avg("q").over(past).alias("forecast"))))
+
+
+def e_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    past = Window.orderBy("ts").rowsBetween(-7, 0)
+    book = returns_of(bars.weekly(spark, sf)).groupBy("ts").agg(F.avg("ret").alias("ret")).where("ret is not null")
+    return tidy(reports.regimes(book.select("ret", F.stddev_samp("ret").over(past).alias("vol")), "vol", "ret"))
+
+
+def x_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    vols = returns_of(bars.daily(spark, sf)).groupBy("symbol").agg(F.stddev_samp("ret").alias("vol"))
+    return tidy(reports.risk_buckets(vols, 5), 4)
+
+
+def e_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.exposure_report(bars.daily(spark, sf).select(F.col("high").alias("equity"), (F.col("close") - F.col("open")).alias("net")), [0.25, 0.5, 0.9, 1.0, 2.0]))
+
+
+def e_excursion(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.excursion(bars.weekly(spark, sf).select("symbol", "ts", F.col("close").alias("equity_close"), F.col("low").alias("equity_adverse")), ["symbol"]))
+
+
+def e_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    h = returns_of(bars.weekly(spark, sf)).groupBy("symbol").agg(F.lit(0.04).alias("weight"), F.avg(F.col("close") * F.col("volume")).alias("adv"), F.stddev_samp("ret").alias("vol"))
+    return tidy(reports.capacity(h, 0.05, grid=(1e3, 1e6, 4)))
+
+
+def e_active(spark: SparkSession, sf: str) -> DataFrame:
+    w = lambda day: bars.daily(spark, sf).where(F.col("ts") == day).select("symbol", F.col("volume").alias("weight"))
+    return tidy(reports.active_weights(w("2024-01-05"), w("2024-01-20")))
+
+
+def j_asof(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    left = e.where("event_type = 'purchase'").select("key", "ts")
+    return tidy(reports.asof(left, e.where("event_type = 'view'").select("key", "ts", "value"), "value").groupBy("key").agg(F.count("*").alias("n"), F.count("value").alias("matched"), F.sum("value").alias("value")), 4)
+
+
+def p_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.score_distribution(sweep.crossover_sweep(bars.weekly(spark, sf), [4, 8], [12, 26], 52.0), "total", ["fast", "slow"]))
+
+
 # Sweeps, folds and the bar check.
 
 
@@ -374,6 +446,11 @@ FLAT_Z = "case when ret is null then null when coalesce(sd, 0) <= 1e-12 * greate
 XS = f"""xs as (select *, stddev_pop(ret) over w as sd, avg(ret) over w as mu, avg(abs(ret)) over w as ma, quantile_cont(ret, 0.025) over w as q1, quantile_cont(ret, 0.975) over w as q2,
   count(ret) over w as nn, regr_slope(ret, case when ret is not null then volume end) over w as sl, regr_intercept(ret, case when ret is not null then volume end) over w as ic,
   avg(volume) over w as vm, stddev_pop(volume) over w as vs, avg(abs(volume)) over w as va from rets window w as (partition by ts))"""
+SCAN = f"""v as (select *, volume / nullif(case when count(volume) over w = 20 then avg(volume) over w end, 0) as ratio, (close - open) / nullif(open, 0) as step from bars window w as ({W} rows between 19 preceding and current row)),
+sig as (select *, case when ratio > 1.5 and abs(step) > 0.01 and volume >= 1 then case when step > 0 then 'BUY' else 'SELL' end else 'HOLD' end as signal, case when ratio > 1.5 and abs(step) > 0.01 and volume >= 1 then least(ratio / 1.5 / 2, 1) else 0 end as strength from v)"""
+LAGS = f"""lg as ({' union all '.join(f'select {k} as lag, ts, -ret as score, lead(ret, {k}) over ({W}) as fwd from rets' for k in (1, 2, 3, 4))}),
+pl as (select lag, ts, case when stddev_pop(score) * stddev_pop(fwd) > 1e-18 then covar_pop(score, fwd) / (stddev_pop(score) * stddev_pop(fwd)) end as ic from lg where score is not null and fwd is not null group by lag, ts),
+prof as (select lag, count(ic) as n, avg(ic) as mean_ic from pl group by lag)"""
 CC = """kept as (select symbol from rets where ret is not null group by symbol having count(*) >= 100),
 panel as (select ts, symbol, ret from (select *, count(*) over (partition by ts) as k from rets where ret is not null and symbol in (select symbol from kept)) where k = (select count(*) from kept)),
 cov as (select a.symbol as i, b.symbol as j, covar_pop(a.ret, b.ret) as cov, count(*) as n from panel a join panel b on a.ts = b.ts and a.symbol <= b.symbol group by 1, 2)"""
@@ -468,6 +545,22 @@ k as (select fast, slow, ts, avg(ret * held) as x from c where ret is not null a
 select fast, slow, n, {r('total')} as total, {r('sharpe')} as sharpe, row_number() over (order by sharpe desc, fast, slow)::int as rank from z""",
     "p_folds": f"""with {WEEK}, {RETS}, plan as (select k as fold, unnest([{{'segment': 'is', 's': a, 'e': a + interval 364 day}}, {{'segment': 'oos', 's': a + interval 371 day, 'e': a + interval 553 day}}]) as p from (select k::int as k, timestamp '1993-01-04' + to_days((182 * k)::int) as a from range(0, 20) t(k)) where a + interval 553 day <= timestamp '1998-01-05')
 select fold, p.segment as segment, count(*) as n, {r('avg(ret)')} as mean, {r('stddev_samp(ret)')} as std from rets join plan on ts >= p.s and ts < p.e where ret is not null group by fold, p.segment""",
+    "e_bar_summary": f"""with {WEEK}, {RETS}, m as (select *, case when count(close) over a = 10 then avg(close) over a end as m10, case when count(close) over b = 30 then avg(close) over b end as m30, close / nullif(max(close) over (partition by symbol order by ts rows unbounded preceding), 0) - 1 as dd, avg(volume) over v as v5
+  from rets window a as ({W} rows between 9 preceding and current row), b as ({W} rows between 29 preceding and current row), v as ({W} rows between 4 preceding and current row))
+select symbol, count(*) as n, {r('arg_max(close, ts)')} as last_close, {r('arg_max(close, ts) / arg_min(close, ts) - 1')} as period_return, {r('stddev_samp(ret)')} as volatility, arg_max(case when m10 > m30 then 'up' when m10 < m30 then 'down' else 'flat' end, ts) as trend, {r('min(dd)')} as max_drawdown,
+  {r('avg(volume)')} as avg_volume, {r('arg_max(v5, ts) / avg(volume)')} as recent_volume, {r('max(high)')} as high, {r('min(low)')} as low from m group by symbol""",
+    "g_scan": f"with {HOUR}, {SCAN}, l as (select * from sig where ts <= timestamp '2024-01-20 10:00:00' qualify row_number() over (partition by symbol order by ts desc) = 1) select symbol, epoch(ts)::bigint as ts, {r('ratio')} as ratio, signal, {r('strength')} as strength from l",
+    "g_forward": f"with {HOUR}, {SCAN}, f as (select *, case when lead(close) over w is not null then case when signal = 'SELL' then -1 else 1 end * (coalesce(lead(close, 5) over w, last_value(close) over (partition by symbol order by ts rows between current row and 5 following)) / nullif(close, 0) - 1) end as move from sig window w as ({W})) select signal, count(*) as n, {r('avg((move > 0)::int)')} as hit_rate, {r('avg(100 * move)')} as avg_pct from f where signal <> 'HOLD' and move is not null group by signal",
+    "e_ic_by_lag": f"with {WEEK}, {RETS}, {LAGS} select lag, n, {r('mean_ic')} as mean_ic from prof",
+    "e_decay": f"with {WEEK}, {RETS}, {LAGS}, q as (select lag, abs(mean_ic) as m from prof where mean_ic <> 0) select count(*) as lags, {r('regr_slope(ln(m), lag)')} as rate, {r('case when regr_slope(ln(m), lag) < 0 then ln(2) / -regr_slope(ln(m), lag) end')} as half_life, {r('exp(regr_intercept(ln(m), lag))')} as level from q",
+    "e_forecast": f"with {WEEK}, {RETS}, q as (select symbol, ret * ret as y, avg(ret * ret) over ({W} rows between 8 preceding and 1 preceding) as x from rets) select symbol, count(*) as n, {r('regr_intercept(y, x)')} as a, {r('regr_slope(y, x)')} as b, {r('regr_r2(y, x)')} as r2, {r('avg(y / x - ln(y / x) - 1)')} as qlike from q where y > 0 and x > 0 group by symbol",
+    "e_regimes": f"with {WEEK}, {RETS}, book as (select ts, avg(ret) as ret from rets group by ts having avg(ret) is not null), v as (select ret, stddev_samp(ret) over (order by ts rows between 7 preceding and current row) as vol from book), c as (select quantile_cont(vol, 1/3.0::double) as a, quantile_cont(vol, 2/3.0::double) as b from v) select case when vol > b then 'high' when vol > a then 'mid' else 'low' end as regime, count(*) as n, {r('avg(ret)')} as mean, {r('stddev_samp(ret)')} as std from v, c where vol is not null group by 1",
+    "x_buckets": f"with {DAY}, {RETS}, v as (select symbol, stddev_samp(ret) as vol from rets group by symbol having stddev_samp(ret) is not null), k as (select *, ntile(5) over (order by vol, symbol)::int as bucket from v) select bucket, count(*) as n, {r('avg(vol)', 4)} as mean_vol, {r('sum(vol * vol) / sum(sum(vol * vol)) over ()', 4)} as share from k group by bucket",
+    "e_exposure": f"with {DAY}, x as (select abs((close - open) / nullif(high, 0)) as x from bars), c as (select unnest([0.25, 0.5, 0.9, 1.0, 2.0])::double as cap), k as (select cap, count(*) as n, avg((x > cap)::int) as binding from x, c where x is not null group by cap) select cap, n, {r('binding')} as binding, cap = min(cap) filter (where binding = 0) over () as recommended from k",
+    "e_excursion": f"with {WEEK}, d as (select symbol, ts, close, max(close) over (partition by symbol order by ts rows unbounded preceding) as peak, low from bars), e as (select *, low / peak - 1 as d from d) select symbol, {r('min(d)')} as worst, epoch(first(ts order by d, ts))::bigint as worst_ts, {r('arg_max(close / peak - 1, ts)')} as closing from e group by symbol",
+    "e_capacity": f"with {WEEK}, {RETS}, h as (select symbol, 0.04::double as weight, avg(close * volume) as adv, stddev_samp(ret) as vol from rets group by symbol), c as (select unnest([1e3, 1e4, 1e5, 1e6])::double as capital) select {r('capital')} as capital, {r('0.05 - sum(0.1 * vol * sqrt(weight * capital / adv) * weight)')} as net_alpha, 0.05 - sum(0.1 * vol * sqrt(weight * capital / adv) * weight) > 0 as open from h, c where adv > 0 group by capital",
+    "e_active": f"with {DAY}, a as (select symbol, volume / sum(volume) over () as w from bars where ts = timestamp '2024-01-05'), b as (select symbol, volume / sum(volume) over () as w from bars where ts = timestamp '2024-01-20') select coalesce(a.symbol, b.symbol) as symbol, {r('coalesce(a.w, 0) - coalesce(b.w, 0)')} as active from a full join b on a.symbol = b.symbol",
+    "j_asof": f"with l as (select user_id as key, ts from events where event_type = 'purchase'), q as (select user_id as key, ts, value from events where event_type = 'view'), j as (select l.key, l.ts, q.value from l asof left join q on l.key = q.key and l.ts >= q.ts) select key, count(*) as n, count(value) as matched, {r('sum(value)', 4)} as value from j group by key",
     "w_faults": f"with {DAY} select case when day(ts) = 3 then 'inverted_range' when day(ts) = 4 then 'negative_volume' else 'none' end as fault, count(*) as n from bars where open > 0 and high > 0 and low > 0 and close > 0 group by 1 union all select 'non_positive', count(*) from bars where not (open > 0 and high > 0 and low > 0 and close > 0) having count(*) > 0",
 }
 
@@ -477,6 +570,6 @@ QUERIES = {
         a_scan, a_upsert, a_intervals, a_gaps, a_missing, a_vintage, a_status, a_sql, c_indicators, c_latest, c_streaks, c_hysteresis, c_ewma,
         x_scores, x_refine, x_combine, x_top, e_returns, e_drawdown, e_benchmark, e_beta, e_covariance, e_shrunk, e_contributions, e_information, e_ic_summary,
         e_trades, e_exit_reason, e_legs, g_trades, g_barriers, g_excursions, l_positions, l_reconcile, l_outcomes, t_families, t_leaderboard, t_duplicates,
-        t_compare, s_drift, p_sweep, p_folds, p_bootstrap, w_barcheck, w_faults,
+        t_compare, e_bar_summary, g_scan, g_forward, e_ic_by_lag, e_decay, e_forecast, e_regimes, x_buckets, e_exposure, e_excursion, e_capacity, e_active, j_asof, p_distribution, s_drift, p_sweep, p_folds, p_bootstrap, w_barcheck, w_faults,
     )
 }
