@@ -175,14 +175,21 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(wanted, "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "id").mapInArrow(run, "a long, b long")
 
 
-def _labelled(classes: DataFrame, component: DataFrame) -> DataFrame:
-    """classes (rep, n_shingles, prefix) with their present component."""
-    return classes.select("rep", "n_shingles", "prefix").join(component, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "prefix", F.coalesce("component", "rep").alias("component"))
+def _labelled(entries: DataFrame, component: DataFrame | None) -> DataFrame:
+    """entries (key, rep, n_shingles) with the present component of their class."""
+    if component is None:
+        return entries.withColumn("component", F.col("rep"))
+    return entries.join(component, F.col("rep") == F.col("node"), "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
 
 
-def _near(labelled: DataFrame, seed: int) -> DataFrame:
+def _several(entries: DataFrame, of: str) -> DataFrame:
+    """The entries of keys that hold several values of a column, with n, the number of the key's entries."""
+    keys = entries.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    return entries.join(keys, "key")
+
+
+def _near(entries: DataFrame, seed: int) -> DataFrame:
     """(a, b): each class beside one leader of another component and like size, that with most keys in common."""
-    entries = labelled.select("rep", "n_shingles", "component", F.explode("prefix").alias("key"))
     rank = F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("leader"), F.col("n_shingles").alias("m"), F.col("component").alias("c"))
     first = entries.groupBy("key").agg(F.min(rank).alias("l"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "l.leader", "l.m", "l.c")
     return (
@@ -196,23 +203,17 @@ def _near(labelled: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _several(entries: DataFrame) -> DataFrame:
-    """Entries (key, rep, component) of the keys that hold several components, with n, the number of entries."""
-    keys = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    return entries.join(keys, "key")
-
-
-def _keyed(labelled: DataFrame) -> DataFrame:
+def _keyed(entries: DataFrame) -> DataFrame:
     """(key, rep, component): what the trees search; keys with many components are taken SHARED at a time."""
-    mixed_keys = saved(_several(labelled.select("rep", "component", F.explode("prefix").alias("key"))), "mixed-keys")
-    wide = mixed_keys.where(F.col("n") > WIDE).groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > WIDE).select("key")
-    narrow = mixed_keys.join(wide, "key", "left_anti").select("key", "rep", "component")
-    of_rep = mixed_keys.join(wide, "key", "left_semi").groupBy("rep", "component").agg(F.sort_array(F.collect_list("key")).alias("t")).where(F.size("t") >= SHARED)
+    held = saved(_several(entries.select("key", "rep", "component"), "component"), "mixed-keys")
+    wide = held.where(F.col("n") > WIDE).groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > WIDE).select("key")
+    narrow = held.join(wide, "key", "left_anti").select("key", "rep", "component")
+    of_rep = held.join(wide, "key", "left_semi").groupBy("rep", "component").agg(F.sort_array(F.collect_list("key")).alias("t")).where(F.size("t") >= SHARED)
     at = lambda i: F.col("t")[i]
     after = lambda i: F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda j: j > i)
     triples = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(after(i), lambda j: F.transform(after(j), lambda k: F.xxhash64(at(i), at(j), at(k)))))))
     tuples = of_rep.select("rep", "component", F.explode(triples).alias("key"))
-    return narrow.unionByName(_several(tuples).select("key", "rep", "component"))
+    return narrow.unionByName(_several(tuples, "component").select("key", "rep", "component"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,16 +231,18 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     classes = saved(member.where("id = rep").dropDuplicates(["rep", "f", "g"]).select("rep", "n_shingles", "prefix", "bitmap"), "classes")
     texts = rows.where("id is not null")
 
+    # Keys that one class alone has are done with.
+    shared = saved(_several(classes.select("rep", "n_shingles", F.explode("prefix").alias("key")), "rep").select("key", "rep", "n_shingles"), "shared-keys")
+
     # Leaders, a few rounds: what the first leaves apart meets others in the next.
     links = component = None
     for seed in range(ROUNDS):
-        near = _near(_labelled(classes, component) if component is not None else classes.withColumn("component", F.col("rep")), seed)
-        more = saved(verify(texts, near), "links")
+        more = saved(verify(texts, _near(_labelled(shared, component), seed)), "links")
         links = more if links is None else links.unionByName(more)
         component = saved(components(links), "components")
 
     # Trees.
-    keyed = _keyed(_labelled(classes, component)).join(classes.select("rep", "n_shingles", "bitmap"), "rep")
+    keyed = _keyed(_labelled(shared, component)).join(classes.select("rep", "n_shingles", "bitmap"), "rep")
     candidates = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_search, "a long, b long").distinct()
     component = components(links.unionByName(saved(verify(texts, candidates), "links")))
 
