@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import ledger, metrics, risk, sweep, timeseries, trades, trials, xsection
+from tidemark.operators import factors, ledger, metrics, risk, sweep, timeseries, trades, trials, xsection
 from tidemark.plans import queries as market
-from tidemark.sources import bars, coverage
+from tidemark.sources import bars, coverage, ingest
 from tidemark.streaming import barcheck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -193,6 +193,42 @@ def test_barriers_stop_first(spark):
     assert row.reason == "STOP_LOSS" and row.price == 90.0
 
 
+def test_neutralized_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [("2024-01-01", f"s{k}", *map(float, rng.normal(size=3))) for k in range(12)] + [("2024-01-01", "none", 5.0, None, 1.0), ("2024-01-02", "thin", 7.0, 1.0, 1.0)]
+    panel = spark.createDataFrame(rows, "ts string, symbol string, y double, a double, b double").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.symbol: r.residual for r in factors.neutralized(panel, "y", ["a", "b"]).collect()}
+    x, y = np.array([[1, r[3], r[4]] for r in rows[:12]]), np.array([r[2] for r in rows[:12]])
+    want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert [got[f"s{k}"] for k in range(12)] == pytest.approx(want.tolist()) and got["none"] == 5.0 and got["thin"] == 7.0
+
+
+def test_attribution_sums_up(spark):
+    parts = factors.attribution(market.exposed(spark, SF), market.EXPOSURES).collect()
+    assert parts and all(r.systematic + r.factor + r.specific == pytest.approx(r.total) for r in parts)
+
+
+def test_broken_lines_are_counted(spark):
+    lines = spark.createDataFrame([(1, '{"event": "fill", "v": 2, "qty": 3}'), (2, "{oops"), (3, ""), (4, '{"v": 1}'), (5, '{"event": "close", "v": 2}')], "seq long, value string")
+    rows, counts = ingest.parsed(lines, ingest.LEDGER, "event")
+    assert [r.seq for r in rows.orderBy("seq").collect()] == [1, 5] and counts.first() == (2, 2)
+    assert [(r.v, r.n) for r in ingest.versions(rows).collect()] == [(2, 2)]
+    with pytest.raises(Exception, match="nothing"):
+        ingest.holdings(spark.createDataFrame([("a", 0.0)], "symbol string, weight double")).collect()
+    assert ingest.holdings(spark.createDataFrame([(" a",), ("b",)], "symbol string")).collect() == [("A", 0.5), ("B", 0.5)]
+
+
+def test_p_values_and_block_length(spark):
+    rows = [("good" if t else "flat", k, (0.02 if t else 0.0) + 0.01 * ((k * 7919) % 13 - 6)) for t in (0, 1) for k in range(60)]
+    series = spark.createDataFrame(rows, "trial_id string, i long, ret double")
+    good, flat = (series.where(F.col("trial_id") == x).select("i", "ret") for x in ("good", "flat"))
+    assert sweep.null_p_value(good, 99, 3.0).first().p_value < 0.05 < sweep.null_p_value(flat, 99, 3.0).first().p_value
+    assert 0 < sweep.family_p_value(series, 60, 3.0).first().p_value <= 0.1
+    assert 1.0 <= sweep.block_length(good) <= 20.0 and sweep.block_length(good.withColumn("ret", F.lit(0.1))) == 1.0
+
+
 def test_entry_works_without_the_training_data_part(tmp_path):
     """A copy without tidemark/llm and corpus_pipeline.py imports and registers the rest."""
     import shutil

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import FLAT, ratio
 from .metrics import sharpe
 
 
@@ -72,18 +72,68 @@ def overfit_share(scores: DataFrame) -> DataFrame:
     return best.agg(F.avg((F.col("chosen") < F.col("middle")).cast("double")).alias("pbo"), F.count("*").alias("folds"))
 
 
-def stationary_bootstrap(series: DataFrame, samples: int, block: float, seed: int = 0, ppy: float = 252.0) -> DataFrame:
-    """(i, ret), i from 0 -> sample, sharpe of each resample in circular blocks of geometric length.
+def stationary_steps(index: DataFrame, samples: int, block: float, seed: int = 0) -> DataFrame:
+    """(i) from 0 without gaps -> sample, i: circular blocks of geometric length.
 
     A step starts a new block with probability 1 / block; its place follows from the last start,
     so that the indices are a window, not a recursion. Resamples are independent keys.
     """
-    n = series.count()
-    spark = series.sparkSession
+    n = index.count()
     uniform = lambda tag: F.pmod(F.xxhash64("sample", "step", F.lit(tag), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    steps = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("step"))
+    steps = index.sparkSession.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("step"))
     starts = (F.col("step") == 0) | (uniform("new") < 1 / block)
     w = Window.partitionBy("sample").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     placed = steps.withColumn("s", F.last(F.when(starts, F.struct(F.floor(uniform("at") * n).alias("fresh"), F.col("step").alias("since"))), ignorenulls=True).over(w))
-    drawn = placed.select("sample", F.pmod(F.col("s.fresh") + F.col("step") - F.col("s.since"), F.lit(max(n, 1))).alias("i"))
+    return placed.select("sample", F.pmod(F.col("s.fresh") + F.col("step") - F.col("s.since"), F.lit(max(n, 1))).alias("i"))
+
+
+def stationary_bootstrap(series: DataFrame, samples: int, block: float, seed: int = 0, ppy: float = 252.0) -> DataFrame:
+    """(i, ret), i from 0 -> sample, sharpe of each resample."""
+    drawn = stationary_steps(series.select("i"), samples, block, seed)
     return drawn.join(series, "i").groupBy("sample").agg(sharpe(F.col("ret"), ppy).alias("sharpe"), F.count("*").alias("n"))
+
+
+def null_p_value(series: DataFrame, samples: int, block: float, seed: int = 0, ppy: float = 252.0) -> DataFrame:
+    """(i, ret) -> observed Sharpe ratio and the share of resamples of the demeaned series that reach it, counted with the observation itself."""
+    centred = series.select("i", (F.col("ret") - F.avg("ret").over(Window.partitionBy())).alias("ret"))
+    seen = series.agg(sharpe(F.col("ret"), ppy).alias("observed"))
+    drawn = stationary_bootstrap(centred, samples, block, seed, ppy)
+    return drawn.crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.count_if(F.col("sharpe") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def family_p_value(series: DataFrame, samples: int, block: float, seed: int = 0, ppy: float = 252.0) -> DataFrame:
+    """(trial_id, i, ret) on shared steps -> best observed ratio and its p value against the best of each resample.
+
+    All trials of a resample use the same steps, so that their dependence is kept.
+    """
+    w = Window.partitionBy("trial_id")
+    centred = series.select("trial_id", "i", (F.col("ret") - F.avg("ret").over(w)).alias("ret"))
+    best = series.groupBy("trial_id").agg(sharpe(F.col("ret"), ppy).alias("s")).agg(F.max("s").alias("observed"))
+    steps = stationary_steps(series.select("i").distinct(), samples, block, seed)
+    each = steps.join(centred, "i").groupBy("sample", "trial_id").agg(sharpe(F.col("ret"), ppy).alias("s")).groupBy("sample").agg(F.max("s").alias("m"))
+    return each.crossJoin(F.broadcast(best)).groupBy("observed").agg(((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def block_length(series: DataFrame, most_lag: int = 20) -> float:
+    """Mean block length for the stationary bootstrap from the autocovariances (flat-top rule of Politis and White, 2004).
+
+    The autocovariances are one aggregate; the rule over most_lag numbers runs on the driver.
+    """
+    w = Window.orderBy("i")
+    centred = series.select("i", "ret", (F.col("ret") - F.avg("ret").over(Window.partitionBy())).alias("x"))
+    row = centred.select("x", "ret", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, most_lag + 1)]).agg(F.count("*").alias("n"), F.avg(F.col("x") * F.col("x")).alias("c0"), F.avg(F.abs("ret")).alias("level"), *[(F.sum(F.col("x") * F.col(f"l{k}")) / F.count("*")).alias(f"c{k}") for k in range(1, most_lag + 1)]).first()
+    n, c0 = row.n, row.c0
+    if not n or math.sqrt(c0) <= FLAT * max(1.0, row.level):
+        return 1.0
+    rho = [(row[f"c{k}"] or 0.0) / c0 for k in range(1, most_lag + 1)]
+    band = 2 * math.sqrt(math.log10(max(n, 10)) / n)
+    quiet = max(5, int(math.sqrt(math.log10(max(n, 10)))))
+    m = next((k for k in range(most_lag - quiet + 1) if all(abs(x) < band for x in rho[k : k + quiet])), most_lag)
+    reach = min(2 * max(m, 1), most_lag)
+    taper = lambda t: 1.0 if abs(t) <= 0.5 else 2 * (1 - abs(t))
+    weighted = [(k, taper(k / reach) * rho[k - 1] * c0) for k in range(1, reach + 1)]
+    g = 2 * sum(k * x for k, x in weighted)
+    spectrum = c0 + 2 * sum(x for _, x in weighted)
+    if spectrum <= 0 or g == 0:
+        return 1.0
+    return max(1.0, min((2 * g * g / (2 * spectrum * spectrum)) ** (1 / 3) * n ** (1 / 3), 3 * math.sqrt(n), n / 3))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import ledger, metrics, reports, risk, sweep, timeseries, trades, trials, xsection
-from ..sources import bars, coverage
+from ..operators import factors, ledger, metrics, reports, risk, sweep, timeseries, trades, trials, xsection
+from ..sources import bars, coverage, ingest
 from ..streaming import barcheck
 
 DIGITS = 6
@@ -404,6 +404,70 @@ def p_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(reports.score_distribution(sweep.crossover_sweep(bars.weekly(spark, sf), [4, 8], [12, 26], 52.0), "total", ["fast", "slow"]))
 
 
+# Factors, attribution and ingest.
+
+EXPOSURES = ["size", "momentum"]
+
+
+def exposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly returns beside last week's exposures, equal weights, unit betas and the mean return."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    b = with_bench(bars.weekly(spark, sf)).withColumns({"size": F.ln(F.lag("volume").over(w)), "momentum": F.lag("ret").over(w), "weight": (F.right("symbol", F.lit(1)).cast("double") - 3) / 10, "beta": F.lit(1.0)})
+    return b.where("ret is not null and size is not null and momentum is not null")
+
+
+def r_neutral(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows only: a dense solve for each ts; tested against numpy."""
+    return tidy(factors.neutralized(exposed(spark, sf), "ret", EXPOSURES))
+
+
+def r_factor_cov(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(factors.factor_covariance(factors.factor_returns(exposed(spark, sf), EXPOSURES)))
+
+
+def r_specific(spark: SparkSession, sf: str) -> DataFrame:
+    panel = exposed(spark, sf)
+    return tidy(factors.specific_variance(panel, EXPOSURES, factors.factor_returns(panel, EXPOSURES)))
+
+
+def r_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(factors.attribution_report(factors.attribution(exposed(spark, sf), EXPOSURES), 52.0))
+
+
+def r_conditioned(spark: SparkSession, sf: str) -> DataFrame:
+    panel = risk.complete_cases(returns_of(bars.weekly(spark, sf)).select("ts", "symbol", "ret"), 100)
+    return tidy(factors.conditioned(risk.covariance(panel), panel.groupBy("symbol").agg((F.avg(F.col("ret") * F.col("ret")) * 2).alias("variance"))), 8)
+
+
+def r_har(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(factors.har_features(returns_of(bars.weekly(spark, sf))))
+
+
+def a_journal(spark: SparkSession, sf: str) -> DataFrame:
+    """Journal lines made of customers, every 13th one broken, read back with their session's context."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    k = F.col("c_custkey")
+    start = k % 10 == 1
+    line = F.to_json(F.struct(
+        F.when(start, "session_start").otherwise("backtest").alias("tool"), k.cast("string").alias("run_id"), F.floor(k / 10).cast("string").alias("session_id"),
+        F.struct(F.when(start, F.col("c_mktsegment")).alias("strategy")).alias("inputs"), (k % 10).alias("n_trials"),
+    ))
+    rows, _ = ingest.parsed(c.select(k.alias("seq"), F.when(k % 13 == 0, F.lit("{broken")).otherwise(line).alias("value")), ingest.JOURNAL, "tool")
+    return ingest.with_session(rows).select("seq", "session_id", "strategy", F.col("n_trials_in_round").alias("n"))
+
+
+def a_holdings(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit(" s"), "s_nationkey").alias("symbol"), F.abs(F.col("s_acctbal").cast("double")).alias("weight"))
+    return tidy(ingest.holdings(s.groupBy("symbol").agg(F.sum("weight").alias("weight"))))
+
+
+def p_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows only, as p_bootstrap."""
+    book = returns_of(bars.weekly(spark, sf)).groupBy("ts").agg(F.avg("ret").alias("ret")).where("ret is not null")
+    series = book.select((F.row_number().over(Window.orderBy("ts")) - 1).alias("i"), "ret")
+    return tidy(sweep.null_p_value(series, 200, 8.0, ppy=52.0))
+
+
 # Sweeps, folds and the bar check.
 
 
@@ -561,6 +625,10 @@ select symbol, count(*) as n, {r('arg_max(close, ts)')} as last_close, {r('arg_m
     "e_capacity": f"with {WEEK}, {RETS}, h as (select symbol, 0.04::double as weight, avg(close * volume) as adv, stddev_samp(ret) as vol from rets group by symbol), c as (select unnest([1e3, 1e4, 1e5, 1e6])::double as capital) select {r('capital')} as capital, {r('0.05 - sum(0.1 * vol * sqrt(weight * capital / adv) * weight)')} as net_alpha, 0.05 - sum(0.1 * vol * sqrt(weight * capital / adv) * weight) > 0 as open from h, c where adv > 0 group by capital",
     "e_active": f"with {DAY}, a as (select symbol, volume / sum(volume) over () as w from bars where ts = timestamp '2024-01-05'), b as (select symbol, volume / sum(volume) over () as w from bars where ts = timestamp '2024-01-20') select coalesce(a.symbol, b.symbol) as symbol, {r('coalesce(a.w, 0) - coalesce(b.w, 0)')} as active from a full join b on a.symbol = b.symbol",
     "j_asof": f"with l as (select user_id as key, ts from events where event_type = 'purchase'), q as (select user_id as key, ts, value from events where event_type = 'view'), j as (select l.key, l.ts, q.value from l asof left join q on l.key = q.key and l.ts >= q.ts) select key, count(*) as n, count(value) as matched, {r('sum(value)', 4)} as value from j group by key",
+    "r_conditioned": f"with {WEEK}, {RETS}, {CC}, v as (select symbol, 2 * avg(ret * ret) as v from panel group by symbol), k as (select i as symbol, sqrt(v / cov) as k from cov join v on i = symbol where i = j) select i, j, {r('cov * a.k * b.k', 8)} as cov from cov join k a on a.symbol = i join k b on b.symbol = j",
+    "r_har": f"with {WEEK}, {RETS} select epoch(ts)::bigint as ts, symbol, {r('ret * ret')} as d, {r('case when count(ret) over w5 = 5 then avg(ret * ret) over w5 end')} as w, {r('case when count(ret) over w22 = 22 then avg(ret * ret) over w22 end')} as m, {r(f'lead(ret * ret) over ({W})')} as next from rets window w5 as ({W} rows between 4 preceding and current row), w22 as ({W} rows between 21 preceding and current row)",
+    "a_journal": "with l as (select c_custkey as seq, (c_custkey // 10)::varchar as session_id, c_custkey % 10 = 1 as start, c_mktsegment, c_custkey % 10 as n from customer where c_custkey % 13 <> 0), s as (select session_id, first(c_mktsegment order by seq) as strategy from l where start group by session_id) select seq, l.session_id, strategy, greatest(coalesce(n - lag(n) over (partition by l.session_id order by seq), n, 1), 1) as n from l left join s on l.session_id = s.session_id where not start",
+    "a_holdings": f"with g as (select 'S' || s_nationkey as symbol, sum(abs(s_acctbal::double)) as w from supplier group by 1) select symbol, {r('w / sum(w) over ()')} as weight from g",
     "w_faults": f"with {DAY} select case when day(ts) = 3 then 'inverted_range' when day(ts) = 4 then 'negative_volume' else 'none' end as fault, count(*) as n from bars where open > 0 and high > 0 and low > 0 and close > 0 group by 1 union all select 'non_positive', count(*) from bars where not (open > 0 and high > 0 and low > 0 and close > 0) having count(*) > 0",
 }
 
@@ -570,6 +638,6 @@ QUERIES = {
         a_scan, a_upsert, a_intervals, a_gaps, a_missing, a_vintage, a_status, a_sql, c_indicators, c_latest, c_streaks, c_hysteresis, c_ewma,
         x_scores, x_refine, x_combine, x_top, e_returns, e_drawdown, e_benchmark, e_beta, e_covariance, e_shrunk, e_contributions, e_information, e_ic_summary,
         e_trades, e_exit_reason, e_legs, g_trades, g_barriers, g_excursions, l_positions, l_reconcile, l_outcomes, t_families, t_leaderboard, t_duplicates,
-        t_compare, e_bar_summary, g_scan, g_forward, e_ic_by_lag, e_decay, e_forecast, e_regimes, x_buckets, e_exposure, e_excursion, e_capacity, e_active, j_asof, p_distribution, s_drift, p_sweep, p_folds, p_bootstrap, w_barcheck, w_faults,
+        t_compare, e_bar_summary, g_scan, g_forward, e_ic_by_lag, e_decay, e_forecast, e_regimes, x_buckets, e_exposure, e_excursion, e_capacity, e_active, j_asof, p_distribution, s_drift, r_neutral, r_factor_cov, r_specific, r_attribution, r_conditioned, r_har, a_journal, a_holdings, p_null, p_sweep, p_folds, p_bootstrap, w_barcheck, w_faults,
     )
 }
