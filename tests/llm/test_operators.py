@@ -226,7 +226,7 @@ def test_encoder_equals_the_library_on_odd_spaces():
 
     encode = tokens.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
     rng = random.Random(8)
-    texts = ["".join(rng.choice(["a", " ", " ", "\n", "\t", " ", "'s", "12", "é", ".", "<|endoftext|>"]) for _ in range(rng.randrange(20))) for _ in range(400)]
+    texts = ["".join(rng.choice(["a", " ", " ", "\n", "\t", "\0", " ", "'s", "12", "é", ".", "<|endoftext|>"]) for _ in range(rng.randrange(20))) for _ in range(400)]
     for text, ids in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -47,7 +47,7 @@ class Encoder:
     follows or precedes a character other than white space, so texts are cut before such spaces.
     Pieces not met before go to the library in one joined text, and its ids are parted again
     where a token opens with a space. Texts with white space on both sides of a space, or that
-    may hold a special token, are encoded whole.
+    may hold a special token or a NUL, are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -58,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.risky = regex.compile(r"\s \s|<\|").search
+        self.risky = regex.compile(r"\s \s|<\||\0").search
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -83,14 +83,13 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
-        cut = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            cut.append([first, *[" " + x for x in rest]])
-        known = self.known
-        self._learn({x for pieces in cut for x in filterfalse(known.__contains__, pieces)})
+        known, new = self.known, set()
+        cut = [text.replace(" ", "\0 ").split("\0") for text in texts]
+        for pieces in cut:
+            new.update(filterfalse(known.__contains__, pieces))
+        self._learn(new)
         odd = self.odd
-        return [b"".join(map(known.__getitem__, pieces)) if odd.isdisjoint(pieces) or not self.risky(text) else self._ids([text])[0] for pieces, text in zip(cut, texts, strict=True)]
+        return [b"".join(map(known.__getitem__, pieces)) if "\0" not in text and (odd.isdisjoint(pieces) or not self.risky(text)) else self._ids([text])[0] for pieces, text in zip(cut, texts, strict=True)]
 
 
 def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
