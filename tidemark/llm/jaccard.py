@@ -150,7 +150,6 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are linked; docs: id, body. Compared in groups by b, large groups in salted parts."""
-    pairs = saved(pairs, "pairs")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts"))
     followers = pairs.join(parts, "b").select(F.col("a").alias("id"), F.col("b").alias("leader"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     leaders = parts.select(F.col("b").alias("id"), F.col("b").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -237,14 +236,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # Leaders, a few rounds: what the first leaves apart meets others in the next.
     links = component = None
     for seed in range(ROUNDS):
-        more = saved(verify(texts, _near(_labelled(shared, component), seed)), "links")
+        near = saved(_near(_labelled(shared, component), seed), "pairs")
+        if near.isEmpty():
+            break
+        more = saved(verify(texts, near), "links")
         links = more if links is None else links.unionByName(more)
-        component = saved(components(links), "components")
+        if not more.isEmpty():
+            component = saved(components(links), "components")
 
     # Trees.
     keyed = _keyed(_labelled(shared, component)).join(classes.select("rep", "n_shingles", "bitmap"), "rep")
-    candidates = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_search, "a long, b long").distinct()
-    component = components(links.unionByName(saved(verify(texts, candidates), "links")))
+    candidates = saved(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_search, "a long, b long").distinct(), "pairs")
+    more = saved(verify(texts, candidates), "links")
+    if component is None or not more.isEmpty():
+        component = components(more if links is None else links.unionByName(more))
 
     of_class = reps.join(component, reps.rep == component.node, "left").select("n_shingles", "f", "g", F.coalesce("component", "rep").alias("c"))
     # An id that occurs with several texts joins their classes.
