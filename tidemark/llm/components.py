@@ -32,3 +32,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
     # What is left are stars: every node beside its component's smallest.
     return now.groupBy("a").agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct()).withColumnRenamed("a", "node").groupBy("node").agg(F.min("component").alias("component"))
+
+
+def merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b): the links are contracted to pairs of components first, so that parallel ones count once."""
+    if component is None:
+        return components(links)
+    of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    contracted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    up = saved(components(contracted), "components").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = component.join(up, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = up.join(component, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return moved.unionByName(fresh)

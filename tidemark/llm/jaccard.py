@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .components import components
+from .components import merged
 from .words import map_texts, mixed, pieces, shingles, small_batches, split
 
 SHINGLE = 5
@@ -234,22 +234,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     shared = saved(_several(classes.select("rep", "n_shingles", F.explode("prefix").alias("key")), "rep").select("key", "rep", "n_shingles"), "shared-keys")
 
     # Leaders, a few rounds: what the first leaves apart meets others in the next.
-    links = component = None
+    component = None
     for seed in range(ROUNDS):
         near = saved(_near(_labelled(shared, component), seed), "pairs")
         if near.isEmpty():
             break
-        more = saved(verify(texts, near), "links")
-        links = more if links is None else links.unionByName(more)
-        if not more.isEmpty():
-            component = saved(components(links), "components")
+        links = saved(verify(texts, near), "links")
+        if component is None or not links.isEmpty():
+            component = saved(merged(component, links), "components")
 
     # Trees.
     keyed = _keyed(_labelled(shared, component)).join(classes.select("rep", "n_shingles", "bitmap"), "rep")
     candidates = saved(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_search, "a long, b long").distinct(), "pairs")
-    more = saved(verify(texts, candidates), "links")
-    if component is None or not more.isEmpty():
-        component = components(more if links is None else links.unionByName(more))
+    links = saved(verify(texts, candidates), "links")
+    if component is None or not links.isEmpty():
+        component = merged(component, links)
 
     of_class = reps.join(component, reps.rep == component.node, "left").select("n_shingles", "f", "g", F.coalesce("component", "rep").alias("c"))
     # An id that occurs with several texts joins their classes.
