@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -336,6 +337,23 @@ def test_html():
     assert html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_long_attributes():
+    uri = "data:image/png;base64," + "iVBORw0KGgo+/" * 8000
+    text = "A paragraph, with commas, long enough to count as one."
+    for quote in "\"'":
+        page = f"<body><article><p>{text}</p><img alt='it' src={quote}{uri}{quote}><p>{text} <b data-json={quote}{uri}{quote}>Bold</b>.</p><script data-x={quote}{uri}{quote}>var a = '<p>';</script></article></body>"
+        assert html.main_text(page) == f"{text}\n{text} Bold."
+    # Quotes that never close, stray ones, and ones in a script reach no further than their tag.
+    assert html.main_text(f"<article><p title=it's>{text}</p><p>{text}</p></article>") == f"{text}\n{text}"
+    assert html.main_text(f'<article><p title="open>{text}</p><p>{text}</p></article>') == f"{text}\n{text}"
+    assert html.main_text(f"<article><script>w('<a href=\"' + u);</script><p>{text}</p><p id=\"x\">{text}</p></article>") == f"{text}\n{text}"
+    assert html.main_text(f'<article><p>{text}</p><img src="{uri}" <p>{text}</p></article>') == f"{text}\n{text}"
+    began = time.process_time()
+    for odd in ("<a\" =\"", "<a ='\"", "<a x=\"", "<a", "<a x='\" y=\"'", "<a =", "<a b "):
+        html.main_text(odd * 100_000)
+    assert time.process_time() - began < 30
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, None), (2, None, None, None), (None, "v", "", "")], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()

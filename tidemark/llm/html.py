@@ -39,7 +39,10 @@ SIBLING_SHARE = 0.2
 #: A list or table in the kept part goes if it holds so many links and they are most of its text.
 MENU_LINKS, MENU_DENSITY = 3, 0.5
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]{0,8192}"|'[^']{0,8192}')*+)>""", re.S)
+#: A quote opens a value only after '='; a value reaches to its closing quote whatever its length, and without one the tag ends at the next '>'.
+#: One that meets another '<' first ends there, as a tag if it holds a quoted value and else as text, so every match goes on from the end of the last.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+)(>?)""", re.S)
+_QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -83,14 +86,16 @@ def main_text(html: str) -> str:
                 link_chars += len(text)
 
     at, low = 0, None
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    # From `at` each time: what looks like a tag in a skipped script opens none.
+    while m := _TOKEN.search(html, at):
         add(html[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
+        if not m[4] and not _QUOTED.search(m[3]):
+            add(m[0])
+            continue
         name = name.lower()
         if m[1]:
             if name == "a":
