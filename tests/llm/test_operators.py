@@ -354,6 +354,26 @@ def test_html_long_attributes():
     assert time.process_time() - began < 30
 
 
+def test_html_names_and_forms():
+    text = "A paragraph, with commas, long enough to count as one."
+    body = f"<p>{text}</p><p>{text}</p>"
+    for signs in ('style="overflow:hidden"', 'title="The hidden valley"', 'data-x="class=menu hidden"', 'class="overflow-hidden"', 'class="elementor-widget"', 'class="has-sidebar"', 'class="content-sidebar-wrap"'):
+        assert html.main_text(f"<body><div {signs}><div>{body}</div></div><p>Scraps, of which there are more than enough.</p><p>More scraps, of which there are {'very ' * 40} many.</p></body>").startswith(text), signs
+    # A form, or a container with a sign of its own, that holds most of the page is the article; its own small parts with signs still go.
+    for tag in ("form", 'div class="sidebar"', 'div id="main-menu"'):
+        name = tag.split()[0]
+        assert html.main_text(f'<body><{tag}><div>{body * 3}<div class="ad"><p>{text} Buy.</p></div></div></{name}><div><p>Scraps, of which there are few.</p></div></body>') == "\n".join([text] * 6)
+    # So are ten small ones that leave little without them.
+    assert html.main_text("<body><div>" + f'<div class="widget"><p>{text}</p></div>' * 10 + "</div><h1>Title</h1></body>").count(text) == 10
+    # Remarks are not the article however many; what is hidden, a menu or small stays away.
+    for signs in ("hidden", 'hidden="hidden"', "aria-hidden=true", 'role="navigation"', 'class="x comments"', "id=comment-list"):
+        assert html.main_text(f"<body><article>{body}</article><div {signs}>{body * 9}</div></body>") == f"{text}\n{text}", signs
+    for signs in ('class="ad"', 'class="box cookie-notice"', "id=main-nav", 'class="site-header"'):
+        assert html.main_text(f"<body><div>{body * 2}<div {signs}><p>{text} Extra.</p></div></div></body>") == "\n".join([text] * 4), signs
+    assert html.main_text(f'<body><div class="comments">{body}</div></body>') == f"{text}\n{text}"
+    assert html.main_text(f'<body><div class="ad"><p>{text}</p></div><article><h1>Short</h1><p>One.</p></article></body>') == "Short\nOne."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, None), (2, None, None, None), (None, "v", "", "")], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()

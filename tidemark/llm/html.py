@@ -5,7 +5,8 @@ block boundaries. Each run gives points for its length and commas to its ancesto
 the nearest container and less with each level, and a container's points are discounted by the
 share of its text that lies in links. The best container is kept, with siblings that score well
 enough and headings and paragraphs beside it. Elements that are menus, page headers and footers,
-sidebars, notices, adverts, forms, code or comments by tag, role, class or id take no part.
+sidebars, notices, adverts, forms, code or comments by tag, role, class or id take no part, but a
+form or one with such a class or id does if it holds most of the page or little is left without.
 """
 
 from __future__ import annotations
@@ -31,7 +32,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element, up to the nearest of the elements that hold it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|remark|replies|responses|rss|share|sharing|shoutbox|sidebar|signup|site-?header|skyscraper|social|sponsor\w*|subscribe|tags|toolbar|topbar|widgets?)(?:$|[\s_-])", re.I)
+#: A class or id counts as a whole name: each of its parts is one of these words or a word that only says where or what shape, so has-sidebar and overflow-hidden don't count.
+_REMARKS = r"comments?|commentlist|disqus|remarks?|replies|responses|shoutbox"
+_UNLIKELY = r"ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|rss|share|sharing|sidebar|signup|siteheader|skyscraper|social|sponsor\w*|subscribe|tags|toolbar|topbar|widgets?"
+_NEUTRAL = r"\d+|site|main|page|post|posts|entry|article|blog|top|bottom|left|right|primary|secondary|global|header|list|items?|bar|box|wrap|wrapper|container|inner|outer|area|section|block|body|text|title|count|holder|panel|overlay|slot|unit|form|buttons?|links?|icons?"
+UNLIKELY = re.compile(rf"(?:(?:{_NEUTRAL})[_-]+)*(?:{_UNLIKELY}|{_REMARKS}|site-header)(?:[_-]+(?:{_NEUTRAL}|{_UNLIKELY}|{_REMARKS}))*", re.I)
+REMARKS = re.compile(rf"(?:^|[_-])(?:{_REMARKS})(?:$|[_-])", re.I)
+#: What an element's own sign says: nothing; a name or a form, which may still be the article; remarks of readers; no part of it.
+ALIVE, DOUBTFUL, REMARK, DEAD = range(4)
+#: Doubtful elements compete if one holds more of a page's points than this, or all others together hold less than that share; and some paragraphs' worth, where other text is left.
+MOST, LITTLE, LEAST_POINTS = 0.5, 0.25, 8
 #: Points: a run's share goes to ancestors by level; runs shorter than this give none.
 LEVELS = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 LEAST_RUN = 25
@@ -43,33 +53,51 @@ MENU_LINKS, MENU_DENSITY = 3, 0.5
 #: One that meets another '<' first ends there, as a tag if it holds a quoted value and else as text, so every match goes on from the end of the last.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+)(>?)""", re.S)
 _QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 
 
-def _unlikely(attributes: str) -> bool:
+def _sign(attributes: str) -> int:
+    """What role, class, id and hidden of an element say, by name and value; of attributes with the same name the first counts."""
+    own: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "role" and value.lower() in ROLES or name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id") and UNLIKELY.search(value):
-            return True
-    return False
+        own.setdefault(name.lower(), a or b or c)
+    role = own.get("role", "").strip().lower()
+    if "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").lower() == "true" or role in ROLES and role != "form":
+        return DEAD
+    names = [n for n in (own.get("class", "") + " " + own.get("id", "")).split() if UNLIKELY.fullmatch(n)]
+    return REMARK if any(REMARKS.search(n) for n in names) else DOUBTFUL if names or role == "form" else ALIVE
+
+
+def _points(text: str, link: int) -> float:
+    return (1 + text.count(",") + len(text) / 100) * (1 - link / len(text))
 
 
 def main_text(html: str) -> str:
     """The main text: blocks in page order joined by a line feed, white space in a block made one space.
 
     Broken markup is read as it stands: tags that are never closed end with their parent, and a
-    '<' that opens no tag is text. A page without any text run gives an empty string.
+    '<' that opens no tag is text. A page without any text run gives an empty string. If doubtful
+    elements hold most of the page, or little is left without them, it is read again with them.
     """
-    tag, parent, dead = ["#root"], [-1], [False]
+    text, spared = _read(html, frozenset())
+    return _read(html, spared)[0] if spared else text
+
+
+def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
+    """(main text, elements to be spared), where the signs of the elements in `spared` don't count."""
+    tag, parent, dead, sign = ["#root"], [-1], [ALIVE], [ALIVE]
     size, linked, links = [0], [0], [0]
     runs: list[tuple[int, str, int]] = []
+    lost: list[tuple[int, str, int]] = []
     stack, buffer, in_link, link_chars = [0], [], 0, 0
+    gone: list[str] = []
+    gone_node, gone_links = 0, 0
 
     def owner() -> int:
         return next(n for n in reversed(stack) if tag[n] in BLOCKS or n == 0)
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, gone_links
         if buffer:
             text = "".join(buffer)
             text = " ".join((unescape(text) if "&" in text else text).split())
@@ -77,13 +105,29 @@ def main_text(html: str) -> str:
                 runs.append((owner(), text, min(link_chars, len(text))))
             buffer.clear()
         link_chars = 0
+        if gone:
+            text = " ".join("".join(gone).split())
+            if text:
+                node = owner()
+                lost.append((node if dead[node] else gone_node, text, min(gone_links, len(text))))
+            gone.clear()
+        gone_links = 0
 
     def add(text: str) -> None:
-        nonlocal link_chars
-        if text and not dead[stack[-1]]:
+        nonlocal link_chars, gone_node, gone_links
+        if not text:
+            return
+        state = dead[stack[-1]]
+        if not state:
             buffer.append(text)
             if in_link:
                 link_chars += len(text)
+        elif state != DEAD and not spared:
+            if not gone:
+                gone_node = stack[-1]
+            gone.append(text)
+            if in_link:
+                gone_links += len(text)
 
     at, low = 0, None
     # From `at` each time: what looks like a tag in a skipped script opens none.
@@ -142,7 +186,11 @@ def main_text(html: str) -> str:
         inside = name == "header" and not any(tag[n] in ("article", "main") for n in stack)
         tag.append(name)
         parent.append(up)
-        dead.append(dead[up] or name in SKIPPED or inside or (bool(m[3]) and name not in ("html", "body", "article", "main", "p", "a") and _unlikely(m[3])))
+        own = DEAD if name in SKIPPED and name != "form" or inside else _sign(m[3]) if m[3] and name not in ("html", "body", "article", "main", "p", "a") else ALIVE
+        if name == "form":
+            own = max(own, DOUBTFUL)
+        sign.append(own)
+        dead.append(max(dead[up], ALIVE if node in spared else own))
         size.append(0), linked.append(0), links.append(0)
         if name == "a":
             in_link += 1
@@ -151,14 +199,16 @@ def main_text(html: str) -> str:
             stack.append(node)
     add(html[at:])
     flush()
+    if lost and (found := _doubted(parent, sign, dead, runs, lost)):
+        return "", found
     if not runs:
-        return ""
+        return "", frozenset()
 
     score = [0.0] * len(tag)
     for least in (LEAST_RUN, 1):
         for node, text, link in runs:
             if len(text) >= least:
-                points = (1 + text.count(",") + len(text) / 100) * (1 - link / len(text))
+                points = _points(text, link)
                 up = parent[node] if tag[node] not in CONTAINERS and node else node
                 for share in LEVELS:
                     while up > 0 and tag[up] not in CONTAINERS:
@@ -190,7 +240,28 @@ def main_text(html: str) -> str:
             kept[node] |= final[node] >= SIBLING_SHARE * final[best] or tag[node] in HEADINGS and node < best or tag[node] == "p" and size[node] > 0 and density[node] < 0.25
         if kept[up] and not (tag[node] in ("ul", "ol", "table", "div", "dl") and links[node] >= MENU_LINKS and density[node] > MENU_DENSITY):
             kept[node] = True
-    return "\n".join(text for node, text, _ in runs if kept[node])
+    return "\n".join(text for node, text, _ in runs if kept[node]), frozenset()
+
+
+def _doubted(parent: list[int], sign: list[int], dead: list[int], runs: list[tuple[int, str, int]], lost: list[tuple[int, str, int]]) -> frozenset[int]:
+    """The elements whose own sign is to be spared: of doubtful ones those that hold most points of the page, or all where the rest holds little; of remarks only where nothing else has points."""
+    left = sum(_points(text, link) for _, text, link in runs if len(text) >= LEAST_RUN)
+    for kind in (DOUBTFUL, REMARK):
+        held = [0.0] * len(parent)
+        for node, text, link in lost:
+            if dead[node] == kind and len(text) >= LEAST_RUN:
+                held[node] += _points(text, link)
+        for node in range(len(parent) - 1, 0, -1):
+            held[parent[node]] += held[node]
+        total = left + held[0]
+        marked = [n for n in range(1, len(parent)) if ALIVE < sign[n] <= kind and held[n] > 0]
+        least = LEAST_POINTS if runs else 0
+        most = [n for n in marked if held[n] > MOST * total and held[n] >= least]
+        if kind == REMARK:
+            return frozenset(marked if not left else ())
+        if most or held[0] and held[0] >= least and left < LITTLE * total:
+            return frozenset(most or marked)
+    return frozenset()
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
