@@ -304,6 +304,30 @@ def test_decontamination_equals_all_windows(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {k for k, _ in want}
 
 
+def test_decontamination_finds_shortened_copies(spark):
+    rng = random.Random(11)
+    items = [words(rng, n, 5000).split() for n in (5, 8, 15, 30, 59, 59)]
+    texts = [w[a : len(w) - b] for w in items for a in range(4) for b in range(0, 16, 3) if len(w) > a + b]
+    texts += [[*w[:20], *w[22:]] for w in items] + [["other", *w[2:-2]] for w in items] + [["x"] * 9 + w[:-3] for w in items]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in decontam.leaks(docs, benchmark).collect()}
+
+    def weights(w):
+        return collections.Counter([tuple(w)] if len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+    want = {}
+    for k, w in enumerate(texts):
+        for i, item in enumerate(items):
+            n, y = min(len(w), len(item)), weights(item)
+            best = max(sum((x & y).values()) / sum((x | y).values()) for x in (weights(w[a : a + n]) for a in range(len(w) - n + 1)))
+            if best >= 0.75:
+                want[k, i] = (best, n)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert sum(len(texts[k]) < len(items[i]) for k, i in want) >= 20
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == set(range(len(texts))) - {k for k, _ in want}
+
+
 def test_multi_index_finds_all_within_radius():
     items = decontam.Items([1, 2], ["a b c d e f g", "h i j k l m n"])
     rng = np.random.default_rng(0)

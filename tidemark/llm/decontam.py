@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
-Every document is read in windows of each benchmark item's own length. A window's SimHash is
+Every document is read in windows of each benchmark item's own length, one shorter than the item
+as one window, whole. A window's SimHash is
 compared with the items' through a multi-index: the fingerprint is cut into blocks, and two
 fingerprints within RADIUS bits differ in some block by RADIUS / BLOCKS bits at most, so a table
 of each block's near values finds all of them. Candidates are verified by the exact similarity
@@ -85,7 +86,7 @@ def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
         return []
     w = split(data, offsets)
     at, h = windows(w, SHINGLE)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     hit = items.low[h & np.uint64(len(items.low) - 1)]
     some = np.flatnonzero(hit)
     hit[some] = items.all[np.minimum(np.searchsorted(items.all, h[some]), len(items.all) - 1)] == h[some]
@@ -106,32 +107,34 @@ def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
             hits_to = np.concatenate([[0], np.cumsum(own_hit)])
             for n in items.lengths:
                 m = int(n) - SHINGLE + 1
-                if m < 1 or m > len(own):
+                if m < 1:
                     continue
-                # At SIMILARITY or more, two windows of m shingles share 2 * SIMILARITY / (1 + SIMILARITY) of them.
-                starts = np.flatnonzero(hits_to[m:] - hits_to[: len(hits_to) - m] >= 2 * SIMILARITY / (1 + SIMILARITY) * m - 1e-9)
+                # A stretch is shorter than the longest item only if it is the whole document.
+                size = min(m, len(own))
+                # At SIMILARITY or more, windows of size and m shingles share SIMILARITY / (1 + SIMILARITY) of their sum.
+                starts = np.flatnonzero(hits_to[size:] - hits_to[: len(hits_to) - size] >= SIMILARITY / (1 + SIMILARITY) * (size + m) - 1e-9)
                 if not len(starts):
                     continue
-                prints = _fingerprints(sums[starts + m] - sums[starts])
+                prints = _fingerprints(sums[starts + size] - sums[starts])
                 flags = np.zeros((len(starts), items.near().shape[2]), np.uint8)
                 for k in range(BLOCKS):
                     flags |= items.near()[k, prints[:, k]]
                 row, item = np.nonzero(np.unpackbits(flags, axis=1)[:, : len(items.ids)] & (items.words == n))
                 distance = np.bitwise_count(prints[row] ^ items.prints[item]).sum(axis=1)
                 for r, i in zip(row[distance <= RADIUS].tolist(), item[distance <= RADIUS].tolist(), strict=True):
-                    found, times = np.unique(own[starts[r] : starts[r] + m], return_counts=True)
+                    found, times = np.unique(own[starts[r] : starts[r] + size], return_counts=True)
                     _, x, y = np.intersect1d(found, items.weights[i][0], assume_unique=True, return_indices=True)
                     least = int(np.minimum(times[x], items.weights[i][1][y]).sum())
-                    similarity = least / (2 * m - least)
-                    if similarity >= SIMILARITY and similarity > best.get((int(d), i), (0.0, 0))[0]:
-                        best[int(d), i] = (similarity, a + int(starts[r]) - first)
+                    similarity = least / (size + m - least)
+                    if similarity >= SIMILARITY and similarity > best.get((int(d), i), (0.0, 0, 0))[0]:
+                        best[int(d), i] = (similarity, a + int(starts[r]) - first, size + SHINGLE - 1)
     # Items shorter than a shingle are one shingle, their whole sequence.
     for n in items.lengths[items.lengths < SHINGLE]:
         starts, _ = windows(w, int(n))
         for i in np.flatnonzero(items.words == n):
             for s in starts[whole_hash(w, starts, int(n)) == items.weights[i][0][0]][::-1]:
-                best[int(of_word[s]), int(i)] = (1.0, int(s - w.first[of_word[s]]))
-    return [(d, i, similarity, start, int(items.words[i])) for (d, i), (similarity, start) in sorted(best.items())]
+                best[int(of_word[s]), int(i)] = (1.0, int(s - w.first[of_word[s]]), int(n))
+    return [(d, i, similarity, start, size) for (d, i), (similarity, start, size) in sorted(best.items())]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
