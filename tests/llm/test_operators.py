@@ -347,6 +347,33 @@ def test_licenses(spark):
     assert got == {(4, "MIT"): 1.0, (None, "MIT"): 1.0, (5, "Apache-2.0"): 1.0, (6, "Apache-2.0"): 1.0, (7, "Apache-2.0"): 1.0}
 
 
+def test_licenses_tell_siblings_apart(spark):
+    notice = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    clauses = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    name = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING'
+    cases = {
+        notice.format(";", "", 2): "GPL-2.0-or-later",
+        notice.format(":", "", 3): "GPL-3.0-or-later",
+        notice.format(":", "Affero ", 3): "AGPL-3.0-or-later",
+        notice.format(";", "Lesser ", "2.1"): "LGPL-2.1-or-later",
+        clauses + end: "BSD-2-Clause",
+        clauses + name + end: "BSD-3-Clause",
+        clauses[:140]: "BSD-2-Clause OR BSD-3-Clause",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3 or later.": "GPL-3.0-or-later",
+        "Licensed under CC BY 3.0": "CC-BY-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "EPL-2.0",
+    }
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, f"{words(rng, 30)} {t} {words(rng, 30)}") for k, t in enumerate(cases)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect())
+    assert got == list(enumerate(cases.values()))
+
+
 PAGE = """<html><head><title>T</title><script>var a = "</p>";</script></head><body class="comments-open"><header>Site</header><nav><a href=/x>Home</a></nav>
 <div class="cookie-notice">We use cookies, many of them, here.</div><main><article><h1>A &amp; B</h1><p>First   paragraph, with commas,<br>and a <a href="/y">link</a>.
 <p>Second &lt;one&gt;, never closed<div><p>Third one, in a box, long enough to count.</p></div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><form>Your mail</form></article></main>

@@ -3,7 +3,9 @@
 Only DataFrame expressions run: words are split and hashed to shingles inside the scan, texts
 without any template shingle end there, and the rest are read in overlapping windows sized for
 each template. A window is retrieved for a template if one of BANDS bands of ROWS MinHashes is
-equal, and reported if the window holds at least CONTAINMENT of the template's shingles.
+equal, and reported if the window holds at least CONTAINMENT of the template's shingles, and of
+those that tell it from each sibling of another license (a version, a name) at least TELLING. A
+template that lies whole in one of another license gives way where that one is found around it.
 
 A window is a stride longer than the template's own run of m shingles, so any run of m shingles
 lies whole in some window. One that holds 3/4 of the shingles of a template has a Jaccard
@@ -20,29 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
+from .license_texts import TEMPLATES
 
 SHINGLE = 5
 CONTAINMENT = 0.75
 BANDS, ROWS = 24, 1
 
-# Notices in public use, by SPDX identifier.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-]
+#: Of the shingles that tell a template from one of another license that is most of it, a window must hold this share.
+TELLING, SIBLING = 0.5, 0.5
 
 
 def words_of(text: Column) -> Column:
@@ -72,9 +59,20 @@ def bands_of(shingles: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """template, license, shingles (distinct), m (their number)."""
+    """template, license, shingles (distinct), m (their number), telling (for each sibling, the shingles that it lacks), around (the templates of other licenses that hold all shingles: shingles, m, telling)."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    return rows.withColumn("shingles", F.array_distinct(shingles_of(words_of(F.col("text"))))).withColumn("m", F.size("shingles")).where("m > 0").drop("text")
+    rows = rows.withColumn("shingles", F.array_distinct(shingles_of(words_of(F.col("text"))))).withColumn("m", F.size("shingles")).where("m > 0").drop("text").collect()
+    sets = {r.template: set(r.shingles) for r in rows}
+    license = {r.template: r.license for r in rows}
+    telling = {t: [sorted(a - b) for s, b in sets.items() if license[s] != license[t] and a - b and len(a & b) >= SIBLING * len(a)] for t, a in sets.items()}
+    around = {t: [(sorted(b), len(b), telling[s]) for s, b in sets.items() if license[s] != license[t] and a < b] for t, a in sets.items()}
+    kind = "template int, license string, shingles array<bigint>, m int, telling array<array<bigint>>, around array<struct<shingles: array<bigint>, m: int, telling: array<array<bigint>>>>"
+    return spark.createDataFrame([(r.template, r.license, r.shingles, r.m, telling[r.template], around[r.template]) for r in rows], kind)
+
+
+def holds(window: Column, shingles: Column, m: Column, telling: Column) -> Column:
+    """Does the window hold enough of a template, and of what tells it from each sibling?"""
+    return (F.size(F.array_intersect(window, shingles)) >= CONTAINMENT * m) & F.forall(telling, lambda t: F.size(F.array_intersect(window, t)) >= TELLING * F.size(t))
 
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,28 +86,40 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_
     listed = template_table(spark, templates or TEMPLATES)
     rows = listed.collect()
     known = sorted({h for r in rows for h in r.shingles})
-    literal = F.lit(known).cast("array<bigint>")
     sizes = sorted({r.m for r in rows})
+    own = {m: sorted({h for r in rows if r.m == m for h in r.shingles}) for m in sizes}
+    # How far on either side of a window of each size a larger template may reach.
+    reach = {m: max((a.m for r in rows if r.m == m for a in r.around), default=0) for m in sizes}
+    sizes_of: dict[int, list[int]] = {}
+    for m in sizes:
+        for h in own[m]:
+            sizes_of.setdefault(h, []).append(m)
     # Texts with a template's shingle, and where; written, so that later steps don't split words again.
-    hits = lambda s: F.filter(F.transform(s, lambda h, i: F.when(F.array_contains(literal, h), i)), lambda i: i.isNotNull())
-    found = bound(shingles_of(words_of(F.col(text_col))), lambda s: F.when(F.arrays_overlap(s, literal), F.struct(s.alias("shingles"), hits(s).alias("hits"))))
+    hits = lambda s: F.filter(F.transform(s, lambda h, i: F.when(h.isin(known), F.struct(i.alias("at"), h.alias("h")))), lambda x: x.isNotNull())
+    found = bound(shingles_of(words_of(F.col(text_col))), lambda s: F.when(F.exists(s, lambda h: h.isin(known)), F.struct(s.alias("shingles"), hits(s).alias("hits"))))
     shingled = saved(docs.select(F.col(id_col).alias("id"), F.explode(F.array(found)).alias("f")).where("f is not null").select("id", "f.shingles", "f.hits"), "license-texts")
 
     def window_starts(m: int) -> Column:
         """Starts, multiples of the stride, of the windows of size m + stride that hold a hit."""
         stride, length = max(1, m // 4), m + max(1, m // 4) - 1
-        near = F.transform("hits", lambda p: F.sequence(F.greatest(F.ceil((p - length + 1) / stride), F.lit(0)).cast("int"), F.floor(p / stride).cast("int")))
-        return F.transform(F.array_distinct(F.flatten(near)), lambda k: F.struct(F.lit(m).alias("m"), (k * stride).cast("int").alias("start"), F.lit(length).alias("length")))
+        near = F.transform(F.filter("hits", lambda x: x["h"].isin(own[m])), lambda x: F.sequence(F.greatest(F.ceil((x["at"] - length + 1) / stride), F.lit(0)).cast("int"), F.floor(x["at"] / stride).cast("int")))
+        return F.transform(F.array_distinct(F.flatten(near)), lambda k: F.struct(F.lit(m).alias("m"), (k * stride).cast("int").alias("start"), F.lit(length).alias("length"), F.lit(reach[m]).alias("reach")))
+
+    # A window with too few hits holds no template of its size.
+    enough = lambda w: F.size(F.filter("hits", lambda x: (x["at"] >= w["start"]) & (x["at"] < w["start"] + w["length"]))) >= CONTAINMENT * w["m"]
 
     # Few rows with much work each: spread over all cores.
+    low = F.greatest(F.col("w.start") - F.col("w.reach"), F.lit(0))
     windows = (
-        shingled.repartition(F.xxhash64("id")).withColumn("w", F.explode(reduce(lambda a, b: F.concat(a, b), [window_starts(m) for m in sizes])))
-        .select("id", "w.m", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.length")).alias("window"))
+        shingled.repartition(F.xxhash64("id")).withColumn("w", F.explode(F.filter(reduce(lambda a, b: F.concat(a, b), [window_starts(m) for m in sizes]), enough)))
+        .select("id", "w.m", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.length")).alias("window"), F.when(F.col("w.reach") > 0, F.slice("shingles", low + 1, F.col("w.start") + F.col("w.length") + F.col("w.reach") - low)).alias("context"))
         .where(F.size("window") > 0)
     )
-    banded = listed.withColumn("b", F.explode(bands_of(F.col("shingles")))).select("template", "license", "m", F.col("shingles").alias("wanted"), "b.band", "b.value")
-    retrieved = windows.withColumn("b", F.explode(bound(F.col("window"), bands_of))).select("id", "m", "start", "window", "b.band", "b.value").join(F.broadcast(banded), ["m", "band", "value"])
-    verified = retrieved.withColumn("containment", F.size(F.array_intersect("window", "wanted")) / F.col("m")).where(F.col("containment") >= CONTAINMENT)
+    banded = listed.withColumn("b", F.explode(bands_of(F.col("shingles")))).select("template", "license", "m", F.col("shingles").alias("wanted"), "telling", "around", "b.band", "b.value")
+    retrieved = windows.withColumn("b", F.explode(bound(F.col("window"), bands_of))).select("id", "m", "start", "window", "context", "b.band", "b.value").join(F.broadcast(banded), ["m", "band", "value"])
+    held = retrieved.where(holds(F.col("window"), F.col("wanted"), F.col("m"), F.col("telling")))
+    alone = held.where(~F.exists("around", lambda a: holds(F.col("context"), a["shingles"], a["m"], a["telling"])))
+    verified = alone.withColumn("containment", F.size(F.array_intersect("window", "wanted")) / F.col("m"))
     return verified.groupBy("id", "license").agg(
         F.max("containment").alias("containment"),
         F.min_by("start", F.struct(-F.col("containment"), F.col("start"))).cast("long").alias("first_shingle"),
