@@ -178,6 +178,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.reason for r in want.collect()} >= {"non_positive"}
 
 
+def test_batch_verdicts_hold_no_symbol_whole(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, path = spark.conf.get(name), bars.daily(spark, SF)
+    some = path.withColumn("close", F.when(F.dayofmonth("ts") == 7, -1.0).otherwise(F.col("close")))
+    one = some.withColumn("symbol", F.lit("A")).dropDuplicates(["ts"]).unionByName(some.withColumn("symbol", F.lit(None).cast("string")).dropDuplicates(["ts"])).unionByName(some).localCheckpoint()
+    try:
+        want = sorted(map(tuple, barcheck.batch_verdicts(one).collect()), key=str)
+        spark.conf.set(name, "7")
+        judge = barcheck._judge
+
+        def small(rows, *state):
+            assert len(rows) <= 7
+            return judge(rows, *state)
+
+        monkeypatch.setattr(barcheck, "_judge", small)
+        assert sorted(map(tuple, barcheck.batch_verdicts(one).collect()), key=str) == want
+        assert len(want) == one.count() and "MapInPandas" in barcheck.batch_verdicts(one)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_quarantine_and_upsert(spark):
     t = spark.createDataFrame([("a", 1, None, None), ("b", 2, 5, "old")], "id string, ts long, contaminated_at long, contamination_reason string")
     marks = spark.createDataFrame([("a", 9, "late"), ("a", 7, "first"), ("b", 1, "no")], "id string, at long, reason string")

@@ -2,7 +2,8 @@
 
 A bar is held against the last one accepted for its symbol: reject, never repair, and a rejected
 bar leaves the state as it was. That is a recursion, so it runs as keyed state: the same update
-serves the stream (state kept between micro-batches) and the batch twin (one group a symbol).
+serves the stream (state kept between micro-batches) and the batch twin (kept between Arrow batches
+of sorted bars, so that no symbol is held whole).
 """
 
 from __future__ import annotations
@@ -46,11 +47,23 @@ def _judge(rows: pd.DataFrame, last_ts: Any, last_close: float | None, traded: b
 def batch_verdicts(bars: DataFrame, order: str = "ts") -> DataFrame:
     """One row a bar: symbol, ts, close and the reason of its rejection, null if accepted; bars of a symbol in `order`."""
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(reason=_judge(rows, None, None, False)[0])[["symbol", "ts", "close", "reason"]]
-
-    return checked(bars).groupBy("symbol").applyInPandas(judge, VERDICTS)
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Symbols follow each other in a task; the state of the last one goes from batch to batch.
+        last, state = None, (None, None, False)
+        for rows in batches:
+            rows = rows.assign(reason=None)
+            reasons: list = []
+            new = rows["symbol"].ne(rows["symbol"].shift()).to_numpy().cumsum() if len(rows) else []
+            for _, own in rows.groupby(new, sort=False):
+                symbol = own["symbol"].iloc[0]
+                symbol = None if pd.isna(symbol) else symbol
+                if (symbol,) != last:
+                    last, state = (symbol,), (None, None, False)
+                found, *state = _judge(own, *state)
+                reasons += found
+            yield rows.assign(reason=pd.Series(reasons, rows.index, dtype=object))[["symbol", "ts", "close", "reason"]]
+
+    return checked(bars).repartition("symbol").sortWithinPartitions("symbol", F.col(order).asc_nulls_last()).mapInPandas(judge, VERDICTS)
 
 
 def stream_verdicts(bars: DataFrame) -> DataFrame:
