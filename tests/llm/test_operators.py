@@ -75,38 +75,78 @@ def test_jaccard_equals_all_pairs(docs, rows):
     assert got == want
     kept = [r.doc_id for r in jaccard.one_of_each(docs).collect()]
     assert sorted(k for k in kept if k is not None) == sorted({find(i) for i in sets}) and kept.count(None) == 2
+    assert sorted(map(str, jaccard.join(docs, exact=True).collect())) == sorted(map(str, jaccard.join(docs).collect()))
     assert jaccard.one_of_each(docs).columns == docs.columns
 
 
-def test_jaccard_refines_wide_keys(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "WIDE", 5)  # every shared key is wide
+def test_jaccard_cuts_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 5)  # every shared key is large
     rng = random.Random(5)
-    shared = words(rng, 25, 10_000)
-    texts = [words(rng, 40, 10_000) + " " + shared for _ in range(60)]
+    shared = words(rng, 60, 10_000)
+    texts = [words(rng, 40, 10_000) + " " + shared for _ in range(40)]
     texts += [t + " more" for t in texts[:10]]
+    base = words(rng, 120, 10_000).split()
+    texts += [" ".join(f"z{k}x{j}" if rng.random() < 0.02 else w for j, w in enumerate(base)) for k in range(60)]
+    sets = [shingle_set(t) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                top[max(p, q)] = min(p, q)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for exact in (False, True):
+        got = {r.doc_id: r.component_id for r in jaccard.join(docs, exact=exact).collect()}
+        assert got == {k: find(k) for k in range(len(texts))}
+
+
+def test_jaccard_links_come_from_trees(monkeypatch):
+    rng = random.Random(7)
+    texts = [words(rng, 80, 10_000) for _ in range(20)]
+    raw = [(t + end).encode() for t in texts for end in ("", " more")]
+    sets = jaccard._sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    bits = [jaccard.bitmap(s) for s in sets]
+    assert jaccard.settled(sets, bits).tolist() == [k - k % 2 for k in range(40)]
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(jaccard, "survivors", lambda *_: (none, none, none))
+    assert jaccard.settled(sets, bits).tolist() == list(range(40))
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 120, 4):
+        x, y = words(rng, 90, 10_000), words(rng, 90, 10_000)
+        rows += [(k + 1, x), (k + 1, y), (k + 2, x + " more"), (k + 3, y + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
-    assert got == {k: k if k < 60 else k - 60 for k in range(70)}
+    assert got == {k + j: k + 1 for k in range(0, 120, 4) for j in (1, 2, 3)}
+    kept = {(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()}
+    assert kept == {r for r in rows if r[0] % 4 == 1}
 
 
-def test_signature_tree_keeps_every_linked_pair():
+def test_signature_trees_keep_every_linked_pair():
     rng = np.random.default_rng(1)
     sets = []
     for _ in range(40):
-        s = rng.choice(5000, rng.integers(5, 300), replace=False)
-        sets += [s, np.concatenate([s, rng.choice(np.arange(5000, 9000), len(s) // 8, replace=False)])]
-    bits = np.zeros((len(sets), 2048), bool)
-    for k, s in enumerate(sets):
-        bits[k, (s * 7919) % 2048] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    a, b = jaccard.SignatureTree(np.array([len(s) for s in sets]), packed, np.arange(len(sets))).pairs()
+        s = np.unique(rng.integers(0, 2**63, rng.integers(5, 300)).astype(np.uint64))
+        more = rng.integers(0, 2**63, len(s) // 8).astype(np.uint64)
+        sets += [s, np.unique(np.concatenate([s, more]))]
+    n = len(sets)
+    home = np.arange(n) % 7
+    a, b, _ = jaccard.survivors(np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets], np.arange(n), home)
     found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                assert (j, i) in found
-    assert len(found) < len(sets) * (len(sets) - 1) / 4
+    assert len(found) == len(a)
+    want = {(j, i) for i in range(n) for j in range(i) if home[i] != home[j] and jaccard.linked(sets[i], sets[j])}
+    assert want <= found and len(found) < n * (n - 1) / 4
+    least = jaccard.settled(sets, [jaccard.bitmap(s) for s in sets])
+    assert least.tolist() == [k - k % 2 for k in range(n)]
 
 
 def test_components(spark):
