@@ -162,6 +162,23 @@ def survivors(size: np.ndarray, bitmaps: list[bytes], component: np.ndarray, hom
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def earlier(keys: list[np.ndarray], key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows have a key in common that is less than key, where they are found as well."""
+    size = np.array([len(k) for k in keys])
+    values, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), size)
+    less = values < key[row]
+    _, back, times = np.unique(values[less], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[several] = np.arange(len(several))
+    has = np.zeros((len(keys), -(-(len(several) + 1) // 64) * 64), bool)
+    at = place[back]
+    has[row[less][at >= 0], at[at >= 0]] = True
+    bits = np.packbits(has, axis=1).view(np.uint64)
+    step = max(1, (1 << 20) // bits.shape[1])
+    return np.concatenate([np.zeros(0, bool), *[(bits[i[k : k + step]] & bits[j[k : k + step]]).any(axis=1) for k in range(0, len(i), step)]])
+
+
 class _Joined:
     """Disjoint sets of any labels."""
 
@@ -252,7 +269,11 @@ def _search(every: bool):
             # Both sides in one tree: pairs of one side belong to another task.
             keep = ((side[i] != side[j]) | (side[i] == 0)) & (comp[i] != comp[j]) & (place[i] != place[j])
             i, j, like = i[keep], j[keep], like[keep]
-            if not every:
+            if every:
+                # A pair is found under every key that it shares, and told under the least of them.
+                once = ~earlier([np.array(k) for k in rows["keys"].to_pylist()], rows["key"].to_numpy(), i, j)
+                i, j, like = i[once], j[once], like[once]
+            else:
                 order = np.lexsort((node[j], node[i], -like))
                 i, j, like, left = i[order], j[order], like[order], {}
                 kept = []
@@ -349,7 +370,8 @@ def _shared_keys(classes: DataFrame, exact: bool) -> DataFrame:
 def _with_homes(lists: DataFrame) -> DataFrame:
     """lists with home, the most frequent key, and salt, the part of it that holds the class."""
     best = lists.withColumn("home", F.try_element_at("keys", F.lit(-1))["key"])
-    size = best.groupBy("home").agg(F.greatest(_count_parts(), F.ceil(F.sum("n_shingles") / MOST)).cast("int").alias("parts"))
+    # Written first: a join of two plain tables is one whose hot keys are split at run time.
+    size = saved(best.groupBy("home").agg(F.greatest(_count_parts(), F.ceil(F.sum("n_shingles") / MOST)).cast("int").alias("parts")), "home-sizes")
     return best.join(size, "home").select("node", "id", "print", "n_shingles", "keys", "home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"))
 
 
@@ -362,12 +384,13 @@ def _mixed_keys(homes: DataFrame, component: DataFrame) -> DataFrame:
     entries = homes.join(component, "node").select(F.explode("keys.key").alias("key"), "node", "component", "home", "salt", "n_shingles")
     place = F.xxhash64("home", "salt")
     keys = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(place).alias("u"), F.max(place).alias("v"), F.count("*").alias("n")).where("x <> y and u <> v").select("key", "n")
+    keys = saved(keys, "key-counts")
     return saved(entries.join(keys, "key"), "mixed-keys")
 
 
 def _tasks(held: DataFrame) -> DataFrame:
     """(task, side, node, ...): the trees that search all keys completely; a large key's nodes in pairs."""
-    small = held.where(F.col("n") <= BLOCK).select(F.xxhash64("key").alias("task"), F.lit(0).alias("side"), "node", "component", "home", "salt", "n_shingles")
+    small = held.where(F.col("n") <= BLOCK).select("key", F.xxhash64("key").alias("task"), F.lit(0).alias("side"), "node", "component", "home", "salt", "n_shingles")
     large = held.where(F.col("n") > BLOCK)
     of = large.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
     cell = ["key", "bucket", "main"]
@@ -401,7 +424,7 @@ def _found(tasks: DataFrame, bitmaps: DataFrame, every: bool) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple[DataFrame, DataFrame]:
-    """(profile of every row: id, h, n_shingles, print; label of every class: print, rep, component, the smallest id of its component)."""
+    """(profile of every row: id, h, n_shingles, print; label of every class: print, part, component; parts are the components of texts, component the smallest id in one)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body"))
     made = map_texts(rows.withColumn("h", F.xxhash64("body")), "body", _profile(None if exact else KEYS), "n_shingles long, print binary, keys array<bigint>", lower=True)
     profile = saved(made.drop("body"), "profiles")
@@ -410,25 +433,26 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple
     member = some.select("print", "id", "n_shingles", "keys").join(reps, "print").where("id = rep").dropDuplicates(["print"])
     classes = saved(member.select(F.monotonically_increasing_id().alias("node"), "id", "print", "n_shingles", "keys"), "classes")
 
-    lists = _shared_keys(classes, exact)
+    lists = saved(_shared_keys(classes, exact), "keys")
     homes = saved(_with_homes(lists), "homes")
     work = _Work(rows.where("id is not null"), homes)
     texts = work.with_texts(homes.select("id", "node", "print", "home", "salt"))
     settled_at_home = saved(texts.repartition("home", "salt").sortWithinPartitions("home", "salt", "node").mapInArrow(_at_home, "node long, component long, bitmap binary"), "trees")
-    component, bitmaps = settled_at_home.select("node", "component"), settled_at_home.select("node", "bitmap")
+    component = settled_at_home.select("node", "component")
+    bitmaps = settled_at_home.select("node", "bitmap").join(homes.select("node", F.col("keys.key").alias("keys")), "node")
 
     for every in (False, True):
         held = _mixed_keys(homes, component)
         if held.isEmpty():
             break
-        tasks = _tasks(held) if every else held.withColumn("task", F.xxhash64("key", F.pmod(F.xxhash64("node"), _parts("n")))).withColumn("side", F.lit(0)).drop("key", "n")
+        tasks = _tasks(held) if every else held.withColumn("task", F.xxhash64("key", F.pmod(F.xxhash64("node"), _parts("n")))).withColumn("side", F.lit(0)).drop("n")
         links = work.links(saved(_found(tasks, bitmaps, every), "pairs"))
         if not links.isEmpty():
             component = saved(merged(component, links), "components")
 
     label = classes.select("node", "print", F.col("id").alias("rep")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("rep").alias("least"))
-    return profile.drop("keys"), saved(label.join(least, "component").select("print", F.col("least").alias("component")), "labels")
+    return profile.drop("keys"), saved(label.join(least, "component").select("print", F.col("component").alias("part"), F.col("least").alias("component")), "labels")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
@@ -460,7 +484,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     profile, label = _labelled(docs, id_col, text_col, exact)
     known = profile.where("id is not null and n_shingles > 0").join(label, "print")
-    first = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("x"), F.count("*").alias("rows")).select("x.id", "x.h")
+    first = known.groupBy("part").agg(F.min(F.struct("id", "h")).alias("x")).select("x.id", "x.h")
     again = known.groupBy("id", "h").agg(F.count("*").alias("times"))
     stays = saved(first.join(again, ["id", "h"]).unionByName(profile.where("id is not null and n_shingles = 0").select("id", "h", F.lit(1).alias("times")).distinct()), "stays")
     at = docs.withColumn("__id", docs[id_col].cast("long")).withColumn("__h", F.xxhash64(docs[text_col]))
