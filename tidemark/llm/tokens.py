@@ -14,7 +14,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse, pairwise
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ CHECKSUMS = 0x80
 END_ID = 2
 #: Bytes of ids in a frame and in a file at which the next one begins; a document is never split.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 26
-#: Known pieces of text that a task keeps; it starts over beyond that.
+#: Known pieces of text that a Python worker keeps, about 200 MB; it starts over beyond that.
 MOST_KNOWN = 1_000_000
+#: Tasks of the same read of files at most; below that, one a file.
+MOST_READERS = 10_000
 LEVEL = 3
 
 
@@ -83,13 +86,24 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
+            self.odd.clear()
         known, new = self.known, set()
         cut = [text.replace(" ", "\0 ").split("\0") for text in texts]
-        for pieces in cut:
-            new.update(filterfalse(known.__contains__, pieces))
+        found = [list(map(known.get, pieces)) for pieces in cut]
+        unknown = [k for k, ids in enumerate(found) if None in ids]
+        for k in unknown:
+            new.update(piece for piece, ids in zip(cut[k], found[k], strict=True) if ids is None)
         self._learn(new)
+        for k in unknown:
+            found[k] = [known[piece] if ids is None else ids for piece, ids in zip(cut[k], found[k], strict=True)]
         odd = self.odd
-        return [b"".join(map(known.__getitem__, pieces)) if "\0" not in text and (odd.isdisjoint(pieces) or not self.risky(text)) else self._ids([text])[0] for pieces, text in zip(cut, texts, strict=True)]
+        return [b"".join(ids) if "\0" not in text and (odd.isdisjoint(pieces) or not self.risky(text)) else self._ids([text])[0] for pieces, ids, text in zip(cut, found, texts, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_json: str) -> Encoder:
+    """The encoder of this Python worker: pieces that one task has learnt serve the next."""
+    return Encoder(tokenizer_json)
 
 
 def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -193,7 +207,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "do
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, part, k, rows = Encoder(spec), None, TaskContext.get().partitionId(), 0, []
+        encode, writer, part, k, rows = _encoder(spec), None, TaskContext.get().partitionId(), 0, []
         for batch in batches:
             ids, column = batch.column("id").to_pylist(), batch.column("body").fill_null("")
             sizes = np.asarray(pa.compute.binary_length(column))
@@ -233,10 +247,13 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 crcs = np.array([zlib.crc32(ids) for _, ids in file.documents()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(file.ids, pa.int64()), pa.array(start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "start").repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # An explicit number: rows are a file each and would be coalesced by their own small size.
+    readers = min(max(1, manifest.count()), MOST_READERS)
+    return manifest.select("path", "start").repartition(readers).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row of documents, read back from the files; see write_ids for nulls and ties."""
     import public_tokenizers
 
     return read_ids(write_ids(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json")))
