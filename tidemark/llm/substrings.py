@@ -20,7 +20,6 @@ the same anchor at the same offset, and no repeat is missed.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -178,48 +177,57 @@ def merge(runs: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[int, int, by
             node //= 2
 
 
+def _context(text: bytes, at: int) -> tuple[bytes, bytes]:
+    """LENGTH bytes from an anchor on, and those before it, nearest first."""
+    return text[at : at + LENGTH], text[max(0, at - WINDOW + 1) : at][::-1]
+
+
+def _key(context: tuple[bytes, bytes]) -> bytes:
+    """128 bits by which a context is known."""
+    return xxhash.xxh3_128_digest(len(context[0]).to_bytes(2, "little") + context[0] + context[1])
+
+
+_RUN = pa.schema([("part", pa.int32()), ("shared", pa.binary()), ("lengths", pa.binary()), ("rests", pa.binary()), ("before", pa.binary()), ("keys", pa.binary()), ("times", pa.binary())])
+
+
 def _runs(bounds: list[bytes]):
-    """Texts with anchor positions -> sorted front-coded runs by range, and each anchor's context key."""
-    empty = {"id": None, "print": None, "at": None, "key": None, "part": None, "run": None, "shared": None, "lengths": None, "rests": None, "before": None, "keys": None, "times": None}
-    schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("at", pa.list_(pa.int32())), ("key", pa.list_(pa.binary())), ("part", pa.int32()), ("run", pa.string()), ("shared", pa.binary()), ("lengths", pa.binary()), ("rests", pa.binary()), ("before", pa.binary()), ("keys", pa.binary()), ("times", pa.binary())])
+    """Texts with anchor positions -> sorted front-coded runs of their distinct contexts, by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[bytes, bytes], list] = {}
+        known: dict[tuple[bytes, bytes], int] = {}
         pack = zstandard.ZstdCompressor(level=3).compress
 
         def flush() -> pa.RecordBatch:
             rows, order = [], sorted(known)
             cuts = [0, *(bisect_right(order, (b, b"")) for b in bounds), len(order)]
-            name = uuid.uuid4().hex
             for part in range(len(cuts) - 1):
                 own = order[cuts[part] : cuts[part + 1]]
                 if own:
                     shared, lengths, rests = front_code([x for x, _ in own])
                     left = b"".join(len(y).to_bytes(2, "little") + y for _, y in own)
-                    rows.append(empty | {"part": part, "run": name, "shared": pack(shared), "lengths": pack(lengths), "rests": pack(rests), "before": pack(left), "keys": b"".join(known[x][0] for x in own), "times": np.array([known[x][1] for x in own], "<u4").tobytes()})
+                    rows.append({"part": part, "shared": pack(shared), "lengths": pack(lengths), "rests": pack(rests), "before": pack(left), "keys": b"".join(map(_key, own)), "times": np.array([known[x] for x in own], "<u4").tobytes()})
             known.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+            return pa.RecordBatch.from_pylist(rows, schema=_RUN)
 
         for batch in batches:
-            rows = []
-            for key, hashed, ats, text in zip(*(batch.column(c).to_pylist() for c in ("id", "print", "at")), batch.column("body").cast(pa.binary()).to_pylist(), strict=True):
-                keys = []
+            for ats, text in zip(batch.column("at").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist(), strict=True):
                 for at in ats:
-                    context = (text[at : at + LENGTH], text[max(0, at - WINDOW + 1) : at][::-1])
-                    entry = known.get(context)
-                    if entry is None:
-                        known[context] = entry = [xxhash.xxh3_128_digest(len(context[0]).to_bytes(2, "little") + context[0] + context[1]), 0]
-                    entry[1] += 1
-                    keys.append(entry[0])
-                rows.append(empty | {"id": key, "print": hashed, "at": ats, "key": keys})
+                    context = _context(text, at)
+                    known[context] = known.get(context, 0) + 1
                 if len(known) >= RUN:
                     yield flush()
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
         yield flush()
 
     return run
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with anchor positions -> the key of each anchor's context."""
+    for batch in batches:
+        keys = [[_key(_context(text, at)) for at in ats] for ats, text in zip(batch.column("at").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "print", "at")), pa.array(keys, pa.list_(pa.binary()))], names=["id", "print", "at", "key"])
+
+
 def repeats(shared: np.ndarray, size: np.ndarray, before: np.ndarray, depth: np.ndarray, times: np.ndarray) -> np.ndarray:
     """[n, WINDOW] flags: is the string of LENGTH bytes that starts d bytes before the suffix met twice?
 
@@ -302,16 +310,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     LENGTH long. Ids may be null or shared: a row is known by its id and a hash of its text.
     Empty table: no rows. Shorter texts than LENGTH stay whole.
     """
-    spark = docs.sparkSession
     small_batches(docs, 500)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body")).withColumn("print", F.xxhash64("id", "body"))
     long = rows.where(F.octet_length("body") >= LENGTH)
     found = saved(long.mapInArrow(_find, "id long, print long, at array<int>, gram array<bigint>, drawn array<binary>"), "anchors")
     each = found.select("id", "print", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("id", "print", "x.at", "x.gram")
-    twice = found.select(F.explode("gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram")
+    # Written first: a join of two plain tables is one whose hot grams are split at run time.
+    twice = saved(found.select(F.explode("gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"), "repeating-grams")
     wanted = saved(each.join(twice, "gram").groupBy("print", "id").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumnRenamed("id", "same"), "repeating-anchors")
     total = wanted.select(F.sum(F.size("at"))).first()[0] or 0
-    texts = long.join(wanted, (long["print"] == wanted["print"]) & long["id"].eqNullSafe(wanted["same"])).select("id", long["print"], "at", "body")
 
     # Any bounds are right; these make ranges of like size.
     count = found.select(F.sum(F.size("drawn"))).first()[0] or 0
@@ -321,14 +328,20 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     parts = max(1, -(-total // RANGE))
     bounds = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
 
-    coded = saved(texts.mapInArrow(_runs(bounds), "id long, print long, at array<int>, key array<binary>, part int, run string, shared binary, lengths binary, rests binary, before binary, keys binary, times binary"), "suffix-runs")
-    spans = coded.where("part is not null").drop("id", "print", "at", "key").groupBy("part").applyInArrow(_merge_range, "key binary, starts array<int>, ends array<int>")
-    placed = coded.where("part is null").select("id", "print", F.explode(F.arrays_zip("at", "key")).alias("x")).select("id", "print", "x.at", "x.key")
+    # All three joins with texts have the same keys and columns, so the bodies are shuffled once and read three times.
+    def with_bodies(other: DataFrame, how: str) -> DataFrame:
+        return rows.join(other, (rows["print"] == other["print"]) & rows["id"].eqNullSafe(other["same"]), how).select("id", rows["print"], "body", *[c for c in other.columns if c not in ("print", "same")])
+
+    texts = with_bodies(wanted, "inner")
+    runs = texts.mapInArrow(_runs(bounds), "part int, shared binary, lengths binary, rests binary, before binary, keys binary, times binary")
+    spans = runs.groupBy("part").applyInArrow(_merge_range, "key binary, starts array<int>, ends array<int>")
+    placed = texts.mapInArrow(_place, "id long, print long, at array<int>, key array<binary>").select("id", "print", F.explode(F.arrays_zip("at", "key")).alias("x")).select("id", "print", "x.at", "x.key")
     cut = placed.join(spans, "key").select("id", "print", "at", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(F.col("id").alias("same"), "print", (F.col("at") + F.col("x.starts")).alias("s"), (F.col("at") + F.col("x.ends")).alias("e"))
-    of_row = cut.distinct().groupBy("print", "same").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select("print", "same", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
-    joined = rows.join(of_row, (rows["print"] == of_row["print"]) & rows["id"].eqNullSafe(of_row["same"]), "left").select("id", "body", "starts", "ends")
+    of_row = cut.groupBy("print", "same").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select("print", "same", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
+    joined = with_bodies(of_row, "left").select("id", "body", "starts", "ends")
     return joined.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of documents; see deduplicate for nulls and repeats."""
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
