@@ -465,6 +465,27 @@ def test_html_names_and_forms():
     assert html.main_text(f'<body><div class="ad"><p>{text}</p></div><article><h1>Short</h1><p>One.</p></article></body>') == "Short\nOne."
 
 
+def test_html_skipped_elements_and_offsets():
+    text = "A paragraph, with commas, long enough to count as one."
+    article = f"<article><p>{text}</p><p>{text}</p></article>"
+    want = f"{text}\n{text}"
+    # Characters that change length when lower-cased move no offset.
+    for odd in ("\u0130", "\u1e9e", "\ufb03", "\u0345", "\U0001f600"):
+        assert html.main_text(f"<article><p>{text}</p><p>{odd * 40}</p><SCRIPT>x</Script ><p>{text}</p></article>") == f"{text}\n{odd * 40}\n{text}"
+    for tag in ("template", "svg", "math", "object"):
+        inner = f"<p>Hidden, {text}</p>"
+        assert html.main_text(f"<body>{article}<{tag}>{inner}<{tag} x=1>{inner}</{tag}>{inner}</{tag}></body>") == want, tag
+        assert html.main_text(f"<body>{article}<{tag}>{inner}</body>") == want, tag
+    for tag in ("script", "style", "textarea", "noscript", "iframe"):
+        assert html.main_text(f"<body><{tag}>a <{tag}> b</{tag.upper()}>{article}</body>") == want, tag
+        assert html.main_text(f"<body><{tag}>a </{tag}x> b</{tag}>{article}</body>") == want, tag
+    assert html.main_text(f'<body><svg viewBox="0"/>{article}</body>') == want
+    assert html.main_text(f"<body><div><div class=top><h1>Title</h1></div><div><p>{text}</p><p>{text}</p></div></div></body>") == f"Title\n{want}"
+    for names in ("post has-comments", "container no-sidebar", "entry-content with-social", "layout-banner", "widgetized has-menu", "no-ads article"):
+        for where in (f'<div class="{names}"><div>{article}</div></div>', f'<div id=x><div class="{names}">{article}</div></div>', f'<div><section id="{names.split()[0]}">{article}</section></div>'):
+            assert html.main_text(f"<body>{where}</body>") == want, names
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, None), (2, None, None, None), (None, "v", "", "")], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()

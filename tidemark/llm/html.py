@@ -52,6 +52,9 @@ MENU_LINKS, MENU_DENSITY = 3, 0.5
 #: A quote opens a value only after '='; a value reaches to its closing quote whatever its length, and without one the tag ends at the next '>'.
 #: One that meets another '<' first ends there, as a tag if it holds a quoted value and else as text, so every match goes on from the end of the last.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+)(>?)""", re.S)
+#: The tags that may end a skipped element; the first do so at the nearest end tag, the others count those of their own name inside them.
+_ENDS = {name: re.compile(rf"<(/?){name}(?![^\s/>])[^>]*>?", re.I | re.A) for name in RAW}
+NESTING = frozenset("template svg math object".split())
 _QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 
@@ -72,6 +75,19 @@ def _points(text: str, link: int) -> float:
     return (1 + text.count(",") + len(text) / 100) * (1 - link / len(text))
 
 
+def _after(html: str, name: str, at: int) -> int:
+    """The position after the end tag of a skipped element whose content begins at `at`; the page's end if there is none."""
+    depth = 1
+    for m in _ENDS[name].finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif name in NESTING and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 def main_text(html: str) -> str:
     """The main text: blocks in page order joined by a line feed, white space in a block made one space.
 
@@ -129,7 +145,7 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
             if in_link:
                 gone_links += len(text)
 
-    at, low = 0, None
+    at = 0
     # From `at` each time: what looks like a tag in a skipped script opens none.
     while m := _TOKEN.search(html, at):
         add(html[at : m.start()])
@@ -177,9 +193,8 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
         if name in VOID:
             continue
         if name in RAW:
-            low = low or html.lower()
-            end = low.find("</" + name, at)
-            at = len(html) if end < 0 else (low.find(">", end) + 1 or len(html))
+            if not (name in ("svg", "math") and m[3].endswith("/")):
+                at = _after(html, name, at)
             continue
         node = len(tag)
         up = stack[-1]
@@ -219,12 +234,15 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
                     up = parent[up]
         if any(score):
             break
+    titles = [0] * len(tag)
     for node, text, link in runs:
         size[node] += len(text)
         linked[node] += link
+        titles[node] += len(text) * (tag[node] in HEADINGS)
     for node in range(len(tag) - 1, 0, -1):
         up = parent[node]
         size[up] += size[node]
+        titles[up] += titles[node]
         linked[up] += linked[node]
         links[up] += links[node]
     density = [b / a if a else 0.0 for a, b in zip(size, linked, strict=True)]
@@ -237,7 +255,7 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
     for node in range(1, len(tag)):
         up = parent[node]
         if best and up == parent[best] and not dead[node]:
-            kept[node] |= final[node] >= SIBLING_SHARE * final[best] or tag[node] in HEADINGS and node < best or tag[node] == "p" and size[node] > 0 and density[node] < 0.25
+            kept[node] |= final[node] >= SIBLING_SHARE * final[best] or node < best and (tag[node] in HEADINGS or 0 < size[node] == titles[node] and density[node] < 0.5) or tag[node] == "p" and size[node] > 0 and density[node] < 0.25
         if kept[up] and not (tag[node] in ("ul", "ol", "table", "div", "dl") and links[node] >= MENU_LINKS and density[node] > MENU_DENSITY):
             kept[node] = True
     return "\n".join(text for node, text, _ in runs if kept[node]), frozenset()
@@ -278,4 +296,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages; see extract for null and empty pages."""
     return extract(table(spark, sf_dir, "pages"))
