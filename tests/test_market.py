@@ -1,5 +1,6 @@
 """Every market query against DuckDB, degenerate input, plans, streams and the absence of leaks from the future."""
 
+import itertools
 import math
 import os
 import subprocess
@@ -95,10 +96,21 @@ def test_metric_degenerates(spark):
 
 
 def test_normal_distribution(spark):
-    xs = [-3.0, -1.0, 0.0, 0.5, 2.5]
+    xs = [-9.0, -7.2, -5.0, -3.0, -1.0, 0.0, 0.5, 2.5, 5.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", S.normal_cdf(F.col("x")).alias("p")).withColumn("q", S.normal_quantile(F.col("p"))).collect()
     for r in got:
-        assert r.p == pytest.approx(0.5 * (1 + math.erf(r.x / math.sqrt(2))), abs=1e-7) and r.q == pytest.approx(r.x, abs=1e-3)
+        assert r.p == pytest.approx(0.5 * (1 + math.erf(r.x / math.sqrt(2))), abs=1e-13) and r.q == pytest.approx(r.x, abs=1e-9)
+
+
+def test_deflated_sharpe(spark):
+    row = spark.range(1).select(metrics.expected_max_sharpe(F.lit(0.01), F.lit(100)).alias("m"), metrics.deflated_sharpe(F.lit(0.2), F.lit(251), F.lit(-0.3), F.lit(1.5), F.lit(100)).alias("d"), metrics.deflated_sharpe(F.lit(0.2), F.lit(251), F.lit(-0.3), F.lit(1.5), F.lit(1)).alias("one")).first()
+    from statistics import NormalDist
+
+    z, e = NormalDist(), 0.5772156649015329
+    best = lambda v, n: math.sqrt(v) * ((1 - e) * z.inv_cdf(1 - 1 / n) + e * z.inv_cdf(1 - 1 / (n * math.e)))
+    spread = math.sqrt(1 + 0.3 * 0.2 + 3.5 / 4 * 0.04)
+    assert row.m == pytest.approx(best(0.01, 100), abs=1e-9)
+    assert row.d == pytest.approx(z.cdf((0.2 - best(1 / 250, 100)) * math.sqrt(250) / spread), abs=1e-9) and row.one == pytest.approx(z.cdf(0.2 * math.sqrt(250) / spread), abs=1e-9)
 
 
 def test_scalars(spark):
@@ -150,8 +162,11 @@ def test_ledger_fills(spark):
 def test_folds_and_overfit_share(spark):
     plan = sweep.folds(spark, datetime(2024, 1, 1), datetime(2024, 3, 1), train_days=20, test_days=10, embargo_days=2, anchored=True).collect()
     assert [r.fold for r in plan if r.segment == "oos"] == [0, 1, 2] and all(r.start == datetime(2024, 1, 1) for r in plan if r.segment == "is")
-    scores = spark.createDataFrame([(f, c, float(c), float(-c)) for f in range(4) for c in range(3)], "fold int, config int, is_score double, oos_score double")
-    assert sweep.overfit_share(scores).first().pbo == 1.0
+    scores = spark.createDataFrame([(f, float(f), float(-f)) for f in range(4)], "fold int, is_score double, oos_score double")
+    # The best of {0, 1} is 1, above the others out of sample; the best of any other two is under the median of the rest, but for {0, 2}'s.
+    row = sweep.overfit_share(scores).first()
+    assert row.splits == 6 and row.pbo == pytest.approx(sum(-max(c) < sum(-x for x in range(4) if x not in c) / 2 for c in itertools.combinations(range(4), 2)) / 6)
+    assert sweep.overfit_share(scores.where("fold < 3")).first().pbo is None
     grid = sweep.grid(spark, {"a": (1, 3, 1), "b": (1, 3, 1)}, F.col("a") < F.col("b"))
     assert grid.count() == 3 and sweep.sample(grid, 2, 1).collect() == sweep.sample(grid, 2, 1).collect()
 
@@ -247,7 +262,7 @@ def test_p_values_and_block_length(spark):
     good, flat = (series.where(F.col("trial_id") == x).select("i", "ret") for x in ("good", "flat"))
     assert sweep.null_p_value(good, 99, 3.0).first().p_value < 0.05 < sweep.null_p_value(flat, 99, 3.0).first().p_value
     assert 0 < sweep.family_p_value(series, 60, 3.0).first().p_value <= 0.1
-    assert 1.0 <= sweep.block_length(good) <= 20.0 and sweep.block_length(good.withColumn("ret", F.lit(0.1))) == 1.0
+    assert 1.0 <= sweep.block_length(good) <= 15.0 and sweep.block_length(good.where("i < 12")) == 3.0 and sweep.block_length(good.withColumn("ret", F.lit(0.1))) == 1.0
 
 
 def test_entry_works_without_the_training_data_part(tmp_path):

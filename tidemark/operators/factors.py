@@ -22,15 +22,15 @@ def _solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def neutralized(panel: DataFrame, value: str, exposures: list[str]) -> DataFrame:
     """(ts, symbol, value, exposures) -> ts, symbol, residual of value on an intercept and the exposures.
 
-    Names without an exposure keep their value, as do all names of a ts with no more valid names
-    than coefficients.
+    Names without an exposure keep their value, as does a single valid name. From two names on
+    the fit is the least-squares one; with no more names than coefficients it leaves nothing.
     """
 
     def residual(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows[exposures].to_numpy(float), rows[value].to_numpy(float)
         valid = np.isfinite(x).all(axis=1) & np.isfinite(y)
         out = y.copy()
-        if valid.sum() > len(exposures) + 1:
+        if valid.sum() >= 2:
             b = _solve(x[valid], y[valid])
             out[valid] = y[valid] - b[0] - x[valid] @ b[1:]
         return pd.DataFrame({"ts": rows["ts"], "symbol": rows["symbol"], "residual": out})
@@ -46,7 +46,7 @@ def factor_returns(panel: DataFrame, exposures: list[str]) -> DataFrame:
         x, y = rows[exposures].to_numpy(float), rows["ret"].to_numpy(float)
         valid = np.isfinite(x).all(axis=1) & np.isfinite(y)
         if valid.sum() <= len(names):
-            return pd.DataFrame({"ts": [], "factor": [], "ret": []})
+            return pd.DataFrame({"ts": rows["ts"].iloc[:0], "factor": pd.Series(dtype=str), "ret": pd.Series(dtype=float)})
         return pd.DataFrame({"ts": rows["ts"].iloc[0], "factor": names, "ret": _solve(x[valid], y[valid])})
 
     return panel.select("ts", "symbol", "ret", *exposures).groupBy("ts").applyInPandas(fit, "ts timestamp, factor string, ret double")

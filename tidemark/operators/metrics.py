@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_flat, normal_cdf, ratio
+from ..functions.scalars import is_flat, normal_cdf, normal_quantile, ratio
 
 INF = float("inf")
 
@@ -83,6 +83,52 @@ def drawdown_metrics(equity: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def metric_row(equity: DataFrame, keys: list[str], *, ppy: float = 252.0) -> DataFrame:
+    """keys, ts, equity, bench (return of the benchmark) -> growth, risk and the ratios of the two, one row for each key.
+
+    Zero drawdown gives an infinite Calmar, Sterling and recovery and a zero Martin ratio; growth
+    is 0 without time or for an equity that is not positive, Treynor for a beta under 0.05.
+    low_sample marks keys with fewer than 30 returns. Rows without equity are left out.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts")
+    rows = equity.where("equity is not null").withColumn("ret", ratio(F.col("equity"), F.lag("equity").over(w)) - 1).withColumn("peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = F.min_by("equity", "ts"), F.max_by("equity", "ts")
+    years = (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / (365.25 * 86400)
+    growth = rows.groupBy(*keys).agg(
+        F.when((F.count("*") >= 2) & (years > 0) & (first > 0) & (last > 0), F.pow(ratio(last, first), 1 / F.when(years > 0, years)) - 1).otherwise(0.0).alias("cagr"),
+        (last - first).alias("net"),
+        F.max(F.col("peak") - F.col("equity")).alias("drawdown_value"),
+        F.greatest(-F.percentile("ret", F.lit(0.01)), F.lit(0.0)).alias("var_99"),
+        F.avg("ret").alias("mean"),
+        (F.count("ret") < 30).alias("low_sample"),
+    )
+    found = growth.join(return_metrics(rows, keys, ppy=ppy), keys).join(drawdown_metrics(rows, keys), keys).join(benchmark_metrics(rows, keys, ppy=ppy).select(*keys, "beta"), keys, "left")
+    c, beta = F.col("cagr"), F.col("beta")
+    return found.select(
+        *keys, "n", "low_sample", "cagr", "volatility", "downside", "sharpe", "sortino", "max_drawdown", "avg_drawdown", "ulcer", "longest_under", "var_95", "var_99", "cvar_95", "skew", "kurtosis",
+        _over(c, F.abs("max_drawdown"), INF).alias("calmar"),
+        _over(c, F.abs("avg_drawdown"), INF).alias("sterling"),
+        _over(F.col("net"), F.col("drawdown_value"), INF).alias("recovery"),
+        _over(c, F.col("ulcer"), 0.0).alias("martin"),
+        F.when(F.abs(beta) >= 0.05, ratio(F.col("mean") * ppy, beta)).otherwise(0.0).alias("treynor"),
+    )
+
+
+def expected_max_sharpe(variance: Column, trials: Column) -> Column:
+    """Expected best per-period Sharpe ratio of independent trials without skill (Bailey and Lopez de Prado, 2014); 0 for one trial or no variance."""
+    euler = 0.5772156649015329
+    several = F.when(trials > 1, trials)
+    z1, z2 = normal_quantile(1 - 1 / several), normal_quantile(1 - 1 / (several * math.e))
+    return F.when((trials > 1) & (variance > 0), F.sqrt(variance) * ((1 - euler) * z1 + euler * z2)).otherwise(0.0)
+
+
+def deflated_sharpe(per_period: Column, n: Column, skew: Column, kurtosis: Column, trials: Column, variance: Column | None = None) -> Column:
+    """Probability that the true Sharpe ratio exceeds the best expected of that many trials; their ratios' variance is 1 / (n - 1) if unknown. 0 under three rows or one trial."""
+    if variance is None:
+        variance = 1 / F.when(n > 1, n - 1)
+    return F.when((n >= 3) & (trials >= 1), probabilistic_sharpe(per_period, n, skew, kurtosis, expected_max_sharpe(variance, trials))).otherwise(0.0)
+
+
 def benchmark_metrics(pairs: DataFrame, keys: list[str], *, ppy: float = 252.0) -> DataFrame:
     """keys, ret, bench -> alpha a period, beta, r2, information ratio; zeros under three rows or a flat side."""
     r, b = F.col("ret"), F.col("bench")
@@ -96,7 +142,7 @@ def benchmark_metrics(pairs: DataFrame, keys: list[str], *, ppy: float = 252.0)
     )
 
 
-def probabilistic_sharpe(per_period: Column, n: Column, skew: Column, kurtosis: Column, against: float = 0.0) -> Column:
+def probabilistic_sharpe(per_period: Column, n: Column, skew: Column, kurtosis: Column, against: Column | float = 0.0) -> Column:
     """Probability that the true Sharpe ratio exceeds `against`; 0 under two observations."""
     spread = 1 - skew * per_period + (kurtosis + 2) / 4 * per_period * per_period
     return F.when((n > 1) & (spread > 0), normal_cdf((per_period - against) * F.sqrt(n - 1) / F.sqrt(F.when(spread > 0, spread)))).otherwise(0.0)

@@ -25,14 +25,32 @@ def covariance(panel: DataFrame) -> DataFrame:
     return a.join(b, "ts").where("i <= j").groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
 
 
-def shrunk(panel: DataFrame, intensity: float) -> DataFrame:
-    """Covariance blended with the constant-correlation matrix of the same variances."""
-    cov = covariance(panel)
-    var = cov.where("i = j").select(F.col("i").alias("k"), F.col("cov").alias("v"))
-    full = cov.join(var.select(F.col("k").alias("i"), F.col("v").alias("vi")), "i").join(var.select(F.col("k").alias("j"), F.col("v").alias("vj")), "j")
-    rho = full.where("i < j").agg(F.avg(ratio(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))).alias("rho"))
-    target = F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(F.coalesce(F.col("rho"), F.lit(0.0)) * F.sqrt(F.col("vi") * F.col("vj")))
-    return full.crossJoin(F.broadcast(rho)).select("i", "j", (intensity * target + (1 - intensity) * F.col("cov")).alias("cov"))
+def shrunk(panel: DataFrame) -> DataFrame:
+    """i, j (i <= j), cov, intensity: the covariance blended with the constant-correlation matrix of the same variances.
+
+    The intensity is the one that minimises the expected squared error (Ledoit and Wolf, 2004):
+    every term is a moment of a pair, so the pairs of names are aggregated and then summed. It is
+    0 for one name, for a name without variance and where the target fits exactly; under two
+    rows all covariances are 0. An empty panel gives no rows.
+    """
+    centred = panel.select("ts", "symbol", (F.col("ret") - F.avg("ret").over(Window.partitionBy("symbol"))).alias("x"))
+    a = centred.select("ts", F.col("symbol").alias("i"), "x")
+    b = centred.select("ts", F.col("symbol").alias("j"), F.col("x").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    pairs = a.join(b, "ts").where("i <= j").groupBy("i", "j").agg(F.avg(x * y).alias("cov"), F.avg(x * x * y * y).alias("square"), F.avg(x * x * x * y).alias("xxxy"), F.avg(y * y * y * x).alias("yyyx"), F.avg(x * x).alias("vi"), F.avg(y * y).alias("vj"), F.count("*").alias("n"))
+    apart = F.col("i") < F.col("j")
+    si, sj = F.sqrt("vi"), F.sqrt("vj")
+    rho = pairs.agg(F.avg(F.when(apart, ratio(F.col("cov"), si * sj))).alias("rho"), F.min("vi").alias("least"))
+    both = pairs.join(F.broadcast(rho))
+    target = F.when(apart, F.coalesce("rho", F.lit(0.0)) * si * sj).otherwise(F.col("cov"))
+    spread = F.col("square") - F.col("cov") * F.col("cov")
+    # The off-diagonal covariance of target and sample.
+    shared = F.col("rho") / 2 * (ratio(sj, si) * (F.col("xxxy") - F.col("vi") * F.col("cov")) + ratio(si, sj) * (F.col("yyyx") - F.col("vj") * F.col("cov")))
+    times = F.when(apart, 2.0).otherwise(1.0)
+    sums = both.agg(F.sum(times * spread).alias("pi"), F.sum(F.when(apart, 2 * shared).otherwise(spread)).alias("r"), F.sum(times * F.pow(target - F.col("cov"), 2)).alias("gap"), F.max("n").alias("t"), F.min("least").alias("low"))
+    good = (F.col("low") > 0) & (F.col("gap") > 0) & (F.col("t") >= 2)
+    delta = sums.select(F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("pi") - F.col("r")) / F.when(F.col("gap") > 0, F.col("gap")) / F.col("t")))).otherwise(0.0).alias("intensity"))
+    return both.join(F.broadcast(delta)).select("i", "j", F.when(F.col("n") < 2, 0.0).otherwise(F.col("intensity") * target + (1 - F.col("intensity")) * F.col("cov")).alias("cov"), "intensity")
 
 
 def both_halves(cov: DataFrame) -> DataFrame:

@@ -110,11 +110,11 @@ def held_direction(score: Column, enter: float, leave: float) -> Column:
 
 
 def ewma_variance(returns: DataFrame, *, decay: float = 0.94, seed_rows: int = 20) -> DataFrame:
-    """Last exponentially weighted variance of each symbol, seeded with the mean of its first squares: symbol, variance."""
+    """Last exponentially weighted variance of each symbol, seeded with the mean of its first squares: symbol, variance. A symbol with fewer than seed_rows returns has none."""
     w = Window.partitionBy("symbol").orderBy("ts")
     rows = returns.where("ret is not null").select("symbol", F.pow("ret", 2).alias("q"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
-    m = F.least(F.col("n"), F.lit(seed_rows))
-    return rows.groupBy("symbol").agg(
+    m = F.lit(seed_rows)
+    return rows.where(F.col("n") >= seed_rows).groupBy("symbol").agg(
         (
             F.avg(F.when(F.col("i") <= m, F.col("q"))) * F.first(F.pow(F.lit(decay), F.col("n") - m))
             + F.coalesce(F.sum(F.when(F.col("i") > m, (1 - decay) * F.pow(F.lit(decay), F.col("n") - F.col("i")) * F.col("q"))), F.lit(0.0))

@@ -174,6 +174,10 @@ def e_drawdown(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(metrics.drawdown_metrics(bars.weekly(spark, sf).select("symbol", "ts", F.col("close").alias("equity")), ["symbol"]))
 
 
+def e_metric_row(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(metrics.metric_row(with_bench(bars.weekly(spark, sf)).withColumnRenamed("close", "equity"), ["symbol"], ppy=52.0).drop("downside", "sortino", "cvar_95", "skew", "kurtosis"), 5)
+
+
 def e_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(metrics.benchmark_metrics(with_bench(bars.weekly(spark, sf)), ["symbol"], ppy=52.0))
 
@@ -187,7 +191,7 @@ def e_covariance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e_shrunk(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(risk.shrunk(risk.complete_cases(returns_of(bars.weekly(spark, sf)).select("ts", "symbol", "ret"), 100), 0.3), 8)
+    return tidy(risk.shrunk(risk.complete_cases(returns_of(bars.weekly(spark, sf)).select("ts", "symbol", "ret"), 100)), 8)
 
 
 def e_contributions(spark: SparkSession, sf: str) -> DataFrame:
@@ -417,7 +421,6 @@ def exposed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r_neutral(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: a dense solve for each ts; tested against numpy."""
     return tidy(factors.neutralized(exposed(spark, sf), "ret", EXPOSURES))
 
 
@@ -481,6 +484,12 @@ def p_folds(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(rows.groupBy("fold", "segment").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std")))
 
 
+def p_overfit(spark: SparkSession, sf: str) -> DataFrame:
+    """Years as folds: mean weekly return over all names in the first half of a year, and in the second."""
+    half = lambda first: F.avg(F.when((F.month("ts") <= 6) == F.lit(first), F.col("ret")))
+    return tidy(sweep.overfit_share(returns_of(bars.weekly(spark, sf)).groupBy(F.year("ts").alias("fold")).agg(half(True).alias("is_score"), half(False).alias("oos_score"))))
+
+
 def p_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Rows only: resamples are hash-drawn, so SQL has no counterpart; invariants are tested."""
     book = returns_of(bars.weekly(spark, sf)).groupBy("ts").agg(F.avg("ret").alias("ret")).where("ret is not null")
@@ -515,6 +524,18 @@ sig as (select *, case when ratio > 1.5 and abs(step) > 0.01 and volume >= 1 the
 LAGS = f"""lg as ({' union all '.join(f'select {k} as lag, ts, -ret as score, lead(ret, {k}) over ({W}) as fwd from rets' for k in (1, 2, 3, 4))}),
 pl as (select lag, ts, case when stddev_pop(score) * stddev_pop(fwd) > 1e-18 then covar_pop(score, fwd) / (stddev_pop(score) * stddev_pop(fwd)) end as ic from lg where score is not null and fwd is not null group by lag, ts),
 prof as (select lag, count(ic) as n, avg(ic) as mean_ic from pl group by lag)"""
+#: Two exposures and an intercept by their normal equations: each ts is one aggregate.
+EXPOSED = f"""wb as (select *, avg(ret) over (partition by ts) as bench from rets),
+ex0 as (select ts, symbol, ret, bench, ln(lag(volume) over ({W})) as size, lag(ret) over ({W}) as momentum, ("right"(symbol, 1)::double - 3) / 10 as weight from wb),
+ex as (select *, ret - bench as rest from ex0 where ret is not null and size is not null and momentum is not null),
+mo as (select ts, count(*) as n, avg(size) as m1, avg(momentum) as m2, avg(ret) as my, avg(rest) as mr, var_pop(size) as s11, var_pop(momentum) as s22, covar_pop(size, momentum) as s12,
+  covar_pop(size, ret) as s1y, covar_pop(momentum, ret) as s2y, covar_pop(size, rest) as s1r, covar_pop(momentum, rest) as s2r from ex group by ts),
+sl as (select *, (s1y * s22 - s2y * s12) / nullif(s11 * s22 - s12 * s12, 0) as b1, (s2y * s11 - s1y * s12) / nullif(s11 * s22 - s12 * s12, 0) as b2,
+  (s1r * s22 - s2r * s12) / nullif(s11 * s22 - s12 * s12, 0) as c1, (s2r * s11 - s1r * s12) / nullif(s11 * s22 - s12 * s12, 0) as c2 from mo),
+fit as (select *, my - b1 * m1 - b2 * m2 as b0, mr - c1 * m1 - c2 * m2 as c0 from sl),
+fr as (select ts, unnest(['market', 'size', 'momentum']) as factor, unnest([b0, b1, b2]) as ret from fit where n > 3)"""
+PARTS = """att as (select ts, sum(weight * ret) as total, sum(weight * bench) as systematic, sum(weight * case when n > 3 then c0 + c1 * size + c2 * momentum else 0 end) as factor from ex join fit using (ts) group by ts),
+comp as (select unnest(['systematic', 'factor', 'specific']) as component, unnest([systematic, factor, total - systematic - factor]) as x from att)"""
 CC = """kept as (select symbol from rets where ret is not null group by symbol having count(*) >= 100),
 panel as (select ts, symbol, ret from (select *, count(*) over (partition by ts) as k from rets where ret is not null and symbol in (select symbol from kept)) where k = (select count(*) from kept)),
 cov as (select a.symbol as i, b.symbol as j, covar_pop(a.ret, b.ret) as cov, count(*) as n from panel a join panel b on a.ts = b.ts and a.symbol <= b.symbol group by 1, 2)"""
@@ -557,7 +578,7 @@ select epoch(ts)::bigint as ts, symbol, {r('close', 5)} as close, {r('volume', 5
     "c_latest": f"with {DAY} select symbol, epoch(max(ts))::bigint as ts, {', '.join(f'{r(f'arg_max({c}, ts)')} as {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} from bars group by symbol",
     "c_streaks": f"with {DAY}, {RETS}, f as (select symbol, ts, ret > 0 as up from rets where ret is not null), i as (select *, row_number() over (partition by symbol order by ts) - row_number() over (partition by symbol, up order by ts) as island from f), c as (select symbol, up, island, count(*) as k from i group by all) select symbol, coalesce(max(k) filter (where up), 0) as longest_true, coalesce(max(k) filter (where not up), 0) as longest_false from c group by symbol",
     "c_hysteresis": f"with {HOUR}, {RETS}, {HELD} select symbol, sum(held)::bigint as bars_held, count(*) as n from held_ group by symbol",
-    "c_ewma": f"with {WEEK}, {RETS}, q as (select symbol, ret * ret as q, row_number() over (partition by symbol order by ts) as i, count(*) over (partition by symbol) as n from rets where ret is not null) select symbol, {r('avg(q) filter (where i <= least(n, 20)) * first(pow(0.97, n - least(n, 20))) + coalesce(sum(case when i > least(n, 20) then 0.03 * pow(0.97, n - i) * q end), 0)', 8)} as variance from q group by symbol",
+    "c_ewma": f"with {WEEK}, {RETS}, q as (select symbol, ret * ret as q, row_number() over (partition by symbol order by ts) as i, count(*) over (partition by symbol) as n from rets where ret is not null) select symbol, {r('avg(q) filter (where i <= 20) * first(pow(0.97, n - 20)) + coalesce(sum(case when i > 20 then 0.03 * pow(0.97, n - i) * q end), 0)', 8)} as variance from q where n >= 20 group by symbol",
     "x_scores": f"""with {DAY}, {RETS}, {XS} select epoch(ts)::bigint as ts, symbol, {r(FLAT_Z)} as z, {r('case when ret is not null then least(greatest(ret, q1), q2) end')} as w,
   {r('case when ret is not null then rank() over (partition by ts order by ret nulls last) + (count(*) over (partition by ts, ret) - 1) / 2.0 end')} as rank, {r('ret - mu')} as d,
   {r('case when ret is null or nn < 2 or sl is null or isnan(sl) then ret else ret - ic - sl * volume end')} as neutral, {r('case when ret is null then null when coalesce(sd, 0) <= 1e-12 * greatest(1, ma) then ret else least(greatest(ret, -sd), sd) end')} as capped from xs""",
@@ -577,8 +598,34 @@ select symbol, {r('min(dd)')} as max_drawdown, {r('avg(dd)')} as avg_drawdown, {
     "e_beta": f"""with {WEEK}, {RETS}, {BENCH}, g as (select symbol, count(*) as n, covar_samp(ret, bench) as c, var_samp(bench) as vb, var_samp(ret) as vr from rets join bench using (ts) where ret is not null group by symbol)
 select symbol, n, {r('c / vb')} as beta, {r('sqrt(greatest(vr - c * c / vb, 0) * 52)')} as residual_vol, {r('sqrt(vr * 52)')} as total_vol from g""",
     "e_covariance": f"with {WEEK}, {RETS}, {CC} select i, j, {r('cov', 8)} as cov, n from cov",
-    "e_shrunk": f"""with {WEEK}, {RETS}, {CC}, v as (select i as k, cov as v from cov where i = j), f as (select cov.*, a.v as vi, b.v as vj from cov join v a on a.k = i join v b on b.k = j), rho as (select avg(cov / sqrt(vi * vj)) as rho from f where i < j)
-select i, j, {r('case when i = j then cov else 0.3 * rho * sqrt(vi * vj) + 0.7 * cov end', 8)} as cov from f, rho""",
+    "e_shrunk": f"""with {WEEK}, {RETS}, {CC}, ce as (select ts, symbol, ret - avg(ret) over (partition by symbol) as x from panel),
+pr as (select a.symbol as i, b.symbol as j, avg(a.x * b.x) as cov, avg(a.x * a.x * b.x * b.x) as sq, avg(a.x * a.x * a.x * b.x) as xxxy, avg(b.x * b.x * b.x * a.x) as yyyx, avg(a.x * a.x) as vi, avg(b.x * b.x) as vj, count(*) as n
+  from ce a join ce b on a.ts = b.ts and a.symbol <= b.symbol group by 1, 2),
+rh as (select avg(cov / sqrt(vi * vj)) filter (where i < j) as rho from pr),
+tg as (select *, case when i < j then rho * sqrt(vi * vj) else cov end as target, case when i < j then 2 else 1 end as k from pr, rh),
+su as (select sum(k * (sq - cov * cov)) as p, sum(case when i < j then rho * (sqrt(vj / vi) * (xxxy - vi * cov) + sqrt(vi / vj) * (yyyx - vj * cov)) else sq - cov * cov end) as r, sum(k * (target - cov) ** 2) as gap, max(n) as t from tg),
+de as (select greatest(0, least(1, (p - r) / gap / t)) as d from su)
+select i, j, {r('d * target + (1 - d) * cov', 8)} as cov, {r('d', 8)} as intensity from tg, de""",
+    "e_metric_row": f"""with {WEEK}, {RETS}, {BENCH}, q as (select *, max(close) over ({W} rows unbounded preceding) as peak from rets join bench using (ts)),
+u as (select *, close / peak - 1 as dd, row_number() over ({W}) as i from q), v as (select *, i - row_number() over (partition by symbol, dd < 0 order by ts) as island from u),
+lo as (select symbol, max(k) as longest_under from (select symbol, count(*) as k from v where dd < 0 group by symbol, island) group by symbol),
+be as (select symbol, case when count(*) < 3 or {flat('bench')} or {flat('ret')} then 0 else regr_slope(ret, bench) end as beta from rets join bench using (ts) where ret is not null and bench is not null group by symbol),
+g as (select symbol, count(ret) as n, arg_min(close, ts) as first, arg_max(close, ts) as last, (epoch(max(ts)) - epoch(min(ts))) / (365.25 * 86400) as years, max(peak - close) as lost, min(dd) as mdd, avg(dd) as add, sqrt(avg(dd * dd)) as ulcer,
+  avg(ret) as mean, coalesce(stddev_samp(ret) * sqrt(52), 0) as volatility, {sharpe('ret', 52)} as sharpe, greatest(-quantile_cont(ret, 0.05), 0) as var_95, greatest(-quantile_cont(ret, 0.01), 0) as var_99 from u group by symbol),
+h as (select *, case when years > 0 and n >= 1 then pow(last / first, 1 / years) - 1 else 0 end as cagr from g)
+select symbol, n, n < 30 as low_sample, {r('cagr', 5)} as cagr, {r('volatility', 5)} as volatility, {r('sharpe', 5)} as sharpe, {r('mdd', 5)} as max_drawdown, {r('add', 5)} as avg_drawdown, {r('ulcer', 5)} as ulcer, coalesce(longest_under, 0) as longest_under,
+  {r('var_95', 5)} as var_95, {r('var_99', 5)} as var_99, {r("case when mdd = 0 then 'inf'::double else cagr / abs(mdd) end", 5)} as calmar, {r("case when add = 0 then 'inf'::double else cagr / abs(add) end", 5)} as sterling,
+  {r("case when lost = 0 then 'inf'::double else (last - first) / lost end", 5)} as recovery, {r('case when ulcer = 0 then 0 else cagr / ulcer end', 5)} as martin, {r('case when abs(beta) >= 0.05 then mean * 52 / beta else 0 end', 5)} as treynor
+from h left join lo using (symbol) join be using (symbol) where n > 0""",
+    "p_overfit": f"""with {WEEK}, {RETS}, sc as (select year(ts) as fold, coalesce(avg(ret) filter (where month(ts) <= 6), 0) as a, coalesce(avg(ret) filter (where month(ts) > 6), 0) as o from rets group by 1),
+nu as (select *, row_number() over (order by fold) - 1 as bit, count(*) over () as n from sc), ma as (select m from range((select 1 << max(n) from nu)) t(m) where bit_count(m) = (select max(n) // 2 from nu)),
+ea as (select m, arg_max(o, a) filter (where (m >> bit) & 1 = 1) as chosen, median(o) filter (where (m >> bit) & 1 = 0) as middle from ma, nu group by m)
+select {r('avg((chosen < middle)::int)')} as pbo, count(*) as splits from ea""",
+    "r_neutral": f"with {WEEK}, {RETS}, {EXPOSED} select epoch(ts)::bigint as ts, symbol, {r('case when n = 1 then ret when n <= 3 then 0 else ret - b0 - b1 * size - b2 * momentum end')} as residual from ex join fit using (ts)",
+    "r_factor_cov": f"with {WEEK}, {RETS}, {EXPOSED} select a.factor as i, b.factor as j, {r('covar_samp(a.ret, b.ret)')} as cov from fr a join fr b using (ts) group by 1, 2",
+    "r_specific": f"with {WEEK}, {RETS}, {EXPOSED} select symbol, {r('var_samp(ret - b0 - b1 * size - b2 * momentum)')} as variance from ex join fit using (ts) where n > 3 group by symbol",
+    "r_attribution": f"""with {WEEK}, {RETS}, {EXPOSED}, {PARTS}, g as (select component, sum(x) as total, avg(x) / nullif(stddev_samp(x), 0) as s, count(x) as n, var_samp(x) as v from comp group by component)
+select component, {r('total')} as total, {r('s * sqrt(52)')} as ir, {r('s * sqrt(n)')} as t_stat, {r('v / sum(v) over ()')} as variance_share from g""",
     "e_contributions": f"""with {WEEK}, {RETS}, {CC}, w as (select distinct symbol, ("right"(symbol, 1)::double + 1) / 100 as weight from panel), h as (select i, j, cov from cov union all select j, i, cov from cov where i < j),
 p as (select i, sum(cov * weight) as pull from h join w on w.symbol = j group by i), t as (select symbol, weight, pull, sum(weight * pull) over () as total from w join p on i = symbol)
 select symbol, {r('weight')} as weight, {r('pull / sqrt(total)')} as marginal, {r('weight * pull / total')} as share from t""",
@@ -636,8 +683,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         a_scan, a_upsert, a_intervals, a_gaps, a_missing, a_vintage, a_status, a_sql, c_indicators, c_latest, c_streaks, c_hysteresis, c_ewma,
-        x_scores, x_refine, x_combine, x_top, e_returns, e_drawdown, e_benchmark, e_beta, e_covariance, e_shrunk, e_contributions, e_information, e_ic_summary,
+        x_scores, x_refine, x_combine, x_top, e_returns, e_drawdown, e_metric_row, e_benchmark, e_beta, e_covariance, e_shrunk, e_contributions, e_information, e_ic_summary,
         e_trades, e_exit_reason, e_legs, g_trades, g_barriers, g_excursions, l_positions, l_reconcile, l_outcomes, t_families, t_leaderboard, t_duplicates,
-        t_compare, e_bar_summary, g_scan, g_forward, e_ic_by_lag, e_decay, e_forecast, e_regimes, x_buckets, e_exposure, e_excursion, e_capacity, e_active, j_asof, p_distribution, s_drift, r_neutral, r_factor_cov, r_specific, r_attribution, r_conditioned, r_har, a_journal, a_holdings, p_null, p_sweep, p_folds, p_bootstrap, w_barcheck, w_faults,
+        t_compare, e_bar_summary, g_scan, g_forward, e_ic_by_lag, e_decay, e_forecast, e_regimes, x_buckets, e_exposure, e_excursion, e_capacity, e_active, j_asof, p_distribution, s_drift, r_neutral, r_factor_cov, r_specific, r_attribution, r_conditioned, r_har, a_journal, a_holdings, p_null, p_sweep, p_folds, p_overfit, p_bootstrap, w_barcheck, w_faults,
     )
 }
