@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import factors, ledger, metrics, reports, risk, sweep, timeseries, trades, trials, xsection
+from ..operators import factors, ledger, metrics, reports, risk, studies, sweep, timeseries, trades, trials, xsection
 from ..sources import bars, coverage, ingest
 from ..streaming import barcheck
 
@@ -484,6 +484,66 @@ def p_folds(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(rows.groupBy("fold", "segment").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std")))
 
 
+def c_liquidity(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(studies.liquidity_inputs(bars.weekly(spark, sf)), 5)
+
+
+def c_gap(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(bars.hourly(spark, sf).select("ts", "symbol", studies.gap_score(F.col("close"), 5, 20).alias("gap")))
+
+
+def c_points(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(studies.rebalance_points(bars.weekly(spark, sf), 4, 24))
+
+
+def e_breadth(spark: SparkSession, sf: str) -> DataFrame:
+    found = studies.residual_correlation(with_bench(bars.weekly(spark, sf)))
+    return tidy(found.withColumn("breadth", studies.effective_breadth(F.col("names"), F.lit(12.0), F.coalesce("rho", F.lit(0.0)))))
+
+
+def x_case(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars.weekly(spark, sf).withColumn("ret", timeseries.simple_return(F.col("close")))
+    return tidy(studies.case_scale(b.withColumn("vol", timeseries.rolling_std(F.col("ret"), 10)), "ret", "vol"))
+
+
+def x_exposures(spark: SparkSession, sf: str) -> DataFrame:
+    b = with_bench(bars.weekly(spark, sf))
+    return tidy(studies.factor_exposures(b, risk.beta(b, 52.0), momentum=26, skip=4, vol=12), 5)
+
+
+def book(spark: SparkSession, sf: str) -> DataFrame:
+    """An open position for two of three brands, with its levels about the first close."""
+    k = F.right("symbol", F.lit(1)).cast("int")
+    first = bars.weekly(spark, sf).groupBy("symbol").agg(F.min_by("close", "ts").alias("price"))
+    side = F.when(k % 3 == 1, "BUY").when(k % 3 == 2, "SELL")
+    wide = lambda sign: F.col("price") * (1 + sign * F.when(side == "BUY", 0.1).otherwise(-0.1))
+    return first.select("symbol", side.alias("side"), wide(-1).alias("stop_loss"), wide(1).alias("take_profit")).where("side is not null")
+
+
+def g_exits(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(studies.exit_flags(bars.weekly(spark, sf), book(spark, sf)).select("ts", "symbol", "exit_reason", "signal"))
+
+
+def g_valid(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.month("ts") % 4
+    signals = bars.weekly(spark, sf).select("ts", "symbol", F.when(at == 0, "BUY").when(at == 1, "SELL").when(at == 2, "CLOSE_BUY").otherwise("CLOSE_SELL").alias("signal"))
+    return tidy(studies.valid_signals(signals, book(spark, sf)))
+
+
+def e_fill_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as orders: returned ones are unfilled, others lose their discount."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")  # noqa: E741
+    price, off = F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")
+    outcome = F.when(F.col("l_returnflag") == "R", "rounded").when(F.col("l_quantity") < 3, "too_small").otherwise("filled")
+    orders = l.select(F.year("l_shipdate").alias("year"), price.alias("requested"), F.when(outcome == "filled", price * (1 - off)).otherwise(0.0).alias("filled"), outcome.alias("outcome"))
+    return tidy(studies.fill_gaps(orders, ["year"]))
+
+
+def t_panel(spark: SparkSession, sf: str) -> DataFrame:
+    rets = returns_of(bars.weekly(spark, sf)).where("ret is not null").select(F.col("symbol").alias("trial_id"), "ts", "ret")
+    return tidy(studies.returns_panel(rets, 60))
+
+
 def p_overfit(spark: SparkSession, sf: str) -> DataFrame:
     """Years as folds: mean weekly return over all names in the first half of a year, and in the second."""
     half = lambda first: F.avg(F.when((F.month("ts") <= 6) == F.lit(first), F.col("ret")))
@@ -524,6 +584,8 @@ sig as (select *, case when ratio > 1.5 and abs(step) > 0.01 and volume >= 1 the
 LAGS = f"""lg as ({' union all '.join(f'select {k} as lag, ts, -ret as score, lead(ret, {k}) over ({W}) as fwd from rets' for k in (1, 2, 3, 4))}),
 pl as (select lag, ts, case when stddev_pop(score) * stddev_pop(fwd) > 1e-18 then covar_pop(score, fwd) / (stddev_pop(score) * stddev_pop(fwd)) end as ic from lg where score is not null and fwd is not null group by lag, ts),
 prof as (select lag, count(ic) as n, avg(ic) as mean_ic from pl group by lag)"""
+BOOK = """book as (select symbol, side, sg, price * (1 - sg * 0.1) as stop_loss, price * (1 + sg * 0.1) as take_profit
+  from (select symbol, arg_min(close, ts) as price, case "right"(symbol, 1)::int % 3 when 1 then 'BUY' when 2 then 'SELL' end as side, case "right"(symbol, 1)::int % 3 when 1 then 1 when 2 then -1 end as sg from bars group by symbol) where side is not null)"""
 #: Two exposures and an intercept by their normal equations: each ts is one aggregate.
 EXPOSED = f"""wb as (select *, avg(ret) over (partition by ts) as bench from rets),
 ex0 as (select ts, symbol, ret, bench, ln(lag(volume) over ({W})) as size, lag(ret) over ({W}) as momentum, ("right"(symbol, 1)::double - 3) / 10 as weight from wb),
@@ -617,6 +679,35 @@ select symbol, n, n < 30 as low_sample, {r('cagr', 5)} as cagr, {r('volatility',
   {r('var_95', 5)} as var_95, {r('var_99', 5)} as var_99, {r("case when mdd = 0 then 'inf'::double else cagr / abs(mdd) end", 5)} as calmar, {r("case when add = 0 then 'inf'::double else cagr / abs(add) end", 5)} as sterling,
   {r("case when lost = 0 then 'inf'::double else (last - first) / lost end", 5)} as recovery, {r('case when ulcer = 0 then 0 else cagr / ulcer end', 5)} as martin, {r('case when abs(beta) >= 0.05 then mean * 52 / beta else 0 end', 5)} as treynor
 from h left join lo using (symbol) join be using (symbol) where n > 0""",
+    "c_liquidity": f"""with {WEEK}, {RETS}, z as (select *, row_number() over (partition by symbol order by ts desc) as k, count(*) over (partition by symbol) as n from rets)
+select symbol, {r('coalesce(least(greatest(median((high - low) / nullif(close, 0)) * 0.1, 0.0001), 0.02), 0.0005)', 5)} as spread, {r('arg_max(close, ts) * avg(volume)', 5)} as adv_dollar, {r('coalesce(stddev_samp(ret), 0)', 5)} as daily_vol from z where k <= 20 and n >= 2 group by symbol""",
+    "c_gap": f"""with {HOUR}, hs as (select *, list(close) over ({W} rows unbounded preceding) as h from bars), em as (select *, list_reduce(h, lambda e, v: e * (1 - 2.0::double / 6) + v * 2.0::double / 6) as fast, list_reduce(h, lambda e, v: e * (1 - 2.0::double / 21) + v * 2.0::double / 21) as slow from hs)
+select epoch(ts)::bigint as ts, symbol, {r('(fast - slow) / nullif(slow, 0)')} as gap from em""",
+    "c_points": f"""with {WEEK}, ca as (select ts, row_number() over (order by ts) - 1 as k, count(*) over () as n from (select distinct ts from bars)), la as (select max(n) - 5 as l from ca),
+po as (select 30 + floor(i * (l - 30)::double / greatest(least(24, l - 30) - 1, 1))::bigint as k from la, range(24) t(i) where l > 30 and i < least(24, l - 30))
+select k, epoch(ts)::bigint as ts from ca where k in (select k from po)""",
+    "e_breadth": f"""with {WEEK}, {RETS}, {BENCH}, bo as (select symbol, ts, ret, bench from rets join bench using (ts) where ret is not null and bench is not null),
+fi as (select symbol, covar_samp(ret, bench) / nullif(var_samp(bench), 0) as beta from bo group by symbol having count(*) >= 20), le as (select ts, symbol, ret - beta * bench as x from bo join fi using (symbol) where beta is not null),
+ea as (select a.symbol as i, b.symbol as j, case when not ({flat('a.x')}) and not ({flat('b.x')}) then corr(a.x, b.x) end as c from le a join le b on a.ts = b.ts and a.symbol < b.symbol group by 1, 2 having count(*) >= 20),
+nm as (select count(distinct symbol) as names from rets), us as (select count(c) as pairs, avg(c) as m from ea), rr as (select names, pairs, case when pairs > 0 and pairs >= 0.5 * names * (names - 1) / 2 then m end as rho from nm, us)
+select names, pairs, {r('rho')} as rho, {r('12.0 * names / case when 1 + (names - 1) * coalesce(rho, 0) > 0 then 1 + (names - 1) * coalesce(rho, 0) else 1 end')} as breadth from rr""",
+    "x_case": f"""with {WEEK}, {RETS}, vo as (select *, case when count(ret) over w10 = 10 then stddev_samp(ret) over w10 end as vol, quantile_cont(ret, 0.025) over (partition by ts) as q1, quantile_cont(ret, 0.975) over (partition by ts) as q2 from rets window w10 as ({W} rows between 9 preceding and current row)),
+gg as (select ts, least(greatest(ret, q1), q2) as g, case when vol > 0 then vol end as vol from vo where ret is not null)
+select epoch(ts)::bigint as ts, {r('case when count(g) >= 2 and stddev_pop(g / vol) > 0 then stddev_pop(g) / stddev_pop(g / vol) end')} as scale from gg group by ts""",
+    "x_exposures": f"""with {WEEK}, {RETS}, {BENCH}, z as (select *, row_number() over (partition by symbol order by ts desc) as k from rets),
+be as (select symbol, case when count(*) >= 3 and var_samp(bench) > 1e-24 then covar_samp(ret, bench) / var_samp(bench) else 1 end as market from rets join bench using (ts) where ret is not null and bench is not null group by symbol),
+ra as (select symbol, max(close) filter (where k = 5) / nullif(max(close) filter (where k = 31), 0) - 1 as momentum, stddev_samp(ret) filter (where k <= 12) as volatility, ln(max(close) filter (where k = 1) * avg(volume) filter (where k <= 12)) as size from z where k <= 31 group by symbol having count(*) >= 31),
+fu as (select * from ra join be using (symbol) where momentum is not null and volatility is not null and size is not null), mo as (select count(*) as n, {', '.join(f'avg({c}) as m_{c}, stddev_pop({c}) as s_{c}' for c in ('market', 'momentum', 'volatility', 'size'))} from fu)
+select symbol, {', '.join(f"{r(f'({c} - m_{c}) / case when s_{c} > 0 then s_{c} else 1 end', 5)} as {c}" for c in ('market', 'momentum', 'volatility', 'size'))} from fu, mo where n >= 2""",
+    "g_exits": f"""with {WEEK}, {BOOK}, fl as (select ts, symbol, side, case when (close - take_profit) * sg >= 0 then 'TAKE_PROFIT' when (close - stop_loss) * sg <= 0 then 'STOP_LOSS' else '' end as exit_reason from bars join book using (symbol))
+select epoch(ts)::bigint as ts, symbol, exit_reason, case when exit_reason = '' then 'HOLD' else 'CLOSE_' || side end as signal from fl""",
+    "g_valid": f"""with {WEEK}, {BOOK}, si as (select ts, symbol, (['BUY', 'SELL', 'CLOSE_BUY', 'CLOSE_SELL'])[month(ts) % 4 + 1] as signal from bars)
+select epoch(ts)::bigint as ts, symbol, signal, case when signal like 'CLOSE_%' then coalesce('CLOSE_' || side = signal, false) else coalesce(side <> signal, true) end as valid from si left join book using (symbol)""",
+    "e_fill_gaps": f"""with o as (select year(l_shipdate) as year, l_extendedprice::double as p, l_discount::double as d, case when l_returnflag = 'R' then 'rounded' when l_quantity < 3 then 'too_small' else 'filled' end as outcome from lineitem)
+select year, count(*) as n, {r("coalesce((1 - sum(case when outcome = 'filled' then p * (1 - d) else 0 end) / nullif(sum(p), 0)) * 100, 0)")} as drag_pct, {r("count(*) filter (where outcome <> 'filled')::double / count(*) * 100")} as unfillable_pct from o group by year""",
+    "t_panel": f"""with {WEEK}, {RETS}, se as (select symbol as trial_id, ts, ret from rets where ret is not null), lo as (select trial_id from se group by 1 order by count(*) desc, trial_id limit 1),
+us as (select trial_id from se where ts in (select ts from se where trial_id = (select trial_id from lo)) group by 1 having count(*) >= 60), ro as (select * from se where trial_id in (select trial_id from us)),
+co as (select ts from ro group by ts having count(*) = (select count(*) from us)) select epoch(ts)::bigint as ts, trial_id, {r('ret')} as ret from ro where ts in (select ts from co) and (select count(*) from co) >= 60""",
     "p_overfit": f"""with {WEEK}, {RETS}, sc as (select year(ts) as fold, coalesce(avg(ret) filter (where month(ts) <= 6), 0) as a, coalesce(avg(ret) filter (where month(ts) > 6), 0) as o from rets group by 1),
 nu as (select *, row_number() over (order by fold) - 1 as bit, count(*) over () as n from sc), ma as (select m from range((select 1 << max(n) from nu)) t(m) where bit_count(m) = (select max(n) // 2 from nu)),
 ea as (select m, arg_max(o, a) filter (where (m >> bit) & 1 = 1) as chosen, median(o) filter (where (m >> bit) & 1 = 0) as middle from ma, nu group by m)
@@ -682,7 +773,7 @@ select symbol, count(*) as n, {r('arg_max(close, ts)')} as last_close, {r('arg_m
 QUERIES = {
     f.__name__: f
     for f in (
-        a_scan, a_upsert, a_intervals, a_gaps, a_missing, a_vintage, a_status, a_sql, c_indicators, c_latest, c_streaks, c_hysteresis, c_ewma,
+        a_scan, a_upsert, a_intervals, a_gaps, a_missing, a_vintage, a_status, a_sql, c_indicators, c_latest, c_streaks, c_hysteresis, c_ewma, c_liquidity, c_gap, c_points, x_case, x_exposures, e_breadth, g_exits, g_valid, e_fill_gaps, t_panel,
         x_scores, x_refine, x_combine, x_top, e_returns, e_drawdown, e_metric_row, e_benchmark, e_beta, e_covariance, e_shrunk, e_contributions, e_information, e_ic_summary,
         e_trades, e_exit_reason, e_legs, g_trades, g_barriers, g_excursions, l_positions, l_reconcile, l_outcomes, t_families, t_leaderboard, t_duplicates,
         t_compare, e_bar_summary, g_scan, g_forward, e_ic_by_lag, e_decay, e_forecast, e_regimes, x_buckets, e_exposure, e_excursion, e_capacity, e_active, j_asof, p_distribution, s_drift, r_neutral, r_factor_cov, r_specific, r_attribution, r_conditioned, r_har, a_journal, a_holdings, p_null, p_sweep, p_folds, p_overfit, p_bootstrap, w_barcheck, w_faults,
