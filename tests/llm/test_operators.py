@@ -206,6 +206,24 @@ def test_quality_lines():
     assert out["n_symbols"][0] == 3 + 9
 
 
+def test_quality_line_rules():
+    good = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(8))
+
+    def left(*lines):
+        raw = "\n".join([good, *lines]).encode()
+        out = quality.judge(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return out["clean_text"][0].as_py().removeprefix(good).split("\n")[1:]
+
+    assert left("Home", "About us", "Our news", "Contact") == []
+    assert left("Home", "About us", "Contact") == ["Home", "About us", "Contact"]  # a run of three
+    assert left("One.", "Two, ", "Three:", "Four!") == ["One.", "Two, ", "Three:", "Four!"]
+    assert left("Home", "About us", "", "Our news", "Contact") == ["Home", "About us", "", "Our news", "Contact"]
+    assert left("READ ALL OF THE LATEST OFFERS here") == [] and left("NATO and the EU met.") == ["NATO and the EU met."]
+    # Runs end with a document.
+    raw = [b"a\nb", b"c\nd"]
+    assert quality.judge(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 3, 6]))["n_lost_words"].tolist() == [0, 0]
+
+
 def test_sharding(docs, rows):
     out = sharding.rewritten(docs)
     got = out.collect()
@@ -378,6 +396,41 @@ def test_multi_index_finds_all_within_radius():
         assert any(np.unpackbits(items.near()[b, blocks[b]])[0] for b in range(decontam.BLOCKS))
 
 
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import shared_dir
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master))
+    assert shared_dir(fake("local[2]")) == shared_dir(fake("local[2]"))
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_toxicity_never_learns_from_held_out_labels(spark):
+    rng = random.Random(12)
+    rows = [(k, words(rng, 40, 2000) + (" grok blarg snarf" if k % 6 == 0 else "")) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, int(k % 6 == 0)) for k in range(900)]
+    flipped = [(k, 1 - v if zlib.crc32(str(k).encode()) % 5 == 0 else v) for k, v in labels]
+    score = lambda x: {r.doc_id: r.score for r in toxicity.toxicity(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect()}
+    assert score(labels) == score(flipped)
+
+
+def test_sharding_laws(spark):
+    rng = random.Random(13)
+    texts = [words(rng, rng.randrange(1, 400)) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[5], texts[5], None])], "doc_id long, text string")
+    got = sharding.rewritten(docs).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += len((r.text or "").encode()) + 16
+    mean = sum(size.values()) / 40
+    assert len(got) == 3003 and len(size) == 40 and max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
+
+
 def test_licenses(spark):
     rng = random.Random(1)
     long = licenses.TEMPLATES[1][1]

@@ -7,6 +7,8 @@ rejected. The cleaned text of kept documents is returned beside the counts.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,11 @@ MOST_SYMBOLS = 10
 MOST_SHOUTS, SHOUT_WORDS = 50, 3
 #: A line with so many separators, one for every so many words at least, is navigation.
 NAV_MARKS, NAV_WORDS = 3, 4
+#: Lines of so many words at most that end in none of STOPS are items of a menu where so many of them follow each other.
+STOPS = ".!?:;,\")"
+ITEM_WORDS, ITEM_LINES = 3, 4
+#: Percent of a line's ASCII letters that may be capitals; lines with fewer letters pass.
+MOST_CAPITALS, CAPITAL_LETTERS = 70, 20
 #: Percent of the words that a document may lose with its lines.
 MOST_LOST = 40
 LEAST_WORDS = 50
@@ -41,6 +48,7 @@ def _marks(chars: str) -> np.ndarray:
 
 _SYMBOL, _SHOUT, _SEPARATOR = _marks(SYMBOLS), _marks(SHOUTS), _marks(SEPARATORS)
 _SPACE = _marks(" \t\n\v\f\r")
+_STOP, _CAPITAL, _LETTER = _marks(STOPS), _marks(string.ascii_uppercase), _marks(string.ascii_letters)
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
@@ -86,6 +94,14 @@ def judge(data: np.ndarray, offsets: np.ndarray, texts: bool = True) -> dict:
     bad = 100 * (symbols[end] - symbols[start]) > MOST_SYMBOLS * line_ink
     bad |= (words >= SHOUT_WORDS) & (100 * n_shout > MOST_SHOUTS * words)
     bad |= (n_mark >= NAV_MARKS) & (n_mark * NAV_WORDS >= words)
+    capitals, letters = _running(_CAPITAL[data]), _running(_LETTER[data])
+    n_letters = letters[end] - letters[start]
+    bad |= (n_letters >= CAPITAL_LETTERS) & (100 * (capitals[end] - capitals[start]) > MOST_CAPITALS * n_letters)
+    closed = np.zeros(len(words), bool)
+    closed[full] = _STOP[data[w.end[words_to[full] - 1] - 1]]
+    item = (words > 0) & (words <= ITEM_WORDS) & ~closed
+    run = np.cumsum(np.concatenate([[False], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])) if len(item) else np.zeros(0, np.int64)
+    bad |= item & (np.bincount(run)[run] >= ITEM_LINES if len(run) else item)
     low = bytes(data).lower()
     for phrase in PHRASES:
         found = low.find(phrase.encode())
@@ -124,6 +140,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts, base_failed, kept and n_lost_words of every row of documents; see quality for null and empty texts."""
     return quality(table(spark, sf_dir, "documents"), texts=False)
 
 
@@ -138,12 +155,16 @@ lines as (select rid, unnest(string_split(text, chr(10))) as l, generate_subscri
 lw as (
   select *, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as nw, length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g')) as ink,
     length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) as sym, length(regexp_replace(l, '[^|]', '', 'g')) as bars,
-    len(regexp_extract_all(l || ' ', '[!?][\\x20\\x09-\\x0D]')) as shouts, row_number() over (partition by rid, l order by i) > 1 as again from lines),
+    len(regexp_extract_all(l || ' ', '[!?][\\x20\\x09-\\x0D]')) as shouts, length(regexp_replace(l, '[^A-Z]', '', 'g')) as caps, length(regexp_replace(l, '[^A-Za-z]', '', 'g')) as letters,
+    regexp_matches(l, '[.!?:;,")][\\x20\\x09-\\x0D]*$') as closed, row_number() over (partition by rid, l order by i) > 1 as again from lines),
+it as (select *, nw between 1 and 3 and not closed as item from lw),
+ru as (select *, i - row_number() over (partition by rid, item order by i) as run from it),
+li as (select *, item and count(*) over (partition by rid, item, run) >= 4 as listed from ru),
 judged as (
   select *, nw > 0 and again as dup,
-    100 * sym > 10 * ink or (nw >= 3 and 100 * shouts > 50 * nw) or (bars >= 3 and bars * 4 >= nw) or (nw > 0 and again)
+    100 * sym > 10 * ink or (nw >= 3 and 100 * shouts > 50 * nw) or (bars >= 3 and bars * 4 >= nw) or (nw > 0 and again) or listed or (letters >= 20 and 100 * caps > 70 * letters)
     or (nw <= 12 and regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of use|terms of service|cookie policy|accept cookies|enable javascript|subscribe to our newsletter|click here|sign up now|share this page|back to top')) as bad
-  from lw),
+  from li),
 agg as (select rid, sum(ink) as word_chars, sum(sym) as n_symbols, count(*) filter (where dup) as n_dup_lines, coalesce(sum(nw) filter (where bad), 0) as n_lost_words from judged group by rid),
 al as (
   select doc_id, coalesce(n_words, 0)::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
