@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to
 the shared folder and reads again as the next stage's docs. All stages but the last return the
-columns of documents.
+columns of documents. Every stage reads doc_id, text and source alone and passes other columns
+through, whatever their names; an empty table gives an empty one. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +15,27 @@ from tidemark.llm.common import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Null and empty texts are scored like others; repeated rows get one score; without labels nothing is rejected."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id. Repeated rows leave one; null ids, and texts without words, all stay; rows that only share an id stay with their own texts."""
     return jaccard.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts stay; repeated rows go or stay together."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it. Texts without words have no size and are never taken; a null source is one of its own; repeated rows are taken one by one."""
     return mixing.emit(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus in 40 shards of near equal bytes, with shard and slot, read back from the shard files."""
+    """The corpus in 40 shards of near equal bytes, with shard and slot, read back from the shard files. Null texts have no bytes; repeated rows each have a slot; columns called shard or slot are replaced."""
     return sharding.rewritten(docs)
 
 
