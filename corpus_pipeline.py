@@ -30,7 +30,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it. Texts without words have no size and are never taken; a null source is one of its own; repeated rows are taken one by one."""
+    """Every document as often as the mix of sources takes it. Texts without words have no size and are taken as often as others of their source; a null source is one of its own; repeated rows are taken one by one."""
     return mixing.emit(docs)
 
 
