@@ -563,14 +563,40 @@ def test_empty_tables(spark, empty):
     assert tokens.read_ids(tokens.write_ids(empty, scratch(spark, "none"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
-def test_pipeline_on_odd_rows(spark, docs):
-    import corpus_pipeline
-
+def written(spark, docs, labels, items):
     from tidemark.llm.common import scratch
 
     folder = scratch(spark, "sf")
-    spark.createDataFrame([(14, 0, 1), *[(k, 1, 0) for k in range(15, 33)], (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, "w1x w2x w3x w4x w5x w6x")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    docs.drop("shard").write.parquet(f"{folder}/documents.parquet")
-    out = corpus_pipeline.run(spark, folder)
-    assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 0
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_pipeline_on_odd_rows(spark, docs, rows):
+    import corpus_pipeline
+
+    item = " ".join(rows[14][1].split()[:20])
+    folder = written(spark, docs, [(14, 0, 1), *[(k, 1, 0) for k in range(15, 33)], (None, 1, 1)], [(1, item), (2, None)])
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder)
+        held[name] = now.collect()
+        if name != "sharding":
+            assert now.columns == docs.columns, name
+    assert {"doc_id", "text", "shard", "slot"} <= set(now.columns)
+    # Each stage keeps what it has no reason to drop, judged on its own input.
+    few, less = held["toxicity"], held["near_duplicates"]
+    assert sum(r.text is None or not r.text.strip() for r in less) == sum(r.text is None or not r.text.strip() for r in few)
+    assert {shingle_set(r.text) for r in less} <= {shingle_set(r.text) for r in few}
+    assert {str(r) for r in held["decontamination"]} == {str(r) for r in less if item not in (r.text or "")}
+    assert {str(r) for r in held["mixing"]} <= {str(r) for r in held["decontamination"]}
+    assert len(held["sharding"]) == len(held["mixing"])
+
+
+def test_pipeline_on_empty_tables(spark, empty):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, written(spark, empty, [], []))
+    assert out.count() == 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
