@@ -63,7 +63,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """One row per document: id, size, source_size, target, taken, copies (and with `rows` the whole row as the struct __row).
 
     Null text: size 0. Null source: a source of its own, last in order. Repeated rows count each
-    time; rows equal in id and size are interchangeable. Empty table: no rows. Columns other
+    time; rows equal in id and text are interchangeable. Empty table: no rows. Columns other
     than those named are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -74,11 +74,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             F.coalesce(F.col(source_col), F.lit("")).alias("g"),
             F.col(source_col).isNull().alias("g_null"),
             size.alias("size"),
+            F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).alias("name"),
+            F.xxhash64(text_col).alias("tie"),
             (F.struct(*docs.columns) if rows else F.lit(None).cast("boolean")).alias("__row"),
         )
         # Eight bands an octave.
         .withColumn("band", bits * 8 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0))) % 8)
-        .withColumn("salt", _hex(F.coalesce(F.col("id").cast("string"), F.lit("")), 3) % SALTS),
+        # Rows without an id are dealt out by their text.
+        .withColumn("salt", _hex(F.col("name"), 3) % SALTS)
+        .drop("name"),
         "mix-sizes",
     )
     source, band, cell = ["g", "g_null"], ["g", "g_null", "band"], ["g", "g_null", "band", "salt"]
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     targets = source_targets(bands.groupBy(*source).agg(F.sum("s").alias("source_size")))
     bands = bands.select(*band, F.coalesce(F.sum("n").over(Window.partitionBy(*source).orderBy("band").rowsBetween(*before)), F.lit(0)).alias("band_base")).join(targets, source)
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(Window.partitionBy(*band).orderBy("salt").rowsBetween(*before)), F.lit(0)).alias("cell_base")).join(bands, band)
-    placed = sized.join(cells, cell).withColumn("k", F.col("band_base") + F.col("cell_base") + F.row_number().over(Window.partitionBy(*cell).orderBy("id", "size")))
+    placed = sized.join(cells, cell).withColumn("k", F.col("band_base") + F.col("cell_base") + F.row_number().over(Window.partitionBy(*cell).orderBy("id", "size", "tie")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
     offset = _hex(F.concat(F.lit(SEED), F.col("g_null").cast("string"), F.col("g")), 8) / F.lit(4294967296.0)
     counted = placed.withColumn("copies", (F.floor(rate * F.col("k") + offset) - F.floor(rate * (F.col("k") - 1) + offset)).cast("long"))
@@ -105,16 +109,17 @@ def emit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of documents; see mix for nulls, ties and repeated rows."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = """
 with sized as (
   select doc_id, coalesce(source, '') g, source is null g_null,
-    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size from documents),
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, coalesce(doc_id::varchar, text, '') as name from documents),
 banded as (
   select *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 band,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 3))::bigint salt from sized),
+    ('0x' || substr(md5(name), 1, 3))::bigint salt from sized),
 sources as (select g, g_null, sum(size)::bigint source_size from sized group by all),
 ranked as (select *, row_number() over (order by g_null, g) as rank from sources),
 capped as (select *, (rank - 1) % 3 + 1 as weight, source_size * 3 as cap, source_size * 3 / ((rank - 1) % 3 + 1)::double as cap_ratio from ranked),
