@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import factors, ledger, metrics, risk, sweep, timeseries, trades, trials, xsection
+from tidemark.plans import desk
 from tidemark.plans import queries as market
 from tidemark.sources import bars, coverage, ingest
 from tidemark.streaming import barcheck
@@ -42,11 +43,14 @@ def flat_rows(frame):
     return columns, sorted(tuple(cell(v) for v in row) for row in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(market.QUERIES))
+QUERIES, SQL = market.QUERIES | desk.QUERIES, market.SQL | desk.SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    got = market.QUERIES[name](spark, SF).toPandas()
-    if name in market.SQL:
-        assert flat_rows(got) == flat_rows(duck.sql(market.SQL[name]).df())
+    got = QUERIES[name](spark, SF).toPandas()
+    if name in SQL:
+        assert flat_rows(got) == flat_rows(duck.sql(SQL[name]).df())
     else:
         assert len(got) > 0
 

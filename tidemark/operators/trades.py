@@ -33,14 +33,24 @@ def from_signals(bars: DataFrame) -> DataFrame:
     )
 
 
+def during(trades: DataFrame, bars: DataFrame, key: str, columns: list[str], every: str = "month") -> DataFrame:
+    """trades beside the bars (ts and `columns`) of their key from entry_time to exit_time, both included.
+
+    Trades and bars meet in calendar pieces of a key, so a trade is only held against the pieces
+    it spans, and one key is many groups.
+    """
+    piece = F.explode(F.sequence(F.date_trunc(every, "entry_time"), F.date_trunc(every, "exit_time"), F.expr(f"interval 1 {every}"))).alias("__piece")
+    cut = bars.select(key, "ts", *columns, F.date_trunc(every, "ts").alias("__piece"))
+    return trades.select("*", piece).join(cut, [key, "__piece"]).where((F.col("ts") >= F.col("entry_time")) & (F.col("ts") <= F.col("exit_time"))).drop("__piece")
+
+
 def barrier_exits(trades: DataFrame, bars: DataFrame, *, stop: float, take: float) -> DataFrame:
     """The first bar of a trade that crosses its stop or its target: symbol, entry_time, hit_time, reason, price.
 
-    Inside one bar the stop comes first; a gap fills at the open. The join is by symbol and the
-    trade's span of time.
+    Inside one bar the stop comes first; a gap fills at the open.
     """
     t = trades.select("symbol", "entry_time", "exit_time", (F.col("entry_price") * (1 - stop)).alias("s"), (F.col("entry_price") * (1 + take)).alias("t"))
-    inside = t.join(bars.select("symbol", "ts", "open", "high", "low"), "symbol").where((F.col("ts") >= F.col("entry_time")) & (F.col("ts") < F.col("exit_time")))
+    inside = during(t, bars, "symbol", ["open", "high", "low"]).where(F.col("ts") < F.col("exit_time"))
     hit = inside.withColumn("reason", F.when(F.col("low") <= F.col("s"), "STOP_LOSS").when(F.col("high") >= F.col("t"), "TAKE_PROFIT")).where("reason is not null")
     price = F.when(F.col("reason") == "STOP_LOSS", F.least("s", "open")).otherwise(F.greatest("t", "open"))
     return hit.groupBy("symbol", "entry_time").agg(F.min("ts").alias("hit_time"), F.min_by("reason", "ts").alias("reason"), F.min_by(price, "ts").alias("price"))
@@ -48,7 +58,7 @@ def barrier_exits(trades: DataFrame, bars: DataFrame, *, stop: float, take: floa
 
 def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Worst and best move of each trade while held, percent of entry, floored at 0: symbol, entry_time, mae_pct, mfe_pct."""
-    inside = trades.join(bars.select("symbol", "ts", "high", "low"), "symbol").where((F.col("ts") >= F.col("entry_time")) & (F.col("ts") <= F.col("exit_time")))
+    inside = during(trades, bars, "symbol", ["high", "low"])
     return inside.groupBy("symbol", "entry_time", "entry_price").agg(F.min("low").alias("l"), F.max("high").alias("h")).select(
         "symbol", "entry_time",
         F.greatest(100 * (1 - ratio(F.col("l"), F.col("entry_price"))), F.lit(0.0)).alias("mae_pct"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import IN_SAMPLE, in_sample, sharpe_basis
 from ..functions.scalars import is_flat
 
 FAMILY = ("strategy", "universe_hash", "accounting")
@@ -23,10 +24,71 @@ def leaderboard(trials: DataFrame, n: int, by: str = "oos_sharpe") -> DataFrame:
     return ranked.join(family_counts(trials), list(FAMILY), "left")
 
 
-def listing(trials: DataFrame, *, min_sharpe: float | None = None, kinds: list[str] | None = None, contaminated: bool = False) -> DataFrame:
-    out = trials if contaminated else trials.where("contaminated_at is null")
-    out = out if min_sharpe is None else out.where(F.col("oos_sharpe") >= min_sharpe)
-    return out if kinds is None else out.where(F.col("kind").isin(*kinds))
+def listing(
+    trials: DataFrame, *, sort: str = "ts", n: int | None = None, offset: int = 0, since: Column | None = None, until: Column | None = None, before: Column | None = None,
+    min_sharpe: float | None = None, kinds: list[str] | None = None, strategy: str | None = None, universe: str | None = None, accounting: int | None = None, contaminated: bool = True, include_in_sample: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(the rows asked for, newest or best first, with sharpe_basis and in_sample; one row of counts: total, hidden, undated).
+
+    sort: ts, oos_sharpe or deflated_sharpe, missing values last, ties by id. Sorted or cut by a
+    metric, it is a ranking and hides trials measured in sample, unless their kind is asked for;
+    `hidden` counts those. `undated` counts those that a bound on time leaves out for having none.
+    A `since`, `until` (both included) or `before` bound is a column of the type of ts.
+    """
+    fits = F.lit(True)
+    for name, value in (("strategy", strategy), ("universe_hash", universe), ("accounting", accounting)):
+        fits = fits if value is None else fits & (F.col(name) == value)
+    fits = fits if kinds is None else fits & F.col("kind").isin(*kinds)
+    fits = fits if min_sharpe is None else fits & (F.col("oos_sharpe") >= min_sharpe)
+    fits = fits if contaminated else fits & F.col("contaminated_at").isNull()
+    dated = F.lit(True)
+    for bound, test in ((since, F.col("ts").__ge__), (until, F.col("ts").__le__), (before, F.col("ts").__lt__)):
+        dated = dated if bound is None else dated & test(bound)
+    bounded = any(x is not None for x in (since, until, before))
+    ranks = (sort != "ts" or min_sharpe is not None) and not include_in_sample and not set(kinds or ()) & set(IN_SAMPLE)
+    shown = ~in_sample(F.col("kind")) if ranks else F.lit(True)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    counts = trials.agg(F.count_if(yes(fits & dated & shown)).alias("total"), F.count_if(yes(fits & dated & ~shown)).alias("hidden"), F.count_if(yes(fits & shown & F.lit(bounded) & F.col("ts").isNull())).alias("undated"))
+    rows = trials.where(fits & dated & shown).withColumns({"sharpe_basis": sharpe_basis(F.col("kind")), "in_sample": in_sample(F.col("kind"))}).orderBy(F.col(sort).desc_nulls_last(), "id").offset(offset)
+    return (rows if n is None else rows.limit(n)), counts
+
+
+def resolved(trials: DataFrame, refs: DataFrame, least: int = 4) -> DataFrame:
+    """(ref) -> ref, id, n: the trial a reference names. An exact id wins; else a prefix of `least` characters and more if only one id has it; n counts the ids with that prefix.
+
+    Ids meet references by the first `least` characters.
+    """
+    r = refs.select(F.trim("ref").alias("ref")).distinct()
+    head = lambda c: F.substring(c, 1, least)
+    exact = r.join(trials.select(F.col("id").alias("ref"), F.col("id").alias("__exact")).distinct(), "ref", "left")
+    long = trials.select("id", head("id").alias("__h")).distinct()
+    near = exact.where(F.length("ref") >= least).withColumn("__h", head("ref")).join(long, "__h").where("startswith(id, ref)").groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("__one"))
+    return exact.join(near, "ref", "left").select("ref", F.coalesce("__exact", F.when(F.col("n") == 1, F.col("__one"))).alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def detail(trials: DataFrame, returns: DataFrame, weights: DataFrame, trades: DataFrame) -> DataFrame:
+    """trials beside the span of their returns (trial_id, ts), the number of their trades, and the count and sum of their weights (trial_id, symbol, weight); nulls where there are none.
+
+    params_json and metrics_json, where present, are also read as maps, empty if broken.
+    """
+    span = returns.groupBy("trial_id").agg(F.count("*").alias("periods"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    held = weights.groupBy("trial_id").agg(F.count("*").alias("n_weights"), F.sum("weight").alias("net_weight"))
+    traded = trades.groupBy("trial_id").agg(F.count("*").alias("n_trades"))
+    out = trials.withColumns({"sharpe_basis": sharpe_basis(F.col("kind")), "in_sample": in_sample(F.col("kind"))})
+    for name in ("params", "metrics"):
+        if f"{name}_json" in trials.columns:
+            out = out.withColumn(name, F.coalesce(F.from_json(f"{name}_json", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    for part in (span, held, traded):
+        out = out.join(part.withColumnRenamed("trial_id", "id"), "id", "left")
+    return out
+
+
+def store_status(trials: DataFrame, journal: DataFrame) -> DataFrame:
+    """One row: rows, trial_lines (of the journal's lines with a trial tool), orphaned, contaminated, drift; journal: (tool), one row a readable line."""
+    kept = trials.agg(F.count("*").alias("rows"), F.count_if(F.col("strategy").isNull()).alias("orphaned"), F.count_if(F.col("contaminated_at").isNotNull()).alias("contaminated"))
+    lines = journal.agg(F.count("*").alias("lines"), F.count_if(F.col("tool").startswith("trial:") | (F.col("tool") == "research:trial")).alias("trial_lines"))
+    # Both sides are one row.
+    return kept.join(F.broadcast(lines)).withColumn("drift", (F.col("rows") < F.col("trial_lines")) | (F.col("orphaned") > 0))
 
 
 def duplicates(trials: DataFrame, identity: list[str]) -> DataFrame:

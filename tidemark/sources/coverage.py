@@ -59,3 +59,31 @@ def status(fetches: DataFrame, bars: DataFrame) -> DataFrame:
 def missing(fetches: DataFrame, requests: DataFrame) -> DataFrame:
     """The hull of all gaps of a symbol over its requests."""
     return gaps(fetches, requests).groupBy("symbol").agg(F.min("gap_start").alias("start"), F.max("gap_end").alias("end"), F.count("*").alias("n_gaps"))
+
+
+def record_fetch(fetches: DataFrame, done: DataFrame) -> DataFrame:
+    """fetches with the intervals just fetched (symbol, start, end, fetched_at), whether or not they brought a bar."""
+    return fetches.unionByName(done.select(*fetches.columns))
+
+
+def forget(fetches: DataFrame, symbols: DataFrame) -> DataFrame:
+    return fetches.join(symbols.select("symbol").distinct(), "symbol", "left_anti")
+
+
+def clipped(incoming: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The incoming bars that lie in a gap (symbol, gap_start, gap_end), both ends included, each once."""
+    g = wanted.select("symbol", "gap_start", "gap_end")
+    return incoming.join(g, (incoming.symbol == g.symbol) & (F.col("ts") >= F.col("gap_start")) & (F.col("ts") <= F.col("gap_end")), "left_semi")
+
+
+def warm_summary(fetches: DataFrame, requests: DataFrame) -> DataFrame:
+    """symbol, already_cached, gaps_to_fetch of each symbol that the requests name."""
+    found = gaps(fetches, requests).groupBy("symbol").agg(F.count("*").alias("n"))
+    return requests.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.col("n").isNull().alias("already_cached"), F.coalesce("n", F.lit(0)).alias("gaps_to_fetch"))
+
+
+def refresh_windows(fetches: DataFrame, requests: DataFrame) -> DataFrame:
+    """(symbol, start, end; a null bound takes that of the symbol's coverage) -> symbol, refreshed, start, end; not refreshed if a bound is still unknown."""
+    known = fetches.groupBy("symbol").agg(F.min("start").alias("__s"), F.max("end").alias("__e"))
+    both = requests.join(known, "symbol", "left").select("symbol", F.coalesce("start", "__s").alias("start"), F.coalesce("end", "__e").alias("end"))
+    return both.select("symbol", (F.col("start").isNotNull() & F.col("end").isNotNull()).alias("refreshed"), "start", "end")
