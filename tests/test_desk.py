@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
-from tidemark.operators import execution, scanners, trials, walkforward
+from tidemark.operators import execution, research, scanners, trials, walkforward
 from tidemark.streaming import signals
 
 BAR = "ts string, symbol string, open double, high double, low double, close double, volume double"
@@ -133,3 +133,46 @@ def test_stress_scales_its_axis_and_stops_at_the_first_failure(spark, axis, cost
     assert [r.cost for r in rows] == costs and [r.survives for r in rows] == [True, True]
     worse = execution.stressed(t.withColumn("gross", F.col("gross") - 8), [1.0, 5.0]).collect()
     assert not any(r.survives for r in worse)
+
+
+def series(spark, rows, columns):
+    return spark.createDataFrame(rows, columns)
+
+
+def test_linking_survives_a_total_loss(spark):
+    rows = series(spark, [("A", 1, 0.5, 0.5, 0.0, 0.1), ("A", 2, -1.0, -1.0, 0.0, 0.2), ("A", 3, 0.5, 0.5, 0.0, 0.4)], "k string, t int, active double, portfolio double, bench double, x double")
+    got = research.linked(rows, ["k"], "t", ["x"]).first()
+    assert got.linked_x == pytest.approx(0.1 + 0.2 * 1.5) and got.naive == pytest.approx(-1.0) and got.honest == pytest.approx(-1.0) and got.delta == pytest.approx(0.0)
+
+
+def test_blend_rests_on_the_prior_without_data(spark):
+    rows = series(spark, [("A", None), ("A", float("nan")), ("B", 0.1)], "k string, x double")
+    got = {r.k: r for r in research.blended_stats(rows, ["k"], "x", per_year=4.0, prior=0.04, t0=3.0).collect()}
+    assert (got["A"].periods, got["A"].mean, got["A"].vol, got["A"].ir, got["A"].t_stat) == (0, 0.0, pytest.approx(0.2), 0.0, 0.0)
+    assert got["B"].vol == pytest.approx(0.2) and got["B"].t_stat == pytest.approx(0.5)
+
+
+def test_case_test_needs_history_and_dispersion(spark):
+    scores = series(spark, [(t, s, (t % 3 - 1) * (1.0 + k) * (1.05 if k == 1 else 1.0)) for t in range(40) for k, s in enumerate("ABCD")], "ts int, symbol string, score double")
+    vols = series(spark, [(s, 1.0 + k) for k, s in enumerate("ABCD")], "symbol string, vol double")
+    row = research.case_test(scores, vols, price_derived=False).first()
+    assert row.case == 2 and row.r2 == pytest.approx(1.0, abs=0.02) and row.t_stat > 5
+    flat = research.case_test(scores, vols.withColumn("vol", F.lit(1.0))).first()
+    assert (flat.case, flat.why, flat.slope, flat.ambiguous) == (2, "no dispersion", 0.0, True)
+    short = research.case_test(scores.where("ts < 10"), vols, price_derived=False).first()
+    assert (short.case, short.why, short.n_obs) == (1, "insufficient history", 10)
+    assert research.case_test(scores.where("false"), vols).first().why == "insufficient history"
+
+
+def test_redundant_signals_share_their_weight(spark):
+    rows = [(t, f"s{k}", float(k), float(k), float((k * 7 + t) % 5) + 0.3 * k) for t in range(30) for k in range(8)]
+    panel = series(spark, rows, "ts int, symbol string, a double, b double, resid double")
+    a, b = research.measured_signals(panel, ["a", "b"]).collect()
+    assert a.weight == pytest.approx(b.weight) and a.periods == 30 and a.weight > 0
+    assert [r.weight for r in research.measured_signals(panel.where("symbol < 's4'"), ["a", "b"]).collect()] == [0.0, 0.0]
+
+
+def test_regimes_need_six_known_volatilities(spark):
+    rows = series(spark, [(0.04, 0.01 * k, float(k)) for k in range(5)], "variance double, active double, vol double")
+    assert research.error_by_regime(rows, 12.0).count() == 0
+    assert {r.regime: r.n for r in research.error_by_regime(rows.unionAll(rows), 12.0).collect()} == {"low": 4, "mid": 4, "high": 2}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import factors, ledger, metrics, risk, sweep, timeseries, trades, trials, xsection
-from tidemark.plans import desk
+from tidemark.plans import alpha, desk
 from tidemark.plans import queries as market
 from tidemark.sources import bars, coverage, ingest
 from tidemark.streaming import barcheck
@@ -43,7 +43,7 @@ def flat_rows(frame):
     return columns, sorted(tuple(cell(v) for v in row) for row in frame[columns].astype(object).itertuples(index=False))
 
 
-QUERIES, SQL = market.QUERIES | desk.QUERIES, market.SQL | desk.SQL
+QUERIES, SQL = market.QUERIES | desk.QUERIES | alpha.QUERIES, market.SQL | desk.SQL | alpha.SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
