@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import decontam, html, jaccard, licenses, mixing, quality, sharding, substrings, tokens, toxicity
+from . import decontam, html, jaccard, licenses, mixing, quality, repetition, sharding, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality": quality.op10_quality,
+    "op11_runs": repetition.op11_runs,
 }
 SQL = {"op6_mixing": mixing.OP6_SQL, "op10_quality": quality.OP10_SQL}
