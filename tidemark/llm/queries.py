@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
-from . import conversations, decontam, html, jaccard, licenses, mixing, quality, repetition, sharding, substrings, tokens, toxicity
+from . import contexts, conversations, decontam, html, jaccard, licenses, mixing, quality, repetition, sharding, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_quality": quality.op10_quality,
     "op11_runs": repetition.op11_runs,
+    "op12_contexts": contexts.op12_contexts,
     "op13_repair": conversations.op13_repair,
 }
 SQL = {"op6_mixing": mixing.OP6_SQL, "op10_quality": quality.OP10_SQL}
