@@ -25,6 +25,50 @@ def covariance(panel: DataFrame) -> DataFrame:
     return a.join(b, "ts").where("i <= j").groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
 
 
+def chunk_sums(chunks, n: int):
+    """(rows, means, sums of squares and products about them) of returns that come as arrays of rows x n, held one chunk at a time: memory is one chunk and one n x n matrix, however many chunks there are."""
+    import numpy as np
+
+    count, mean, spread = 0, np.zeros(n), np.zeros((n, n))
+    for x in chunks:
+        if not len(x):
+            continue
+        own = x.mean(axis=0)
+        x = x - own
+        gap, total = own - mean, count + len(x)
+        spread += x.T @ x + np.outer(gap, gap) * (count * len(x) / total)
+        mean += gap * (len(x) / total)
+        count = total
+    return count, mean, spread
+
+
+def streamed_covariance(panel: DataFrame, symbols: list[str]) -> DataFrame:
+    """The covariance of `covariance` for a complete-case panel of these symbols, without joining it with itself: i, j, cov, n.
+
+    Each ts becomes one vector; a task folds its vectors into one matrix as they stream by and
+    gives out that matrix, so memory is that of the matrix and a shuffle carries one matrix a task.
+    The names are a bounded list, the columns of the matrix.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = sorted(symbols)
+    place = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("symbol")) - 1
+    rows = panel.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), "ret"))).alias("x")).where(F.size("x") == len(names)).select(F.col("x.ret").alias("x"))
+
+    def fold(batches):
+        n, mean, spread = chunk_sums((b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names)) for b in batches), len(names))
+        if n:
+            i, j = np.triu_indices(len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.full(len(i), n, np.int64)), pa.array(mean[i]), pa.array(mean[j]), pa.array(spread[i, j])], names=["a", "b", "n", "x", "y", "s"])
+
+    sums = rows.mapInArrow(fold, "a int, b int, n long, x double, y double, s double").groupBy("a", "b").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("x")).alias("sx"), F.sum(F.col("n") * F.col("y")).alias("sy"), F.sum(F.col("n") * F.col("x") * F.col("y")).alias("sxy")
+    )
+    name = lambda c: F.get(F.array(*[F.lit(s) for s in names]), F.col(c))
+    return sums.select(name("a").alias("i"), name("b").alias("j"), ((F.col("s") + F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n")).alias("cov"), "n")
+
+
 def shrunk(panel: DataFrame) -> DataFrame:
     """i, j (i <= j), cov, intensity: the covariance blended with the constant-correlation matrix of the same variances.
 
