@@ -201,7 +201,7 @@ def test_batch_verdicts_hold_no_symbol_whole(spark, monkeypatch):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before, path = spark.conf.get(name), bars.daily(spark, SF)
     some = path.withColumn("close", F.when(F.dayofmonth("ts") == 7, -1.0).otherwise(F.col("close")))
-    one = some.withColumn("symbol", F.lit("A")).dropDuplicates(["ts"]).unionByName(some.withColumn("symbol", F.lit(None).cast("string")).dropDuplicates(["ts"])).unionByName(some).localCheckpoint()
+    one = some.withColumn("symbol", F.lit("A")).dropDuplicates(["ts"]).unionByName(some.withColumn("symbol", F.lit(None).cast("string")).dropDuplicates(["ts"])).unionByName(some).persist()
     try:
         want = sorted(map(tuple, barcheck.batch_verdicts(one).collect()), key=str)
         spark.conf.set(name, "7")

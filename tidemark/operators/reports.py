@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -54,6 +54,45 @@ def decay_fit(profile: DataFrame) -> DataFrame:
     return profile.where("mean_ic > 0").agg(F.count("*").alias("lags"), slope.alias("rate"), F.when(slope < 0, math.log(2) / -slope).alias("half_life"), F.exp(cut).alias("level"))
 
 
+#: Fixed value: the horizon, in time constants of the decay, at which a decaying signal tells most about a return (where e**x = 1 + 2x).
+PEAK = 1.2564312086
+
+
+def horizon_fit(profile: DataFrame, z: float = 1.96) -> DataFrame:
+    """(lag, mean_ic) -> one row: lags used, delta (kept a period), half_life, ic0, r_squared, the slope's standard error, the half-life at z errors to either side, peak_horizon.
+
+    Fitted on the logarithm of the positive coefficients from lag 0 on; under two of them only
+    r_squared, 0, is given. A profile that does not decay has an infinite half-life. Under three
+    lags there is no error, and both bounds are the half-life. All from moments of one pass.
+    """
+    x, y = F.col("lag").cast("double"), F.ln("mean_ic")
+    sums = profile.where("mean_ic > 0 and lag >= 0").agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
+    left = F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0))
+    some = F.col("n") >= 2
+    error = F.when((F.col("n") > 2) & (F.col("sxx") > 0), F.sqrt(left / F.when(F.col("n") > 2, F.col("n") - 2) / F.when(F.col("sxx") > 0, F.col("sxx"))))
+    life = lambda slope: F.when(slope < 0, -math.log(2) / slope).otherwise(float("inf"))
+    b = F.col("b")
+    only = lambda c: F.when(some, c)
+    return sums.select(
+        F.col("n").alias("lags"), only(F.exp(b)).alias("delta"), only(life(b)).alias("half_life"), only(F.exp("a")).alias("ic0"), F.when(some & (F.col("syy") > 0), 1 - left / F.when(F.col("syy") > 0, F.col("syy"))).otherwise(0.0).alias("r_squared"),
+        error.alias("slope_error"), only(life(b - z * F.coalesce(error, F.lit(0.0)))).alias("half_life_lower"), only(life(b + z * F.coalesce(error, F.lit(0.0)))).alias("half_life_upper"), only(PEAK / math.log(2) * life(b)).alias("peak_horizon"),
+    )
+
+
+def cadence_curve(profile: DataFrame) -> DataFrame:
+    """(lag, mean_ic) -> lag, ir (the coefficient over the root of the lag) for lags of 1 and more, and whether it is the recommended cadence: the least lag of the highest ir."""
+    rows = profile.where("lag >= 1").select("lag", (F.col("mean_ic") / F.sqrt(F.col("lag").cast("double"))).alias("ir"))
+    best = rows.agg(F.min_by("lag", F.struct(-F.col("ir"), F.col("lag"))).alias("best"))
+    return rows.join(F.broadcast(best)).select("lag", "ir", (F.col("lag") == F.col("best")).alias("recommended"))
+
+
+def blend_weights(gamma: Column, rho: Column) -> tuple[Column, Column]:
+    """Weights on a signal and its lagged copy that give the best coefficient, for a decay gamma and an autocorrelation rho; (1, 0) where they cannot be told apart."""
+    total = (1 - gamma * rho) + (gamma - rho)
+    now = F.when(F.abs(total) < 1e-12, 1.0).otherwise((1 - gamma * rho) / F.when(F.abs(total) >= 1e-12, total))
+    return now, 1 - now
+
+
 def forecast_quality(pairs: DataFrame) -> DataFrame:
     """(symbol, realized, forecast) variances -> Mincer-Zarnowitz intercept, slope, r2 and mean QLIKE over positive pairs."""
     good = pairs.where("realized > 0 and forecast > 0")

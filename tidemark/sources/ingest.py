@@ -47,6 +47,13 @@ def holdings(rows: DataFrame) -> DataFrame:
 
 
 def trades_payload(trades: DataFrame, most: int) -> tuple[DataFrame, int, bool]:
-    """(the first `most` trades by exit time, how many there are, whether some are left out)."""
+    """(the first `most` trades by exit time and then by all other columns, how many there are, whether some are left out)."""
     total = trades.count()
-    return trades.orderBy("exit_time").limit(most), total, total > most
+    rest = sorted(c for c in trades.columns if c != "exit_time")
+    return trades.orderBy("exit_time", *rest).limit(most), total, total > most
+
+
+def payload(trades: DataFrame, most: int = 5000) -> dict:
+    """columns, rows (of the first `most` trades, as trades_payload takes them), total_rows, truncated: bounded by `most`, for a reader outside Spark."""
+    first, total, truncated = trades_payload(trades, most)
+    return {"columns": first.columns, "rows": [list(r) for r in first.collect()], "total_rows": total, "truncated": truncated}
