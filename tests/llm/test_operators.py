@@ -498,6 +498,34 @@ def test_html_long_attributes():
     assert time.process_time() - began < 30
 
 
+LINE = "This sentence is long enough, with commas, to count as a paragraph of text."
+PART = f"<p>{LINE}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<main><section>{PART * 8}</section><section><p>Short one.</p></section><section>{PART * 2}</section></main>", [LINE] * 8 + ["Short one."] + [LINE] * 2),
+        (f"<div><section>{PART * 8}</section><section><h2>End</h2><p>Short one.</p></section></div>", [LINE] * 8 + ["End", "Short one."]),
+        (f"<main><div>{PART * 4}</div><ul><li>one</li><li>two</li></ul><div>{PART}</div></main>", [*[LINE] * 4, "one", "two", LINE]),
+        (f"<main><div>{PART * 4}</div><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></main>", [LINE] * 4),
+        (f"<article>{PART}<figure><pre>a = 1</pre><figcaption>Caption.</figcaption></figure>{PART}</article>", [LINE, "a = 1", "Caption.", LINE]),
+        (f"<article>{PART}<figure><table><tr><td>1</td><td>2</td></tr></table></figure></article>", [LINE, "1", "2"]),
+        (f"<article>{PART}<p>Given <math><mi>x</mi></math> it holds.</p></article>", [LINE, "Given x it holds."]),
+        (f"<article>{PART}<p>Given <script>x</script>this <button>b</button>and <svg><path/></svg>that, <select><option>o</select>too.</p></article>", [LINE, "Given this and that, too."]),
+    ],
+)
+def test_html_structures(page, want):
+    assert html.main_text(f"<body><nav><a href=x>Home</a></nav>{page}<footer>Foot</footer></body>") == "\n".join(want)
+
+
+@pytest.mark.parametrize("odd", ["<b>x</i>", "<span>x<hr>", "<li>x</li><span>", "<div><i>", "<b></p>", "<table><td><b>", "<dt>x</dd>", "<i><div><b></i>"])
+def test_html_hostile_markup_takes_linear_time(odd):
+    began = time.time()
+    html.main_text(odd * ((1 << 20) // len(odd)))
+    assert time.time() - began < 15
+
+
 def test_html_names_and_forms():
     text = "A paragraph, with commas, long enough to count as one."
     body = f"<p>{text}</p><p>{text}</p>"
@@ -525,7 +553,7 @@ def test_html_skipped_elements_and_offsets():
     # Characters that change length when lower-cased move no offset.
     for odd in ("\u0130", "\u1e9e", "\ufb03", "\u0345", "\U0001f600"):
         assert html.main_text(f"<article><p>{text}</p><p>{odd * 40}</p><SCRIPT>x</Script ><p>{text}</p></article>") == f"{text}\n{odd * 40}\n{text}"
-    for tag in ("template", "svg", "math", "object"):
+    for tag in ("template", "svg", "object"):
         inner = f"<p>Hidden, {text}</p>"
         assert html.main_text(f"<body>{article}<{tag}>{inner}<{tag} x=1>{inner}</{tag}>{inner}</{tag}></body>") == want, tag
         assert html.main_text(f"<body>{article}<{tag}>{inner}</body>") == want, tag
@@ -600,3 +628,13 @@ def test_pipeline_on_empty_tables(spark, empty):
 
     out = corpus_pipeline.run(spark, written(spark, empty, [], []))
     assert out.count() == 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+
+
+def test_quality_keeps_scripts_without_spaces():
+    lines = ["".join(chr(0x4E00 + (31 * k + 7 * j) % 900) for j in range(19)) for k in range(60)]
+    judged = lambda text: quality.judge(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    for mark in ("。", "！", "…", "؟", ".", "”"):
+        got = judged("\n".join(x + mark for x in lines))
+        assert got["kept"][0] and got["n_lost_words"][0] == 0, mark
+    assert judged("\n".join(x * 3 for x in lines))["kept"][0]  # long lines are no items of a menu
+    assert not judged("\n".join(x[:4] for x in lines))["kept"][0]

@@ -12,6 +12,7 @@ form or one with such a class or id does if it holds most of the page or little
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,11 +24,13 @@ from .words import small_batches
 
 # Elements by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object".split())
-SKIPPED = frozenset("head nav footer aside form menu button select dialog figure canvas audio video".split()) | RAW
+RAW = frozenset("script style title textarea noscript template iframe svg object".split())
+SKIPPED = frozenset("head nav footer aside form menu button select dialog canvas audio video".split()) | RAW
+#: Skipped elements that stand inside a line: what is around them stays one block.
+INLINE = frozenset("script style noscript template iframe svg object button select canvas audio video textarea".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary caption".split())
-CONTAINERS = frozenset("html body main article section div ul ol dl table thead tbody tfoot tr header center details fieldset hgroup address".split())
-BLOCKS = PARAGRAPHS | CONTAINERS | SKIPPED | {"hr"}
+CONTAINERS = frozenset("html body main article section div ul ol dl table thead tbody tfoot tr header center details fieldset figure hgroup address".split())
+BLOCKS = PARAGRAPHS | CONTAINERS | (SKIPPED - INLINE) | {"hr"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element, up to the nearest of the elements that hold it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -46,6 +49,9 @@ MOST, LITTLE, LEAST_POINTS = 0.5, 0.25, 8
 LEVELS = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 LEAST_RUN = 25
 SIBLING_SHARE = 0.2
+#: Beside the best container, what holds text and few links is kept too where both stand in one of these, or are sections of one parent.
+WHOLE = frozenset("article main".split())
+FEW_LINKS = 0.25
 #: A list or table in the kept part goes if it holds so many links and they are most of its text.
 MENU_LINKS, MENU_DENSITY = 3, 0.5
 
@@ -54,7 +60,7 @@ MENU_LINKS, MENU_DENSITY = 3, 0.5
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+)(>?)""", re.S)
 #: The tags that may end a skipped element; the first do so at the nearest end tag, the others count those of their own name inside them.
 _ENDS = {name: re.compile(rf"<(/?){name}(?![^\s/>])[^>]*>?", re.I | re.A) for name in RAW}
-NESTING = frozenset("template svg math object".split())
+NESTING = frozenset("template svg object".split())
 _QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 
@@ -106,11 +112,33 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
     runs: list[tuple[int, str, int]] = []
     lost: list[tuple[int, str, int]] = []
     stack, buffer, in_link, link_chars = [0], [], 0, 0
+    # What is open by name, in all and in each open container, and the open blocks: no tag makes the stack be searched in vain.
+    opened, scopes, blocks = Counter(), [Counter()], [0]
     gone: list[str] = []
     gone_node, gone_links = 0, 0
 
     def owner() -> int:
-        return next(n for n in reversed(stack) if tag[n] in BLOCKS or n == 0)
+        return blocks[-1]
+
+    def push(node: int) -> None:
+        name = tag[node]
+        stack.append(node)
+        opened[name] += 1
+        scopes[-1][name] += 1
+        if name in BLOCKS:
+            blocks.append(node)
+        if name in CONTAINERS:
+            scopes.append(Counter())
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name = tag[stack.pop()]
+            if name in CONTAINERS:
+                scopes.pop()
+            if name in BLOCKS:
+                blocks.pop()
+            opened[name] -= 1
+            scopes[-1][name] -= 1
 
     def flush() -> None:
         nonlocal link_chars, gone_links
@@ -162,12 +190,9 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
                 in_link = max(0, in_link - 1)
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    del stack[k:]
-                    break
-                if tag[stack[k]] in CONTAINERS and name not in BLOCKS:
-                    break
+            # An inline element is closed inside its container alone.
+            if opened[name] if name in BLOCKS else scopes[-1][name]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name))
             continue
         if name == "br":
             add(" ")
@@ -176,24 +201,19 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
             flush()
             if name in CLOSES:
                 ends, within = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] in within:
-                        break
-                    if tag[stack[k]] in ends:
-                        del stack[k:]
-                        break
+                if any(opened[e] for e in ends):
+                    # Containers and paragraphs are blocks, so the blocks tell which comes first.
+                    node = next((n for n in reversed(blocks) if tag[n] in within or tag[n] in ends), None)
+                    if node is not None and tag[node] in ends:
+                        cut(stack.index(node))
             # A block ends an open paragraph, and what is open inside it.
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == "p":
-                    del stack[k:]
-                    in_link = 0
-                    break
-                if tag[stack[k]] in CONTAINERS:
-                    break
+            if scopes[-1]["p"]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == "p"))
+                in_link = 0
         if name in VOID:
             continue
         if name in RAW:
-            if not (name in ("svg", "math") and m[3].endswith("/")):
+            if not (name == "svg" and m[3].endswith("/")):
                 at = _after(html, name, at)
             continue
         node = len(tag)
@@ -211,7 +231,7 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
             in_link += 1
             links[node] = 1
         if not m[3].endswith("/") or name in BLOCKS:
-            stack.append(node)
+            push(node)
     add(html[at:])
     flush()
     if lost and (found := _doubted(parent, sign, dead, runs, lost)):
@@ -219,6 +239,10 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
     if not runs:
         return "", frozenset()
 
+    # The nearest container of each element, itself included.
+    box = [0] * len(tag)
+    for node in range(1, len(tag)):
+        box[node] = node if tag[node] in CONTAINERS else box[parent[node]]
     score = [0.0] * len(tag)
     for least in (LEAST_RUN, 1):
         for node, text, link in runs:
@@ -226,8 +250,7 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
                 points = _points(text, link)
                 up = parent[node] if tag[node] not in CONTAINERS and node else node
                 for share in LEVELS:
-                    while up > 0 and tag[up] not in CONTAINERS:
-                        up = parent[up]
+                    up = box[max(up, 0)]
                     if up <= 0:
                         break
                     score[up] += points * share
@@ -255,6 +278,8 @@ def _read(html: str, spared: frozenset[int]) -> tuple[str, frozenset[int]]:
     for node in range(1, len(tag)):
         up = parent[node]
         if best and up == parent[best] and not dead[node]:
+            together = tag[up] in WHOLE or tag[node] == tag[best] == "section"
+            kept[node] |= together and size[node] > 0 and density[node] < FEW_LINKS
             kept[node] |= final[node] >= SIBLING_SHARE * final[best] or node < best and (tag[node] in HEADINGS or 0 < size[node] == titles[node] and density[node] < 0.5) or tag[node] == "p" and size[node] > 0 and density[node] < 0.25
         if kept[up] and not (tag[node] in ("ul", "ol", "table", "div", "dl") and links[node] >= MENU_LINKS and density[node] > MENU_DENSITY):
             kept[node] = True

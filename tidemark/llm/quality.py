@@ -31,7 +31,11 @@ MOST_SHOUTS, SHOUT_WORDS = 50, 3
 NAV_MARKS, NAV_WORDS = 3, 4
 #: Lines of so many words at most that end in none of STOPS are items of a menu where so many of them follow each other.
 STOPS = ".!?:;,\")"
+#: Closing marks of other scripts, of two or three bytes.
+WIDE_STOPS = "»…’”›。、！？：；，．」』）】》〉؟؛،।॥։።"
 ITEM_WORDS, ITEM_LINES = 3, 4
+#: Characters of an item at most: a line of a script without spaces is one word and may be a whole sentence.
+ITEM_CHARS = 40
 #: Percent of a line's ASCII letters that may be capitals; lines with fewer letters pass.
 MOST_CAPITALS, CAPITAL_LETTERS = 70, 20
 #: Percent of the words that a document may lose with its lines.
@@ -47,6 +51,7 @@ def _marks(chars: str) -> np.ndarray:
 
 
 _SYMBOL, _SHOUT, _SEPARATOR = _marks(SYMBOLS), _marks(SHOUTS), _marks(SEPARATORS)
+_WIDE = np.unique([int.from_bytes(c.encode(), "big") for c in WIDE_STOPS])
 _SPACE = _marks(" \t\n\v\f\r")
 _STOP, _CAPITAL, _LETTER = _marks(STOPS), _marks(string.ascii_uppercase), _marks(string.ascii_letters)
 
@@ -98,8 +103,13 @@ def judge(data: np.ndarray, offsets: np.ndarray, texts: bool = True) -> dict:
     n_letters = letters[end] - letters[start]
     bad |= (n_letters >= CAPITAL_LETTERS) & (100 * (capitals[end] - capitals[start]) > MOST_CAPITALS * n_letters)
     closed = np.zeros(len(words), bool)
-    closed[full] = _STOP[data[w.end[words_to[full] - 1] - 1]]
-    item = (words > 0) & (words <= ITEM_WORDS) & ~closed
+    last = w.end[words_to[full] - 1]
+    closed[full] = _STOP[data[last - 1]]
+    for width in (2, 3):
+        long = np.flatnonzero(last - w.start[words_to[full] - 1] >= width)
+        code = sum(data[last[long] - 1 - k].astype(np.int64) << (8 * k) for k in range(width))
+        closed[full[long]] |= np.isin(code, _WIDE)
+    item = (words > 0) & (words <= ITEM_WORDS) & (line_ink <= ITEM_CHARS) & ~closed
     run = np.cumsum(np.concatenate([[False], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])) if len(item) else np.zeros(0, np.int64)
     bad |= item & (np.bincount(run)[run] >= ITEM_LINES if len(run) else item)
     low = bytes(data).lower()
@@ -156,8 +166,8 @@ lw as (
   select *, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as nw, length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g')) as ink,
     length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) as sym, length(regexp_replace(l, '[^|]', '', 'g')) as bars,
     len(regexp_extract_all(l || ' ', '[!?][\\x20\\x09-\\x0D]')) as shouts, length(regexp_replace(l, '[^A-Z]', '', 'g')) as caps, length(regexp_replace(l, '[^A-Za-z]', '', 'g')) as letters,
-    regexp_matches(l, '[.!?:;,")][\\x20\\x09-\\x0D]*$') as closed, row_number() over (partition by rid, l order by i) > 1 as again from lines),
-it as (select *, nw between 1 and 3 and not closed as item from lw),
+    regexp_matches(l, '[.!?:;,")»…’”›。、！？：；，．」』）】》〉؟؛،।॥։።][\\x20\\x09-\\x0D]*$') as closed, row_number() over (partition by rid, l order by i) > 1 as again from lines),
+it as (select *, nw between 1 and 3 and ink <= 40 and not closed as item from lw),
 ru as (select *, i - row_number() over (partition by rid, item order by i) as run from it),
 li as (select *, item and count(*) over (partition by rid, item, run) >= 4 as listed from ru),
 judged as (
