@@ -106,6 +106,29 @@ def test_jaccard_cuts_large_keys(spark, monkeypatch):
         assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_jaccard_hot_passage_is_not_quadratic(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    real, shipped = jaccard._found, []
+
+    def counting(tasks, bitmaps, every):
+        shipped[-1] += tasks.count()
+        return real(tasks, bitmaps, every)
+
+    monkeypatch.setattr(jaccard, "_found", counting)
+    rng = random.Random(17)
+    passage = [f"p{k}" for k in range(200)]
+    for n in (200, 800):
+        own = [[f"o{d}x{k}" for k in range(rng.randrange(60, 240))] for d in range(n)]
+        texts = [" ".join([*w[: d % 50], *passage, *w[d % 50 :]]) for d, w in enumerate(own)]
+        texts += [texts[0] + " tail", "head " + texts[7]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        shipped.append(0)
+        got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+        assert got == {k: {n: 0, n + 1: 7}.get(k, k) for k in range(n + 2)}
+    # Four times the texts: at the power 1.2 at most, 5.3 times the rows.
+    assert shipped[1] <= 5.3 * shipped[0]
+
+
 def test_jaccard_links_come_from_trees(monkeypatch):
     rng = random.Random(7)
     texts = [words(rng, 80, 10_000) for _ in range(20)]

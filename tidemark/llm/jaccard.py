@@ -18,9 +18,14 @@ whose sizes are too far apart, whose largest possible overlap is too small, or t
 4. Picks: keys that still hold several components from several homes have trees of their own, in
    parts of BLOCK again. Of each tree, each component keeps its few likeliest pairs. They join
    the parts of a large group of near copies, each of which a home has made one component.
-5. Rest: keys that still hold several components are searched completely. A key with more than
-   BLOCK classes is cut into nodes by set size, and nodes that hold the key's largest component
-   alone; pairs of nodes are pruned by a join and searched in tasks of their own.
+5. Rest: keys that still hold several components are searched completely. Classes of a key with
+   more than BLOCK of them, as under a passage that very many texts quote, get finer keys in its
+   place: of all their shingles, those that several components have, and a pair of size cells.
+   The sizes of two cells tell how many shingles linked sets have in common, and all but one of
+   as many, the most frequent, are left out. So a passage makes a candidate only where it is
+   nearly all that a link takes, however many texts quote it. A finer key that is still large is
+   cut into nodes by set size, and nodes that hold the key's largest component alone; pairs of
+   nodes are pruned by a join and searched in tasks of their own.
 
 Comparisons of 4 and 5 take place at the home of one of the two: its texts move there once.
 """
@@ -51,6 +56,8 @@ PICKS = 3
 #: Rows of roles that are broadcast at most, about 20 MB; beyond that the join is shuffled.
 SMALL = 500_000
 LEAF, FAN = 16, 8
+#: Size cells of step 5: each is 16/15 as large as the one before; linked sets are at most 5 apart.
+CELL, APART = 16 / 15, 5
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -388,10 +395,43 @@ def _mixed_keys(homes: DataFrame, component: DataFrame) -> DataFrame:
     return saved(entries.join(keys, "key"), "mixed-keys")
 
 
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of classes -> all shingle hashes of each."""
+    for batch in batches:
+        node, component, prints = batch.column("node"), batch.column("component"), batch.column("print").to_pylist()
+        for x, _, data, offsets in pieces(batch.column("body"), lower=True):
+            sets = {k: s for k, s in enumerate(_sets(data, offsets), x) if _print(s) == prints[k]}
+            at = pa.array(list(sets), pa.int64())
+            keys = pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([node.take(at), component.take(at), keys], names=["node", "component", "keys"])
+
+
+def _fine_keys(work: _Work, hot: DataFrame, component: DataFrame) -> DataFrame:
+    """homes of the hot classes with finer keys: (shingle, cell, cell), under which two linked ones of different components and these size cells meet."""
+    who = work.homes.join(hot, "node", "left_semi").join(component, "node")
+    texts = work.with_texts(saved(who.select("id", "node", "print", "component"), "hot"))
+    own = saved(texts.mapInArrow(_whole_sets, "node long, component long, keys array<bigint>"), "hot-sets").select("node", "component", F.explode("keys").alias("key"))
+    # No link is sought inside a component, so only what several have counts.
+    times = own.groupBy("key").agg(F.count("*").alias("times"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "times")
+    shared = own.join(saved(times, "hot-counts"), "key").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("all"))
+    size = F.col("n_shingles")
+    cell = F.floor(F.log(size.cast("double")) / F.log(F.lit(CELL))).cast("int")
+    lists = work.homes.drop("keys").join(shared, "node").withColumn("cell", cell).withColumn("other", F.explode(F.sequence(cell - APART, cell + APART)))
+    # The least size in the other cell, and the overlap that a link to it takes.
+    low = F.greatest(F.floor(F.pow(F.lit(CELL), "other") * (1 - 1e-9)), F.ceil(size * PERCENT / 100))
+    least = F.ceil((size + low) * PERCENT / (100 + PERCENT) - 1e-9)
+    count = (F.size("all") - least + 1).cast("int")
+    fits = lists.where((low * PERCENT <= size * 100) & (count > 0))
+    key = F.transform(F.slice("all", F.lit(1), count), lambda x: F.xxhash64(x["key"], F.least("cell", "other"), F.greatest("cell", "other")))
+    return saved(fits.select("node", key.alias("keys")).groupBy("node").agg(F.flatten(F.collect_list("keys")).alias("keys")).select("node", F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("keys")).join(work.homes.drop("keys"), "node"), "fine-keys")
+
+
 def _tasks(held: DataFrame) -> DataFrame:
     """(task, side, node, ...): the trees that search all keys completely; a large key's nodes in pairs."""
     small = held.where(F.col("n") <= BLOCK).select("key", F.xxhash64("key").alias("task"), F.lit(0).alias("side"), "node", "component", "home", "salt", "n_shingles")
     large = held.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return small
     of = large.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
     cell = ["key", "bucket", "main"]
     # Sizes in steps of 4 to 3: linked sets are in one bucket or in two that follow each other.
@@ -423,6 +463,20 @@ def _found(tasks: DataFrame, bitmaps: DataFrame, every: bool) -> DataFrame:
     return best.select("a", F.explode("x").alias("x")).select("a", "x.a_in", "x.b", "x.b_in", "x.home", "x.salt")
 
 
+def _complete(work: _Work, held: DataFrame, component: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The candidate pairs of all keys, large ones by the finer keys of their classes."""
+    found = _found(_tasks(held.where(F.col("n") <= BLOCK)), bitmaps, True)
+    hot = held.where(F.col("n") > BLOCK).select("node").distinct()
+    if hot.isEmpty():
+        return found
+    fine = _fine_keys(work, hot, component)
+    again = _mixed_keys(fine, component)
+    if again.isEmpty():
+        return found
+    known = bitmaps.drop("keys").join(fine.select("node", F.col("keys.key").alias("keys")), "node")
+    return found.unionByName(_found(_tasks(again), known, True))
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple[DataFrame, DataFrame]:
     """(profile of every row: id, h, n_shingles, print; label of every class: print, part, component; parts are the components of texts, component the smallest id in one)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body"))
@@ -445,8 +499,12 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple
         held = _mixed_keys(homes, component)
         if held.isEmpty():
             break
-        tasks = _tasks(held) if every else held.withColumn("task", F.xxhash64("key", F.pmod(F.xxhash64("node"), _parts("n")))).withColumn("side", F.lit(0)).drop("n")
-        links = work.links(saved(_found(tasks, bitmaps, every), "pairs"))
+        if every:
+            pairs = _complete(work, held, component, bitmaps)
+        else:
+            parts = held.withColumn("task", F.xxhash64("key", F.pmod(F.xxhash64("node"), _parts("n")))).withColumn("side", F.lit(0)).drop("n")
+            pairs = _found(parts, bitmaps, every)
+        links = work.links(saved(pairs, "pairs"))
         if not links.isEmpty():
             component = saved(merged(component, links), "components")
 
