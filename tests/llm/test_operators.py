@@ -381,6 +381,7 @@ def test_decontamination_equals_all_windows(spark):
             if best >= 0.75:
                 want[k, i] = best
     assert got == pytest.approx(want) and len(want) >= 10
+    assert got == pytest.approx({(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, benchmark, exact=True).collect()})
     clean = decontam.clean(docs, benchmark)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {k for k, _ in want}
 
@@ -409,6 +410,17 @@ def test_decontamination_finds_shortened_copies(spark):
     assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == set(range(len(texts))) - {k for k, _ in want}
 
 
+def test_exact_decontamination_needs_no_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "_near_items", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    rng = random.Random(21)
+    item = words(rng, 40, 5000)
+    raw = [f"{words(rng, 30, 5000)} {item} {words(rng, 30, 5000)}".encode(), words(rng, 90, 5000).encode()]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    items = decontam.Items([7], [item])
+    assert decontam.find(items, data, offsets) == []
+    assert decontam.find(items, data, offsets, exact=True) == [(0, 0, 1.0, 30, 40)]
+
+
 def test_multi_index_finds_all_within_radius():
     items = decontam.Items([1, 2], ["a b c d e f g", "h i j k l m n"])
     rng = np.random.default_rng(0)
@@ -463,6 +475,32 @@ def test_licenses(spark):
     assert got == {(4, "MIT"): 1.0, (None, "MIT"): 1.0, (5, "Apache-2.0"): 1.0, (6, "Apache-2.0"): 1.0, (7, "Apache-2.0"): 1.0}
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_licenses_equal_all_windows(spark, exact):
+    rng = random.Random(8)
+    one, two = words(rng, 24, 5000), words(rng, 40, 5000)
+    templates = [("A", one), ("B", two)]
+    texts = []
+    for t in (one, two):
+        w = t.split()
+        texts += [" ".join([words(rng, rng.randrange(90), 5000), *[x if rng.random() > p else "zz" for x in w], words(rng, 30, 5000)]) for p in (0, 0.01, 0.03, 0.05, 0.1) for _ in range(6)]
+    texts += [" ".join(one + " " + words(rng, 9, 5000) for _ in range(2000)), words(rng, 400, 5000)]
+    gram = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for k, t in enumerate(texts):
+        g = gram(t.split())
+        for name, template in templates:
+            s = set(gram(template.split()))
+            stride = len(s) // 4
+            # The windows, but not how they are retrieved.
+            best = max(len(s & set(g[a : a + len(s) + stride - 1])) / len(s) for a in range(0, len(g), stride))
+            if best >= 0.75:
+                want[k, name] = best
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs, templates=templates, exact=exact).collect()}
+    assert got == pytest.approx(want) and 20 <= len(want) < 50
+
+
 def test_licenses_tell_siblings_apart(spark):
     notice = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
     clauses = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "

@@ -9,6 +9,9 @@ of their shingle weights (counts): sum of minima over sum of maxima.
 
 A window can only be that similar to an item if most of its shingles are shingles of some item,
 so windows that hold too few of them are not fingerprinted.
+
+A similar window lies beyond RADIUS with a probability of about 1 in 70,000. With exact=True each
+window that holds enough shingles is a candidate for every item of its length, and none is missed.
 """
 
 from __future__ import annotations
@@ -80,7 +83,17 @@ class Items:
         return self._near
 
 
-def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+def _near_items(items: Items, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of the fingerprints and items of n words within RADIUS of each other, by the multi-index."""
+    flags = np.zeros((len(prints), items.near().shape[2]), np.uint8)
+    for k in range(BLOCKS):
+        flags |= items.near()[k, prints[:, k]]
+    row, item = np.nonzero(np.unpackbits(flags, axis=1)[:, : len(items.ids)] & (items.words == n))
+    close = np.bitwise_count(prints[row] ^ items.prints[item]).sum(axis=1) <= RADIUS
+    return row[close], item[close]
+
+
+def find(items: Items, data: np.ndarray, offsets: np.ndarray, exact: bool = False) -> list[tuple[int, int, float, int, int]]:
     """(document, item, similarity, first word, words) of each document's best window for each item that it leaks."""
     if not len(items.all):
         return []
@@ -103,7 +116,7 @@ def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
             a, b = max(first, int(group[0]) - longest), min(last, int(group[-1]) + longest + SHINGLE)
             lo, hi = np.searchsorted(at, a), np.searchsorted(at, b - SHINGLE + 1)
             own, own_hit = h[lo:hi], hit[lo:hi]
-            sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(own), axis=0, dtype=np.int32)])
+            sums = None if exact else np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(own), axis=0, dtype=np.int32)])
             hits_to = np.concatenate([[0], np.cumsum(own_hit)])
             for n in items.lengths:
                 m = int(n) - SHINGLE + 1
@@ -115,13 +128,12 @@ def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
                 starts = np.flatnonzero(hits_to[size:] - hits_to[: len(hits_to) - size] >= SIMILARITY / (1 + SIMILARITY) * (size + m) - 1e-9)
                 if not len(starts):
                     continue
-                prints = _fingerprints(sums[starts + size] - sums[starts])
-                flags = np.zeros((len(starts), items.near().shape[2]), np.uint8)
-                for k in range(BLOCKS):
-                    flags |= items.near()[k, prints[:, k]]
-                row, item = np.nonzero(np.unpackbits(flags, axis=1)[:, : len(items.ids)] & (items.words == n))
-                distance = np.bitwise_count(prints[row] ^ items.prints[item]).sum(axis=1)
-                for r, i in zip(row[distance <= RADIUS].tolist(), item[distance <= RADIUS].tolist(), strict=True):
+                if exact:
+                    of_size = np.flatnonzero(items.words == n)
+                    row, item = np.repeat(np.arange(len(starts)), len(of_size)), np.tile(of_size, len(starts))
+                else:
+                    row, item = _near_items(items, int(n), _fingerprints(sums[starts + size] - sums[starts]))
+                for r, i in zip(row.tolist(), item.tolist(), strict=True):
                     found, times = np.unique(own[starts[r] : starts[r] + size], return_counts=True)
                     _, x, y = np.intersect1d(found, items.weights[i][0], assume_unique=True, return_indices=True)
                     least = int(np.minimum(times[x], items.weights[i][1][y]).sum())
@@ -137,13 +149,16 @@ def find(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     return [(d, i, similarity, start, size) for (d, i), (similarity, start, size) in sorted(best.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", exact: bool = False) -> DataFrame:
     """One row for each document and item found in it: id, item, similarity, first_word, n_words of the best window.
 
     Words are lower-cased for A-Z. Null and empty texts and items match nothing; an item of fewer
     than SHINGLE words matches as a whole. Equal items are each reported. Repeated rows of docs
     are each reported, null ids too. Items are worked on ITEMS at a time, so that what a task
     holds is bounded whatever the benchmark's size; each block of items is one pass over docs.
+
+    exact: compare every window that holds enough shingles of the benchmark with all items of its
+    length, so that none is missed.
     """
     rows = benchmark.select(F.col(item_col).alias("i"), F.col("text").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator()
     small_batches(docs)
@@ -157,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, data, offsets in pieces(batch.column(1), lower=True):
-                    got = find(items, data, offsets)
+                    got = find(items, data, offsets, exact)
                     part = batch.column(0).slice(a, b - a).take(pa.array([x[0] for x in got], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [part, pa.array([items.ids[x[1]] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64()), pa.array([x[4] for x in got], pa.int64())],
@@ -176,8 +191,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs, columns unchanged, whose text leaks no item; a narrow pass for each ITEMS items. Null texts stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", exact: bool = False) -> DataFrame:
+    """The rows of docs, columns unchanged, whose text leaks no item; a narrow pass for each ITEMS items. Null texts stay; exact as in leaks."""
     small_batches(docs)
     schema, column = docs.schema, docs.columns.index(text_col)
     items_of = benchmark.select(F.col(item_col).alias("i"), F.col("text").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator()
@@ -190,7 +205,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in pieces(batch.column(column), lower=True):
-                    for d, *_ in find(items, data, offsets):
+                    for d, *_ in find(items, data, offsets, exact):
                         keep[a + d] = False
                 yield batch.filter(pa.array(keep))
 
@@ -204,4 +219,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, first_word and n_words of every leak in documents; see leaks for nulls, ties and empty texts."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -10,13 +10,15 @@ template that lies whole in one of another license gives way where that one is f
 A window is a stride longer than the template's own run of m shingles, so any run of m shingles
 lies whole in some window. One that holds 3/4 of the shingles of a template has a Jaccard
 similarity of 0.75 m / (1.25 m + 0.25 m) = 0.5 with it at least, and shares a band with
-probability 1 - (1 - 0.5) ** 24, which misses 6 in 10**8.
+probability 1 - (1 - 0.5) ** 24, which misses 6 in 10**8. With exact=True every window is
+verified against all templates of its size, and none is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,12 +77,14 @@ def holds(window: Column, shingles: Column, m: Column, telling: Column) -> Colum
     return (F.size(F.array_intersect(window, shingles)) >= CONTAINMENT * m) & F.forall(telling, lambda t: F.size(F.array_intersect(window, t)) >= TELLING * F.size(t))
 
 
-def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """One row for each document and license found: id, license, containment (the best), first_shingle of its best window, n_matches.
 
     Null, empty and short texts match nothing. Repeated rows share one result row; null ids make
     one group. Templates must have SHINGLE words or more; the list is a short one, its table is
     collected to the driver and broadcast.
+
+    exact: retrieve all templates of a window's size without bands.
     """
     spark = docs.sparkSession
     listed = template_table(spark, templates or TEMPLATES)
@@ -100,23 +104,27 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_
     shingled = saved(docs.select(F.col(id_col).alias("id"), F.explode(F.array(found)).alias("f")).where("f is not null").select("id", "f.shingles", "f.hits"), "license-texts")
 
     def window_starts(m: int) -> Column:
-        """Starts, multiples of the stride, of the windows of size m + stride that hold a hit."""
+        """Starts, multiples of the stride, of the windows of size m + stride that hold hits enough for a template of m shingles."""
         stride, length = max(1, m // 4), m + max(1, m // 4) - 1
         near = F.transform(F.filter("hits", lambda x: x["h"].isin(own[m])), lambda x: F.sequence(F.greatest(F.ceil((x["at"] - length + 1) / stride), F.lit(0)).cast("int"), F.floor(x["at"] / stride).cast("int")))
-        return F.transform(F.array_distinct(F.flatten(near)), lambda k: F.struct(F.lit(m).alias("m"), (k * stride).cast("int").alias("start"), F.lit(length).alias("length"), F.lit(reach[m]).alias("reach")))
-
-    # A window with too few hits holds no template of its size.
-    enough = lambda w: F.size(F.filter("hits", lambda x: (x["at"] >= w["start"]) & (x["at"] < w["start"] + w["length"]))) >= CONTAINMENT * w["m"]
+        # Each hit names its windows, so in order a window with enough of them is found again need - 1 places on.
+        need = ceil(CONTAINMENT * m)
+        full = bound(F.sort_array(F.flatten(near)), lambda a: F.array_distinct(F.filter(a, lambda k, i: F.get(a, i + (need - 1)) == k)))
+        return F.transform(full, lambda k: F.struct(F.lit(m).alias("m"), (k * stride).cast("int").alias("start"), F.lit(length).alias("length"), F.lit(reach[m]).alias("reach")))
 
     # Few rows with much work each: spread over all cores.
     low = F.greatest(F.col("w.start") - F.col("w.reach"), F.lit(0))
     windows = (
-        shingled.repartition(F.xxhash64("id")).withColumn("w", F.explode(F.filter(reduce(lambda a, b: F.concat(a, b), [window_starts(m) for m in sizes]), enough)))
+        shingled.repartition(F.xxhash64("id")).withColumn("w", F.explode(reduce(lambda a, b: F.concat(a, b), [window_starts(m) for m in sizes])))
         .select("id", "w.m", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.length")).alias("window"), F.when(F.col("w.reach") > 0, F.slice("shingles", low + 1, F.col("w.start") + F.col("w.length") + F.col("w.reach") - low)).alias("context"))
         .where(F.size("window") > 0)
     )
-    banded = listed.withColumn("b", F.explode(bands_of(F.col("shingles")))).select("template", "license", "m", F.col("shingles").alias("wanted"), "telling", "around", "b.band", "b.value")
-    retrieved = windows.withColumn("b", F.explode(bound(F.col("window"), bands_of))).select("id", "m", "start", "window", "context", "b.band", "b.value").join(F.broadcast(banded), ["m", "band", "value"])
+    wanted = listed.select("template", "license", "m", F.col("shingles").alias("wanted"), "telling", "around")
+    if exact:
+        retrieved = windows.join(F.broadcast(wanted), "m")
+    else:
+        banded = wanted.withColumn("b", F.explode(bands_of(F.col("wanted")))).select(*wanted.columns, "b.band", "b.value")
+        retrieved = windows.withColumn("b", F.explode(bound(F.col("window"), bands_of))).select("id", "m", "start", "window", "context", "b.band", "b.value").join(F.broadcast(banded), ["m", "band", "value"])
     held = retrieved.where(holds(F.col("window"), F.col("wanted"), F.col("m"), F.col("telling")))
     alone = held.where(~F.exists("around", lambda a: holds(F.col("context"), a["shingles"], a["m"], a["telling"])))
     verified = alone.withColumn("containment", F.size(F.array_intersect("window", "wanted")) / F.col("m"))
@@ -128,4 +136,5 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, containment, first_shingle and n_matches of every license found in documents; see scan for nulls, ties and empty texts."""
     return scan(table(spark, sf_dir, "documents"))
