@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_market import TABLES, flat_rows
 
+from tidemark.functions import scalars as S
 from tidemark.operators import analytics, metrics, sweep
 from tidemark.plans import analysis
 from tidemark.plans import queries as market
+from tidemark.sources import bars, coverage
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,3 +87,30 @@ def test_bootstrap_skill(spark):
     report = analytics.skill_report(frame(x), family, samples=60, block=3.0).first()
     alone = sweep.null_p_value(frame(x), 60, 3.0, 0, 252.0).first()
     assert report.family_p >= report.p_value == pytest.approx(alone.p_value)
+
+
+def test_cost_rules(spark):
+    n, nan = F.lit(None).cast("double"), F.lit(float("nan"))
+    row = spark.range(1).select(
+        S.cost_parts(F.lit(-100.0), F.lit(10.0), F.lit(400.0), F.lit(0.02)).alias("a"), S.cost_parts(F.lit(100.0), F.lit(10.0), n, F.lit(0.02)).alias("b"), S.cost_parts(F.lit(100.0), F.lit(10.0), nan, F.lit(0.02)).alias("c"), S.cost_parts(F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(0.02)).alias("d"),
+        S.annual_cost_rate(F.lit(0.01), F.lit(0.0)).alias("never"), S.impact_coefficient(nan, F.lit(1e6), F.lit(1e6)).alias("k"), S.cost_curvature(F.lit(0.04), F.lit(0.25)).alias("bend"), S.cost_curvature(F.lit(0.0), F.lit(0.25)).alias("flat"), S.carry_cost(F.lit(-1000.0), F.lit(True), F.lit(0.5)).alias("carry"),
+    ).first()
+    assert row.a.asDict() == pytest.approx({"notional": 1000, "commission": 0.1, "spread_cost": 0.25, "impact_cost": 0.3 * 0.02 * 0.5 * 1000, "total": 3.35, "participation": 0.25, "capped": True})
+    assert row.b == row.c and (row.b.impact_cost, row.b.participation, row.b.capped) == (0, math.inf, True)
+    assert (row.d.total, row.d.participation, row.d.capped) == (0, 0, False)
+    assert (row.never, row.k, row.bend, row.flat, row.carry) == (math.inf, 0, pytest.approx(0.06), None, pytest.approx(2.5))
+
+
+def test_market_instants(spark):
+    texts = ["2024-01-02", "2024-07-02", "2024-01-02T09:30", "2024-01-02T09:30:00Z", "2024-01-02T09:30:00+01:00", "soon", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(F.date_format(bars.market_instant(F.col("t")), "yyyy-MM-dd HH:mm").alias("at"), "i").orderBy("i").collect()
+    assert [x["at"] for x in got] == ["2024-01-02 05:00", "2024-07-02 04:00", "2024-01-02 14:30", "2024-01-02 09:30", "2024-01-02 08:30", None, None]
+
+
+def test_missing_windows(spark):
+    of = lambda rows: spark.createDataFrame(rows, "timeframe string, symbol string, start string, end string").withColumns({c: F.col(c).cast("timestamp") for c in ("start", "end")})
+    have = of([("1d", "A", "2024-01-01 05:00:00", "2024-01-10 05:00:00")])
+    reads = of([("1d", "A", "2024-01-05 05:00:00", "2024-01-12 05:00:00"), ("1d", "A", "2024-01-08 05:00:00", "2024-01-15 05:00:00"), ("1h", "A", "2024-01-02 05:00:00", "2024-01-03 06:00:00"), ("1d", "B", "2024-01-03 05:00:00", "2024-01-04 05:00:00")])
+    got = {(r.timeframe, r.symbol, str(r.start)[:10], str(r.end)[:10], r.first_date, r.last_date) for r in coverage.missing_windows(have, reads).collect()}
+    assert got == {("1d", "A", "2024-01-10", "2024-01-15", "2024-01-03", "2024-01-15"), ("1d", "B", "2024-01-03", "2024-01-04", "2024-01-03", "2024-01-15"), ("1h", "A", "2024-01-02", "2024-01-03", "2024-01-02", "2024-01-04")}
+    assert coverage.missing_windows(have, of([("1d", "A", "2024-01-02 05:00:00", "2024-01-03 05:00:00")])).isEmpty()

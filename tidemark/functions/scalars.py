@@ -89,6 +89,61 @@ def trade_cost(notional: Column, adv: Column, vol: Column, *, commission_bps: fl
     return size * (commission_bps + half_spread_bps) / 1e4 + impact
 
 
+def _positive(x: Column) -> Column:
+    """Whether x is a number over 0; missing values are not."""
+    x = x.cast("double")
+    return F.coalesce((x > 0) & ~F.isnan(x), F.lit(False))
+
+
+def cost_parts(shares: Column, price: Column, adv: Column, vol: Column, spread: Column | None = None, *, commission_bps: float = 1.0, spread_bps: float = 5.0, eta: float = 0.3, linear: bool = False, limit: float = 0.1) -> Column:
+    """struct of notional, commission, spread_cost, impact_cost, total, participation and capped of a trade.
+
+    spread, a fraction, is that of the model where it is null. Participation is shares over adv,
+    infinite without a positive adv, and then there is no impact; capped tells that it exceeds
+    limit and changes no cost. A trade of no notional costs nothing and takes no part.
+    """
+    size, traded = F.abs(shares) * price, _positive(F.abs(shares) * price)
+    own = F.lit(spread_bps / 1e4) if spread is None else F.coalesce(spread, F.lit(spread_bps / 1e4))
+    part = F.when(_positive(adv), F.abs(shares) / adv).otherwise(INF)
+    impact = F.when(part < INF, eta * vol * (part if linear else F.sqrt(part)) * size).otherwise(0.0)
+    of_trade = lambda x: F.when(traded, x).otherwise(0.0)
+    parts = {"notional": size, "commission": commission_bps / 1e4 * size, "spread_cost": own / 2 * size, "impact_cost": impact, "total": commission_bps / 1e4 * size + own / 2 * size + impact, "participation": part}
+    return F.struct(*[of_trade(x).alias(k) for k, x in parts.items()], (traded & (part > limit)).alias("capped"))
+
+
+def cost_rate(parts: Column) -> Column:
+    """One way, as a share of the notional; 0 for no trade."""
+    return F.when(parts["notional"] > 0, parts["total"] / parts["notional"]).otherwise(0.0)
+
+
+def annual_cost_rate(rate: Column, years: Column) -> Column:
+    """A round trip's rate, spread over the years that it is held; infinite if it is not held."""
+    return F.when(_positive(years), 2 * rate / years).otherwise(INF)
+
+
+def carry_cost(notional: Column, is_short: Column, years: Column, *, borrow_bps: float = 50.0, own_rate: Column | None = None) -> Column:
+    """What borrowing a short costs over the years that it is held, at its own yearly rate or the flat one."""
+    rate = F.lit(borrow_bps / 1e4) if own_rate is None else F.coalesce(own_rate, F.lit(borrow_bps / 1e4))
+    return F.when(is_short & _positive(years), rate * F.abs(notional) * years).otherwise(0.0)
+
+
+def turnover_rate(spread: Column | None = None, *, commission_bps: float = 1.0, spread_bps: float = 5.0) -> Column:
+    """The part of the cost that is linear in what is traded: commission and half spread."""
+    own = F.lit(spread_bps / 1e4) if spread is None else F.coalesce(spread, F.lit(spread_bps / 1e4))
+    return commission_bps / 1e4 + own / 2
+
+
+def impact_coefficient(vol: Column, adv_dollars: Column, capital: Column, *, eta: float = 0.3, linear: bool = False) -> Column:
+    """k of the impact k * |dw| ** 1.5, a share of capital; 0 under linear impact and where an input is not positive."""
+    known = _positive(vol) & _positive(adv_dollars) & _positive(capital) & F.lit(not linear)
+    return F.when(known, eta * vol * F.sqrt(capital / adv_dollars)).otherwise(0.0)
+
+
+def cost_curvature(k: Column, traded: Column) -> Column:
+    """Second derivative of k * |dw| ** 1.5 at a typical trade; null without impact or trade."""
+    return F.when(_positive(k) & _positive(traded), 0.75 * k / F.sqrt(traded))
+
+
 def annual_cost(cost: Column, held_days: Column, days: float = 252.0) -> Column:
     """A round trip's cost spread over its holding time, a year's worth."""
     return ratio(cost * days, held_days)

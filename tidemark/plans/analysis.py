@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import analytics, sweep
-from ..sources import bars
+from ..sources import bars, coverage
 from . import queries as market
 from .books import FED, TRADED, dated_trades
 from .queries import r, returns_of, tidy
@@ -70,7 +70,29 @@ def b_sizing(spark: SparkSession, sf: str) -> DataFrame:
     ), 7)
 
 
-QUERIES = {f.__name__: f for f in (e_win_loss, e_exit_paths, e_durations, p_screen, p_baseline, p_gradients, p_skill, b_sizing)}
+def b_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order line as a trade: its costs by part under both impact laws, their rates, carry and coefficients; some lines have no volume, spread or size."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")  # noqa: E741
+    q, price, tax, discount = (F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount"))
+    line = F.col("l_linenumber")
+    shares, adv, spread = F.when(line == 6, 0.0).when(line % 2 == 0, -q).otherwise(q), F.when(line == 5, 0.0).when(line != 4, q * (1 + discount * 200)), F.when(line != 3, tax / 10)
+    priced = l.select("l_orderkey", "l_linenumber", q.alias("q"), price.alias("p"), tax.alias("t"), discount.alias("d"), shares.alias("shares"), S.cost_parts(shares, price / q, adv, tax, spread).alias("c"), S.cost_parts(shares, price / q, adv, tax, linear=True, limit=0.2).alias("lin"), S.turnover_rate(spread).alias("turnover"))
+    rate, k = S.cost_rate(F.col("c")), S.impact_coefficient(F.col("t"), F.col("p") * 50, F.when(F.col("l_linenumber") != 2, 1e6))
+    return tidy(priced.select(
+        "l_orderkey", "l_linenumber", "c.commission", "c.spread_cost", "c.impact_cost", "c.total", F.when(F.col("c.participation") < S.INF, F.col("c.participation")).alias("participation"), "c.capped", F.col("lin.impact_cost").alias("linear_impact"), F.col("lin.capped").alias("linear_capped"), rate.alias("rate"),
+        S.annual_cost_rate(rate, F.col("q") / 52).alias("annual_rate"), S.carry_cost(F.col("shares") * F.col("p"), F.col("shares") < 0, F.col("q") / 52, own_rate=F.when(F.col("d") > 0.05, F.col("d"))).alias("carry"), "turnover", k.alias("k"), S.cost_curvature(k, F.col("d")).alias("curvature"),
+    ), 8)
+
+
+def a_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """What two reads of each user's bars lack, by timeframe: one over both timeframes, one that overlaps it over days alone."""
+    own = market.fetches(spark, sf).withColumn("timeframe", F.when(F.dayofmonth("start") % 2 == 0, "1d").otherwise("1h"))
+    read = lambda tf, a, b: own.select("symbol").distinct().select(F.lit(tf).alias("timeframe"), "symbol", bars.market_instant(F.lit(a)).alias("start"), bars.market_instant(F.lit(b)).alias("end"))
+    reads = read("1h", "2024-01-05", "2024-01-25").unionByName(read("1d", "2024-01-05", "2024-01-25")).unionByName(read("1d", "2024-01-20T10:00:00", "2024-02-05T12:30:00Z"))
+    return tidy(coverage.missing_windows(own, reads))
+
+
+QUERIES = {f.__name__: f for f in (e_win_loss, e_exit_paths, e_durations, p_screen, p_baseline, p_gradients, p_skill, b_sizing, b_costs, a_windows)}
 
 CLOSED = f"""{TRADED}, cl as (select td.* replace (case when l_linenumber = 6 then null else pnl end as pnl, case when l_linenumber <> 5 then entry_time end as entry_time), case l_orderkey % 5 when 0 then 'STOP_LOSS' when 1 then 'TAKE_PROFIT' when 2 then 'SIGNAL' else '(unlabelled)' end as exit_reason from td)"""
 P = "case when pnl > 0 then pnl end"
@@ -81,6 +103,21 @@ def over(a: str, b: str) -> str:
     return f"case when count(pnl) > 0 then case when {b} > 0 then {a} / {b} when {a} > 0 then 'inf'::double else 0 end end"
 
 
+WINDOWS = (
+    market.FETCHES.replace("fetches as", "fetched as")
+    + ", fetches as (select case when day(start) % 2 = 0 then '1d' else '1h' end || symbol as symbol, start, \"end\" from fetched), "
+    + market.ISLANDS
+    + """, users as (select distinct symbol as u from fetched),
+asked as (select '1h' || u as symbol, timestamp '2024-01-05 05:00:00' as a, timestamp '2024-01-25 05:00:00' as d from users union all select '1d' || u, timestamp '2024-01-05 05:00:00', timestamp '2024-01-25 05:00:00' from users
+  union all select '1d' || u, timestamp '2024-01-20 15:00:00', timestamp '2024-02-05 12:30:00' from users),
+near as"""
+    + market.GAPS.split("near as", 1)[1]
+    + """, g as (select * from gaps where gap_start < gap_end),
+gr as (select *, max(gap_end) over (partition by symbol order by gap_start, gap_end rows between unbounded preceding and 1 preceding) as m from g),
+gm as (select *, sum(case when m is null or gap_start > m then 1 else 0 end) over (partition by symbol order by gap_start, gap_end rows unbounded preceding) as island from gr),
+parts as (select left(symbol, 2) as timeframe, substr(symbol, 3) as symbol, min(gap_start) as s, max(gap_end) as e from gm group by gm.symbol, island),
+dates as (select timeframe, (min(s) - interval 5 hour)::date::varchar as first_date, case when max(e) - interval 5 hour = date_trunc('day', max(e) - interval 5 hour) then (max(e) - interval 5 hour)::date else (max(e) + interval 19 hour)::date end::varchar as last_date from parts group by timeframe)"""
+)
 #: The sweep of p_sweep, unrounded.
 SWEEP = "sw as (select fast, slow, n, total, sharpe from (" + market.SQL["p_sweep"] + "))"
 SQL = {
@@ -101,6 +138,14 @@ select l_orderkey, l_linenumber, {r('case when abs(u / 997) < 1 then round(u / 9
   {r('case when u > 0 and t > 0 then least(1e6 * 0.01 / (u * t), 5e4 / u, 1e6 * 0.02 / (u * t)) else 0 end', 7)} as risk_size, {r('q / least(greatest(abs(d * 50), 0.25), 4)', 7)} as scaled, {r('d * 1e6 / u', 7)} as weighted,
   {r('p * 3 / 1e4 + 0.1 * t * sqrt(p / (q * 1000)) * p', 7)} as cost, {r('p * 3 / 1e4 + 0.1 * t * least(p / (q * 100), 0.5) * p', 7)} as capped_cost, {r('t * 252 / q', 7)} as yearly, {r('case when l_linenumber % 2 = 0 then p * 0.03 * q / 252 else 0 end', 7)} as carry,
   {r('case when l_linenumber % 2 = 0 then 1 else -1 end * (u * (1 + t) - u) / u * 1e4', 7)} as slippage, case when l_linenumber <> 2 then l_linenumber * 3600000 + 1500 end::bigint as elapsed, {r('case when l_linenumber <> 3 then q end', 7)} as stated from l""",
+    "b_costs": f"""with l as (select l_orderkey, l_linenumber, l_linenumber as n, l_quantity::double as q, l_extendedprice::double as p, l_tax::double as t, l_discount::double as d from lineitem),
+m as (select *, case when n = 6 then 0 when n % 2 = 0 then -q else q end as sh, case when n = 5 then 0 when n <> 4 then q * (1 + d * 200) end as adv, coalesce(case when n <> 3 then t / 10 end, 0.0005) as sp from l),
+c as (select *, case when n = 6 then 0 else p end as size, case when n = 6 then 0 when adv > 0 then q / adv end as part, case when n <> 2 and t > 0 then 0.3 * t * sqrt(1e6 / (p * 50)) else 0 end as k from m),
+e as (select *, size / 1e4 as com, sp / 2 * size as spc, coalesce(0.3 * t * sqrt(part) * size, 0) as imp from c), f as (select *, com + spc + imp as total, case when size > 0 then (com + spc + imp) / size else 0 end as rate from e)
+select l_orderkey, l_linenumber, {r('com', 8)} as commission, {r('spc', 8)} as spread_cost, {r('imp', 8)} as impact_cost, {r('total', 8)} as total, {r('part', 8)} as participation, n <> 6 and coalesce(part > 0.1, true) as capped, {r('coalesce(0.3 * t * part * size, 0)', 8)} as linear_impact,
+  n <> 6 and coalesce(part > 0.2, true) as linear_capped, {r('rate', 8)} as rate, {r('2 * rate / (q / 52)', 8)} as annual_rate, {r('case when sh < 0 then case when d > 0.05 then d else 0.005 end * abs(sh * p) * (q / 52) else 0 end', 8)} as carry, {r('0.0001 + sp / 2', 8)} as turnover, {r('k', 8)} as k,
+  {r('case when k > 0 and d > 0 then 0.75 * k / sqrt(d) end', 8)} as curvature from f""",
+    "a_windows": f"with {WINDOWS} select timeframe, symbol, floor(epoch(s))::bigint as start, floor(epoch(e))::bigint as \"end\", first_date, last_date from parts join dates using (timeframe)",
     # Older queries.
     "p_distribution": f"with {SWEEP}, u as (select 'fast' as param, fast::double as value, total from sw union all select 'slow', slow, total from sw) select param, value, count(*) as n, {r('avg(total)', 4)} as mean, {r('max(total)', 4)} as best from u group by param, value",
     "w_barcheck": f"with recursive {FED.replace('as late,', 'and false as late,').replace('fd as (select *, ts + case when day(ts) % 5 = 2 then interval 5 day else interval 1 day end as arrival from bars union all select *, ts + interval 6 day from bars where day(ts) % 7 = 3)', 'fd as (select *, ts as arrival from bars)')} select coalesce(reason, 'accepted') as reason, count(*) as n from wk group by 1",

@@ -102,3 +102,9 @@ def to_utc(ts: Column, zone: str = "America/New_York") -> Column:
 def shift_days(ts: Column, days: int, zone: str = "America/New_York") -> Column:
     """The instant `days` calendar days later on the zone's clock, across daylight-saving changes."""
     return F.to_utc_timestamp(F.from_utc_timestamp(ts, zone) + F.expr(f"INTERVAL {int(days)} DAYS"), zone)
+
+
+def market_instant(text: Column, zone: str = "America/New_York") -> Column:
+    """The instant of a date or ISO time in a UTC session: without an offset it is on the zone's clock, a bare date its midnight; null where it cannot be read."""
+    read = F.try_to_timestamp(text)
+    return F.when(text.rlike(r"[T ]\d{2}.*(Z|[+-]\d{2}:?\d{2})$"), read).otherwise(F.to_utc_timestamp(read, zone))

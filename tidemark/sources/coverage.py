@@ -61,6 +61,22 @@ def missing(fetches: DataFrame, requests: DataFrame) -> DataFrame:
     return gaps(fetches, requests).groupBy("symbol").agg(F.min("gap_start").alias("start"), F.max("gap_end").alias("end"), F.count("*").alias("n_gaps"))
 
 
+def missing_windows(fetches: DataFrame, requests: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """timeframe, symbol, start, end of each stretch that several requests (timeframe, symbol, start, end) lack together.
+
+    first_date and last_date are the zone's dates that one fetch of the timeframe has to name to
+    cover all of its stretches: a date is its midnight, so an end later in a day takes the next.
+    Nothing lacking: no rows.
+    """
+    key = F.struct("timeframe", "symbol").alias("symbol")
+    found = gaps(fetches.select(key, "start", "end"), requests.select(key, "start", "end").distinct())
+    each = merged(found.select("symbol", F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))).select("symbol.timeframe", "symbol.symbol", "start", "end")
+    wall = lambda c: F.from_utc_timestamp(c, zone)
+    last = wall(F.max("end"))
+    dates = each.groupBy("timeframe").agg(F.to_date(wall(F.min("start"))).alias("first_date"), F.date_add(F.to_date(last), F.when(last == F.date_trunc("day", last), 0).otherwise(1)).alias("last_date"))
+    return each.join(dates, "timeframe").select("timeframe", "symbol", "start", "end", F.col("first_date").cast("string").alias("first_date"), F.col("last_date").cast("string").alias("last_date"))
+
+
 def record_fetch(fetches: DataFrame, done: DataFrame) -> DataFrame:
     """fetches with the intervals just fetched (symbol, start, end, fetched_at), whether or not they brought a bar."""
     return fetches.unionByName(done.select(*fetches.columns))
