@@ -61,6 +61,35 @@ def folds(spark: SparkSession, start: datetime, end: datetime, *, train_days: in
     return spark.createDataFrame(rows, "fold int, segment string, start timestamp, end timestamp")
 
 
+def fold_plan(start: datetime, end: datetime, *, anchored: bool = True, n_folds: int = 4, train_days: int | None = None, test_days: int | None = None, embargo_days: int = 0, holdout_days: int = 0) -> list[tuple]:
+    """(fold, segment, start, end) with end exclusive, for `folds_table`: is and oos of each fold, and one holdout of fold null.
+
+    The holdout is the end of the span and no fold reaches into it. Without train_days and
+    test_days both are what n_folds of equal length leave; one alone is refused, as is a span that
+    holds no fold.
+    """
+    if (train_days is None) != (test_days is None):
+        raise ValueError("train_days and test_days go together")
+    last = end - timedelta(days=holdout_days)
+    span = (last - start).days
+    if span <= embargo_days:
+        raise ValueError(f"{span} days are too short for an embargo of {embargo_days}")
+    if train_days is None or test_days is None:
+        train_days = test_days = max((span - embargo_days) // (n_folds + 1), 1)
+    plan, cut = [], start + timedelta(days=train_days)
+    while (test := cut + timedelta(days=embargo_days)) + timedelta(days=test_days) <= last:
+        k = len(plan) // 2
+        plan += [(k, "is", start if anchored else cut - timedelta(days=train_days), cut), (k, "oos", test, test + timedelta(days=test_days))]
+        cut += timedelta(days=test_days)
+    if not plan:
+        raise ValueError("no fold fits the span")
+    return plan + ([(None, "holdout", last, end)] if holdout_days else [])
+
+
+def folds_table(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(plan, "fold int, segment string, start timestamp, end timestamp")
+
+
 def by_fold(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with the folds and segments they fall in; the plan is small and broadcast."""
     return rows.join(F.broadcast(plan), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).drop("start", "end")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -46,6 +46,18 @@ def holdings(rows: DataFrame) -> DataFrame:
     return rows.select(F.upper(F.trim("symbol")).alias("symbol"), F.when(total > 0, ratio(w, total)).otherwise(F.raise_error(F.lit("weights sum to nothing"))).alias("weight"))
 
 
+def holdings_file(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, weight (summing to 1) of a CSV file with these columns or a JSON file of one object, symbol to weight. Other endings are refused; a total that is not positive fails the job."""
+    if path.lower().endswith(".csv"):
+        rows = spark.read.csv(path, header=True).select(F.trim("symbol").alias("symbol"), F.col("weight").cast("double").alias("weight"))
+    elif path.lower().endswith(".json"):
+        whole = spark.read.text(path, wholetext=True)
+        rows = whole.select(F.explode(F.from_json("value", "map<string,double>")).alias("symbol", "weight"))
+    else:
+        raise ValueError(f"a holdings file must be .csv or .json: {path}")
+    return holdings(rows)
+
+
 def trades_payload(trades: DataFrame, most: int) -> tuple[DataFrame, int, bool]:
     """(the first `most` trades by exit time and then by all other columns, how many there are, whether some are left out)."""
     total = trades.count()
