@@ -313,6 +313,18 @@ def test_encoder_equals_the_library_on_odd_spaces():
         assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_token_folder_without_a_scheme(spark, tmp_path):
+    """A folder is resolved as Spark resolves its own paths, and a scheme that no file system serves is refused."""
+    import public_tokenizers
+
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    manifest = tokens.write_ids(rows, f"{tmp_path}/ids", public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(r.path.startswith("file:/") for r in manifest.collect()) and tokens.read_ids(manifest).count() == 2
+    assert tokens.qualified(spark, "hdfs://host/a") == "hdfs://host/a" and tokens._filesystem("file:/a/b")[1] == tokens._filesystem("file:///a/b")[1] == "/a/b"
+    with pytest.raises(ValueError):
+        tokens._filesystem("nowhere://a/b")
+
+
 def test_token_file_reads_only_wanted_frames(tmp_path):
     writer = tokens.Writer(str(tmp_path))
     for k in range(30):

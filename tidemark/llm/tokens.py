@@ -106,8 +106,19 @@ def _encoder(tokenizer_json: str) -> Encoder:
     return Encoder(tokenizer_json)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark itself would write it to: one without a scheme is on the cluster's default file system, not on each executor's disk."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.toString() if "://" in path else at.getFileSystem(conf).makeQualified(at).toString()
+
+
 def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    """The file system of a qualified path and the path in it. Hadoop's names of S3 are known; a scheme that Arrow has no file system for is refused."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else path)
 
 
 class Writer:
@@ -225,7 +236,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "do
             rows.append(writer.close() | {"part": part, "k": k})
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("part", pa.int32()), ("k", pa.int32())]))
 
-    if "://" not in folder or folder.startswith("file:"):
+    folder = qualified(docs.sparkSession, folder)
+    if folder.startswith("file:"):
         fs, at = _filesystem(folder)
         fs.create_dir(at, recursive=True)
     small_batches(docs)

@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted. Null ids are scored too and count as the empty text in the fold rule."""
+    """One row per row of docs: id, held_out, score, predicted. Null ids are scored too and count as the empty text in the fold rule. Null and empty texts score by the bias alone; equal rows score alike, and columns beyond id and text are not read."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
     return score(rows, model, text_col="body").select(
@@ -217,4 +217,5 @@ def clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of documents; see toxicity for nulls, empty texts and repeated rows."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
