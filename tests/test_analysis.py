@@ -10,7 +10,7 @@ from test_market import TABLES, flat_rows
 
 from tidemark.functions import scalars as S
 from tidemark.operators import analytics, metrics, sweep
-from tidemark.plans import analysis
+from tidemark.plans import analysis, desk
 from tidemark.plans import queries as market
 from tidemark.sources import bars, coverage
 
@@ -27,7 +27,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted({*analysis.QUERIES, *analysis.SQL}))
 def test_query_equals_sql(spark, duck, name):
-    got = (analysis.QUERIES.get(name) or market.QUERIES[name])(spark, SF).toPandas()
+    got = (analysis.QUERIES | market.QUERIES | desk.QUERIES)[name](spark, SF).toPandas()
     assert len(got) > 0
     if name in analysis.SQL:
         assert flat_rows(got) == flat_rows(duck.sql(analysis.SQL[name]).df())

@@ -118,6 +118,10 @@ gm as (select *, sum(case when m is null or gap_start > m then 1 else 0 end) ove
 parts as (select left(symbol, 2) as timeframe, substr(symbol, 3) as symbol, min(gap_start) as s, max(gap_end) as e from gm group by gm.symbol, island),
 dates as (select timeframe, (min(s) - interval 5 hour)::date::varchar as first_date, case when max(e) - interval 5 hour = date_trunc('day', max(e) - interval 5 hour) then (max(e) - interval 5 hour)::date else (max(e) + interval 19 hour)::date end::varchar as last_date from parts group by timeframe)"""
 )
+#: Profits of the trades of g_trades from bars as they are, and from bars that each carry the values of five bars later.
+PNL = f"with {market.HOUR}, {market.RETS}, {market.HELD}, {market.EXTRACTED} select round(exit_price / nullif(entry_price, 0) - 1, 6) as pnl from tr"
+MOVED = PNL.replace("bars as (", "unmoved as (", 1).replace("rets as (", f"bars as (select * from (select ts, symbol, {', '.join(f'lead({c}, 5) over ({market.W}) as {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} from unmoved) where close is not null), rets as (", 1)
+NEAR = (7, 8, 9, 23, 26, 29)
 #: The sweep of p_sweep, unrounded.
 SWEEP = "sw as (select fast, slow, n, total, sharpe from (" + market.SQL["p_sweep"] + "))"
 SQL = {
@@ -148,5 +152,15 @@ select l_orderkey, l_linenumber, {r('com', 8)} as commission, {r('spc', 8)} as s
     "a_windows": f"with {WINDOWS} select timeframe, symbol, floor(epoch(s))::bigint as start, floor(epoch(e))::bigint as \"end\", first_date, last_date from parts join dates using (timeframe)",
     # Older queries.
     "p_distribution": f"with {SWEEP}, u as (select 'fast' as param, fast::double as value, total from sw union all select 'slow', slow, total from sw) select param, value, count(*) as n, {r('avg(total)', 4)} as mean, {r('max(total)', 4)} as best from u group by param, value",
+    "x_refine": f"""with {market.DAY}, {market.RETS}, {market.XS}, w1 as (select *, case when ret is not null then least(greatest(ret, q1), q2) end as w from xs), w2 as (select *, avg(w) over p as wm, stddev_pop(w) over p as ws, avg(abs(w)) over p as wa from w1 window p as (partition by ts)),
+z1 as (select *, case when w is null then null when coalesce(ws, 0) <= 1e-12 * greatest(1, wa) then 0 else (w - wm) / ws end as z from w2), z2 as (select *, regr_slope(z, case when z is not null then volume end) over p as s2, regr_intercept(z, case when z is not null then volume end) over p as c2, count(z) over p as n2 from z1 window p as (partition by ts)),
+a1 as (select *, 0.015 * case when nn < 10 then ret - mu when z is null or n2 < 2 or s2 is null or isnan(s2) then z else z - c2 - s2 * volume end as a from z2), a2 as (select *, stddev_pop(a) over p as sa, avg(abs(a)) over p as aa from a1 window p as (partition by ts))
+select epoch(ts)::bigint as ts, symbol, {r('case when nn < 10 or a is null or coalesce(sa, 0) <= 1e-12 * greatest(1, aa) then a else least(greatest(a, -3 * sa), 3 * sa) end')} as alpha, nn < 10 as thin from a2""",
+    "p_shift": f"""with b as (select count(*) as n from ({PNL})), m as (select count(*) as n from ({MOVED})), d as (select count(*) as n from ((({PNL}) except all ({MOVED})) union all (({MOVED}) except all ({PNL}))))
+select b.n as base_trades, m.n as shifted_trades, d.n > 0 or b.n + m.n = 0 as passed from b, m, d""",
+    "p_sensitivity": f"""with {market.WEEK}, {market.RETS}, m as (select *, {', '.join(f'case when count(close) over w{n} = {n} then avg(close) over w{n} end as m{n}' for n in NEAR)} from rets window {', '.join(f'w{n} as ({market.W} rows between {n - 1} preceding and current row)' for n in NEAR)}),
+c as ({' union all '.join(f'select {f} as fast, {s} as slow, ts, ret, lag((m{f} > m{s})::int) over ({market.W}) as held from m' for f, s in ((8, 26), (7, 26), (9, 26), (8, 23), (8, 29)))}),
+k as (select fast, slow, ts, avg(ret * held) as x from c where ret is not null and held is not null group by fast, slow, ts), z as (select fast, slow, {market.sharpe('x', 52)} as s from k group by fast, slow), g as (select max(case when fast = 8 and slow = 26 then s end) as base, min(case when fast <> 8 or slow <> 26 then s end) as worst, count(*) - 1 as n from z)
+select {r('base', 5)} as base_sharpe, {r('greatest(coalesce((base - worst) / nullif(abs(base), 0), 0), 0)', 5)} as max_sharpe_loss, n as neighbours from g""",
     "w_barcheck": f"with recursive {FED.replace('as late,', 'and false as late,').replace('fd as (select *, ts + case when day(ts) % 5 = 2 then interval 5 day else interval 1 day end as arrival from bars union all select *, ts + interval 6 day from bars where day(ts) % 7 = 3)', 'fd as (select *, ts as arrival from bars)')} select coalesce(reason, 'accepted') as reason, count(*) as n from wk group by 1",
 }
