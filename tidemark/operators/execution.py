@@ -96,14 +96,18 @@ def verdict(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(F.count_if(seen).alias("n_evaluated"), F.count("*").alias("n_checks"), F.bool_and(F.when(seen, F.col("passed"))).alias("passed"), F.concat_ws(", ", F.array_sort(F.collect_list(F.when(seen & ~F.col("passed"), F.col("check"))))).alias("failed"))
 
 
-def timeline(bars: DataFrame, columns: list[str]) -> DataFrame:
+def timeline(bars: DataFrame, columns: list[str], every: str = "day") -> DataFrame:
     """Every symbol at every ts that any symbol has, from its own first bar on, with `columns` of its last bar by then and `fresh`, whether that is the ts itself.
 
-    The grid is the result itself: a row for each name and ts.
+    The grid is the result itself: a row for each name and ts. Names and times meet by calendar
+    piece, so that the grid is dealt out by time.
     """
     w = Window.partitionBy("symbol").orderBy("ts")
-    every, names = bars.select("ts").distinct(), bars.groupBy("symbol").agg(F.min("ts").alias("__from"))
-    grid = every.join(names, F.col("ts") >= F.col("__from")).select("ts", "symbol")
+    piece, one = F.date_trunc(every, "ts").alias("__piece"), F.expr(f"interval 1 {every}")
+    times, names = bars.select("ts", piece).distinct(), bars.groupBy("symbol").agg(F.min("ts").alias("__from"))
+    # The last ts is one row.
+    spans = names.join(F.broadcast(bars.agg(F.max("ts").alias("__to")))).select("symbol", "__from", F.explode(F.sequence(F.date_trunc(every, "__from"), F.date_trunc(every, "__to"), one)).alias("__piece"))
+    grid = times.join(spans, "__piece").where(F.col("ts") >= F.col("__from")).select("ts", "symbol")
     own = bars.select("ts", "symbol", F.struct(*columns).alias("__own"))
     return grid.join(own, ["ts", "symbol"], "left").select("ts", "symbol", F.col("__own").isNotNull().alias("fresh"), F.last("__own", ignorenulls=True).over(w).alias("r")).select("ts", "symbol", "fresh", "r.*")
 

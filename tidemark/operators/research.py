@@ -187,12 +187,15 @@ def linked(periods: DataFrame, keys: list[str], order: str, components: list[str
     return out.withColumn("delta", F.col("honest") - F.col("naive"))
 
 
-def error_by_regime(periods: DataFrame, per_year: float) -> DataFrame:
-    """(variance, active, vol) a rebalance -> regime, n, predicted_te, realized_te, gap by terciles of the benchmark's volatility; none under six known ones."""
+def error_by_regime(periods: DataFrame, per_year: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, variance, active, vol) a rebalance -> keys, regime, n, predicted_te, realized_te, gap by terciles of the benchmark's volatility; none for a book with under six known ones."""
+    keys = keys or []
     known = periods.where("vol is not null and not isnan(vol)")
-    cuts = known.agg(F.count("*").alias("__n"), F.percentile("vol", F.lit(1 / 3)).alias("__a"), F.percentile("vol", F.lit(2 / 3)).alias("__b"))
+    cuts = known.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile("vol", F.lit(1 / 3)).alias("__a"), F.percentile("vol", F.lit(2 / 3)).alias("__b"))
     regime = F.when(F.col("vol") <= F.col("__a"), "low").when(F.col("vol") <= F.col("__b"), "mid").otherwise("high")
-    rows = known.join(F.broadcast(cuts)).where(F.col("__n") >= 6).groupBy(regime.alias("regime"))
+    # Without keys the cuts are one row.
+    beside = known.join(cuts, keys) if keys else known.join(F.broadcast(cuts))
+    rows = beside.where(F.col("__n") >= 6).groupBy(*keys, regime.alias("regime"))
     out = rows.agg(F.count("*").alias("n"), F.sqrt(F.greatest(F.avg("variance"), F.lit(0.0))).alias("predicted_te"), F.coalesce(F.stddev_samp("active") * math.sqrt(per_year), F.lit(0.0)).alias("realized_te"))
     return out.withColumn("gap", F.col("realized_te") - F.col("predicted_te"))
 

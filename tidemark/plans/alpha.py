@@ -87,11 +87,10 @@ def e_linked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e_te(spark: SparkSession, sf: str) -> DataFrame:
-    """The book of one brand against all, by regimes of the market's volatility."""
-    one = periods(spark, sf).where("symbol = 'Brand#13'")
+    """The book of each brand against all, by regimes of the market's volatility."""
     past = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-7, 0)
-    rows = one.select("active", (F.var_samp("active").over(past) * 52).alias("variance"), F.stddev_samp("bench").over(past).alias("vol"))
-    return tidy(research.error_by_regime(rows, 52.0), 5)
+    rows = periods(spark, sf).select("symbol", "active", (F.var_samp("active").over(past) * 52).alias("variance"), F.stddev_samp("bench").over(past).alias("vol"))
+    return tidy(research.error_by_regime(rows, 52.0, ["symbol"]), 5)
 
 
 def r_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,9 +164,9 @@ select symbol, n as periods, {r('m', 7)} as mean, {r('v', 7)} as vol, {r('m * 52
     "e_linked": f"""{BASE}, {PERIODS}, g as (select *, exp(coalesce(sum(ln(1 + active)) over ({W} rows between unbounded preceding and 1 preceding), 0)) as g from pd),
 l as (select symbol, sum(systematic * g) as linked_systematic, exp(sum(ln(1 + active))) - 1 as naive, exp(sum(ln(1 + portfolio))) - exp(sum(ln(1 + base))) as honest from g group by symbol)
 select symbol, {r('linked_systematic', 4)} as linked_systematic, {r('naive', 4)} as naive, {r('honest', 4)} as honest, {r('honest - naive', 4)} as delta from l""",
-    "e_te": f"""{BASE}, {PERIODS}, q as (select active, var_samp(active) over p * 52 as variance, stddev_samp(bench) over p as vol from pd where symbol = 'Brand#13' window p as (order by ts rows between 7 preceding and current row)),
-c as (select quantile_cont(vol, 1 / 3.0::double) as a, quantile_cont(vol, 2 / 3.0::double) as b from q), t as (select case when vol <= a then 'low' when vol <= b then 'mid' else 'high' end as regime, count(*) as n, sqrt(avg(variance)) as p, stddev_samp(active) * sqrt(52) as z from q, c where vol is not null group by 1)
-select regime, n, {r('p', 5)} as predicted_te, {r('z', 5)} as realized_te, {r('z - p', 5)} as gap from t""",
+    "e_te": f"""{BASE}, {PERIODS}, q as (select symbol, active, var_samp(active) over p * 52 as variance, stddev_samp(bench) over p as vol from pd window p as (partition by symbol order by ts rows between 7 preceding and current row)),
+c as (select symbol, count(vol) as n, quantile_cont(vol, 1 / 3.0::double) as a, quantile_cont(vol, 2 / 3.0::double) as b from q group by symbol), t as (select symbol, case when vol <= a then 'low' when vol <= b then 'mid' else 'high' end as regime, count(*) as n, sqrt(avg(variance)) as p, stddev_samp(active) * sqrt(52) as z from q join c using (symbol) where vol is not null and c.n >= 6 group by 1, 2)
+select symbol, regime, n, {r('p', 5)} as predicted_te, {r('z', 5)} as realized_te, {r('z - p', 5)} as gap from t""",
     "r_split": f"""with {WEEK}, {RETS}, {EXPOSED}, e as (select ts, sum(weight * ret) as total, sum(weight) as x0, sum(weight * size) as x1, sum(weight * momentum) as x2 from ex group by ts),
 q as (select e.ts, any_value(total) as total, sum(fr.ret * case factor when 'market' then x0 when 'size' then x1 else x2 end) as f from e join fr on e.ts = fr.ts group by e.ts)
 select epoch(ts)::bigint as ts, {r('f', 5)} as factor_return, {r('total - f', 5)} as specific_return from q""",
