@@ -278,3 +278,12 @@ def test_entry_works_without_the_training_data_part(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert run.returncode == 0 and run.stdout.split()[-1] == "False"
+
+
+def test_faults_of_a_day_with_a_price_of_zero_equal_sql(spark, tmp_path):
+    """On the 3rd a low of 0 between prices over it is no range to invert: the bar is not positive as it stands."""
+    con = duckdb.connect()
+    con.sql("create table events as select i as event_id, timestamp '2024-01-01 09:00:00' + to_hours((i % 96)::int) as ts, i % 4 as user_id, 'view' as event_type, case when i % 96 in (57, 62) then 0 else 1 + i % 7 end::double as value, '' as props from range(192) t(i)")
+    con.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = market.QUERIES["w_faults"](spark, str(tmp_path)).toPandas(), con.sql(market.SQL["w_faults"]).df()
+    assert flat_rows(got) == flat_rows(want) and "non_positive" in set(want.fault)
