@@ -287,3 +287,9 @@ def test_faults_of_a_day_with_a_price_of_zero_equal_sql(spark, tmp_path):
     con.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
     got, want = market.QUERIES["w_faults"](spark, str(tmp_path)).toPandas(), con.sql(market.SQL["w_faults"]).df()
     assert flat_rows(got) == flat_rows(want) and "non_positive" in set(want.fault)
+
+
+def test_decay_takes_every_lag(spark):
+    """Lags with a negative coefficient count by its size."""
+    profile = {x.lag: x.mean_ic for x in market.e_ic_by_lag(spark, SF).collect()}
+    assert min(profile.values()) < 0 and market.e_decay(spark, SF).first().lags == sum(v != 0 for v in profile.values())
