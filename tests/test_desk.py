@@ -176,3 +176,9 @@ def test_regimes_need_six_known_volatilities(spark):
     rows = series(spark, [(0.04, 0.01 * k, float(k)) for k in range(5)], "variance double, active double, vol double")
     assert research.error_by_regime(rows, 12.0).count() == 0
     assert {r.regime: r.n for r in research.error_by_regime(rows.unionAll(rows), 12.0).collect()} == {"low": 4, "mid": 4, "high": 2}
+
+
+def test_references_send_no_ids_to_every_task(spark):
+    ids, refs = spark.range(50).selectExpr("sha2(cast(id as string), 256) as id"), spark.range(50).selectExpr("substring(sha2(cast(id as string), 256), 1, 5) as ref")
+    found = trials.resolved(ids, refs)
+    assert found.where("id is not null").count() > 40 and "BroadcastHashJoin" not in found._jdf.queryExecution().toString()

@@ -56,14 +56,18 @@ def listing(
 def resolved(trials: DataFrame, refs: DataFrame, least: int = 4) -> DataFrame:
     """(ref) -> ref, id, n: the trial a reference names. An exact id wins; else a prefix of `least` characters and more if only one id has it; n counts the ids with that prefix.
 
-    Ids meet references by the first `least` characters.
+    Each id is cut to the lengths that references have, and meets them by equality in one grouping:
+    the work grows with the ids times those lengths, and no side is sent whole to every task.
     """
-    r = refs.select(F.trim("ref").alias("ref")).distinct()
-    head = lambda c: F.substring(c, 1, least)
-    exact = r.join(trials.select(F.col("id").alias("ref"), F.col("id").alias("__exact")).distinct(), "ref", "left")
-    long = trials.select("id", head("id").alias("__h")).distinct()
-    near = exact.where(F.length("ref") >= least).withColumn("__h", head("ref")).join(long, "__h").where("startswith(id, ref)").groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("__one"))
-    return exact.join(near, "ref", "left").select("ref", F.coalesce("__exact", F.when(F.col("n") == 1, F.col("__one"))).alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
+    asked = refs.select(F.trim("ref").alias("ref")).where("ref is not null")
+    sizes = asked.agg(F.collect_set(F.length("ref")).alias("__sizes"))
+    whole = F.col("__size") == F.length("id")
+    # The sizes are one row.
+    cut = trials.select("id").where("id is not null").distinct().join(F.broadcast(sizes)).withColumn("__size", F.explode("__sizes")).where((F.col("__size") <= F.length("id")) & ((F.col("__size") >= least) | whole))
+    ids = cut.select(F.expr("substring(id, 1, __size)").alias("ref"), F.lit(False).alias("asked"), F.when(F.col("__size") >= least, 1).otherwise(0).alias("n"), "id", whole.alias("exact"))
+    rows = asked.select("ref", F.lit(True).alias("asked"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("id"), F.lit(False).alias("exact")).unionByName(ids)
+    found = rows.groupBy("ref").agg(F.max("asked").alias("asked"), F.sum("n").alias("n"), F.min("id").alias("one"), F.max("exact").alias("exact")).where("asked")
+    return found.select("ref", F.when(F.col("exact"), F.col("ref")).when(F.col("n") == 1, F.col("one")).alias("id"), "n")
 
 
 def detail(trials: DataFrame, returns: DataFrame, weights: DataFrame, trades: DataFrame) -> DataFrame:
