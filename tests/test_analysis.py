@@ -114,3 +114,8 @@ def test_missing_windows(spark):
     got = {(r.timeframe, r.symbol, str(r.start)[:10], str(r.end)[:10], r.first_date, r.last_date) for r in coverage.missing_windows(have, reads).collect()}
     assert got == {("1d", "A", "2024-01-10", "2024-01-15", "2024-01-03", "2024-01-15"), ("1d", "B", "2024-01-03", "2024-01-04", "2024-01-03", "2024-01-15"), ("1h", "A", "2024-01-02", "2024-01-03", "2024-01-02", "2024-01-04")}
     assert coverage.missing_windows(have, of([("1d", "A", "2024-01-02 05:00:00", "2024-01-03 05:00:00")])).isEmpty()
+
+
+def test_cost_formulas_are_not_written_out_in_each_use(spark):
+    plan = analysis.b_costs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("sqrt(") <= 5

@@ -76,11 +76,16 @@ def b_costs(spark: SparkSession, sf: str) -> DataFrame:
     q, price, tax, discount = (F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount"))
     line = F.col("l_linenumber")
     shares, adv, spread = F.when(line == 6, 0.0).when(line % 2 == 0, -q).otherwise(q), F.when(line == 5, 0.0).when(line != 4, q * (1 + discount * 200)), F.when(line != 3, tax / 10)
-    priced = l.select("l_orderkey", "l_linenumber", q.alias("q"), price.alias("p"), tax.alias("t"), discount.alias("d"), shares.alias("shares"), S.cost_parts(shares, price / q, adv, tax, spread).alias("c"), S.cost_parts(shares, price / q, adv, tax, linear=True, limit=0.2).alias("lin"), S.turnover_rate(spread).alias("turnover"))
-    rate, k = S.cost_rate(F.col("c")), S.impact_coefficient(F.col("t"), F.col("p") * 50, F.when(F.col("l_linenumber") != 2, 1e6))
-    return tidy(priced.select(
-        "l_orderkey", "l_linenumber", "c.commission", "c.spread_cost", "c.impact_cost", "c.total", F.when(F.col("c.participation") < S.INF, F.col("c.participation")).alias("participation"), "c.capped", F.col("lin.impact_cost").alias("linear_impact"), F.col("lin.capped").alias("linear_capped"), rate.alias("rate"),
-        S.annual_cost_rate(rate, F.col("q") / 52).alias("annual_rate"), S.carry_cost(F.col("shares") * F.col("p"), F.col("shares") < 0, F.col("q") / 52, own_rate=F.when(F.col("d") > 0.05, F.col("d"))).alias("carry"), "turnover", k.alias("k"), S.cost_curvature(k, F.col("d")).alias("curvature"),
+    # In steps, so that no value's formula is written out in each one that uses it: one method of it all is too long to be compiled to machine code.
+    own = l.select("l_orderkey", "l_linenumber", q.alias("q"), price.alias("p"), tax.alias("t"), discount.alias("d"), shares.alias("shares"), (price / q).alias("unit"), adv.alias("adv"), spread.alias("spread"))
+    parts, linear = S.cost_parts(F.col("shares"), F.col("unit"), F.col("adv"), F.col("t"), F.col("spread")), S.cost_parts(F.col("shares"), F.col("unit"), F.col("adv"), F.col("t"), linear=True, limit=0.2)
+    known = ("l_orderkey", "l_linenumber", "q", "p", "d", "shares", "turnover", "k")
+    priced = own.select(*known[:6], S.turnover_rate(F.col("spread")).alias("turnover"), S.impact_coefficient(F.col("t"), F.col("p") * 50, F.when(line != 2, 1e6)).alias("k"), parts.alias("c"), linear.alias("lin"))
+    flat = priced.select(*known, *[F.col(f"c.{x}").alias(x) for x in ("notional", "commission", "spread_cost", "impact_cost", "total", "participation", "capped")], F.col("lin.impact_cost").alias("linear_impact"), F.col("lin.capped").alias("linear_capped"))
+    rated = flat.withColumn("rate", S.cost_rate(F.struct("notional", "total")))
+    return tidy(rated.select(
+        "l_orderkey", "l_linenumber", "commission", "spread_cost", "impact_cost", "total", F.when(F.col("participation") < S.INF, F.col("participation")).alias("participation"), "capped", "linear_impact", "linear_capped", "rate",
+        S.annual_cost_rate(F.col("rate"), F.col("q") / 52).alias("annual_rate"), S.carry_cost(F.col("shares") * F.col("p"), F.col("shares") < 0, F.col("q") / 52, own_rate=F.when(F.col("d") > 0.05, F.col("d"))).alias("carry"), "turnover", "k", S.cost_curvature(F.col("k"), F.col("d")).alias("curvature"),
     ), 8)
 
 
