@@ -159,3 +159,10 @@ def test_board_counts_each_trial_once(spark):
     assert [(r.id, r["rank"]) for r in rows.orderBy("rank").collect()] == [("1", 1), ("5", 2)] and tuple(counts.first()) == (2, 1, 1, 1)
     with pytest.raises(ValueError):
         reporting.board(t, rank_by="pnl")
+
+
+def test_yearly_stretches_are_cut_by_years(spark, monkeypatch):
+    seen = []
+    real = plans.reporting.overlaps
+    monkeypatch.setattr(plans.reporting, "overlaps", lambda *a, **k: seen.append(k.get("every")) or real(*a, **k))
+    assert plans.a_overlaps(spark, SF).count() > 0 and seen == ["year"]

@@ -159,11 +159,11 @@ def p_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Stretches of each customer's orders, by year, that meet those of another year's deliveries."""
+    """Stretches of each customer's orders, by year, that meet those of any year's deliveries. None leaves its year, so years are the pieces and each is one row."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     l = spark.read.parquet(f"{sf}/lineitem.parquet").join(o, F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
     span = lambda t, d: t.groupBy(F.col("o_custkey").alias("symbol"), F.year(d).alias("year")).agg(F.min(d).cast("timestamp").alias("start"), F.max(d).cast("timestamp").alias("end"))
-    return tidy(reporting.overlaps(span(o, "o_orderdate"), span(l, "l_shipdate").drop("year"), "symbol"))
+    return tidy(reporting.overlaps(span(o, "o_orderdate"), span(l, "l_shipdate").drop("year"), "symbol", every="year"))
 
 
 def j_benchmark(spark: SparkSession, sf: str) -> DataFrame:
