@@ -214,3 +214,14 @@ def test_payload_is_the_same_in_every_run(spark):
     rows = [("A", "2024-01-01", "2024-01-02", 1.0, 1.0, float(p)) for p in itertools.chain(range(5), range(5))]
     got = ingest.payload(trades_of(spark, *rows).repartition(4), 3)
     assert [r[got["columns"].index("pnl")] for r in got["rows"]] == [0.0, 0.0, 1.0] and (got["total_rows"], got["truncated"]) == (10, True)
+
+
+def test_streaks_go_on_from_month_to_month(spark):
+    rng = np.random.default_rng(5)
+    pnl = [None if x == 9 else float(np.sign(x - 2)) for x in rng.integers(0, 10, 400)]
+    pnl[50:200] = [3.0] * 150
+    rows = [(k, str(pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)), p) for k in ("A", "B") for i, p in enumerate(pnl if k == "A" else [-1.0, None, -1.0, -1.0])]
+    t = spark.createDataFrame(rows, "symbol string, exit_time string, pnl double").withColumn("exit_time", F.col("exit_time").cast("timestamp"))
+    longest = lambda s: max((len(list(g)) for x, g in itertools.groupby([0 if p is None else (p > 0) - (p < 0) for p in pnl]) if x == s), default=0)
+    got = {r.symbol: (r.max_wins, r.max_losses) for r in equity.streaks(t, ["symbol"]).collect()}
+    assert got == {"A": (longest(1), longest(-1)), "B": (0, 2)} and longest(1) >= 150

@@ -34,12 +34,14 @@ def dated_equity(trades: DataFrame, keys: list[str], capital: float) -> DataFram
 
 def exposure(trades: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """keys, exposure: the share of the window that the union of holdings covers, 1 at most; 0 for a window without length."""
-    w = Window.partitionBy(*keys).orderBy("entry_time", "exit_time")
+    # Of the trades that begin together the last to end covers the others.
+    held = trades.where("entry_time is not null and exit_time is not null").groupBy(*keys, "entry_time").agg(F.max("exit_time").alias("exit_time"))
+    w = Window.partitionBy(*keys).orderBy("entry_time")
     top = F.max("exit_time").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    seconds = lambda c: F.unix_micros(c) / 1e6
-    new = F.greatest(seconds(F.col("exit_time")) - F.greatest(seconds(F.col("entry_time")), F.coalesce(seconds(top), seconds(F.col("entry_time")))), F.lit(0.0))
+    micros = F.unix_micros
+    new = F.greatest(micros("exit_time") - F.greatest(micros("entry_time"), F.coalesce(micros(top), micros("entry_time"))), F.lit(0))
     total = F.unix_timestamp(F.lit(end).cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))
-    covered = trades.where("entry_time is not null and exit_time is not null").withColumn("__new", new).groupBy(*keys).agg(F.sum("__new").alias("__c"))
+    covered = held.withColumn("__new", new).groupBy(*keys).agg((F.sum("__new") / 1e6).alias("__c"))
     return covered.select(*keys, F.when(total > 0, F.least(F.col("__c") / total, F.lit(1.0))).otherwise(0.0).alias("exposure"))
 
 
@@ -49,6 +51,29 @@ def buy_and_hold(bars: DataFrame, keys: list[str]) -> DataFrame:
     return own.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("o") != 0, (F.col("c") / F.col("o") - 1) * 100)), F.lit(0.0)).alias("buy_hold"))
 
 
+def streaks(trades: DataFrame, keys: list[str], order: str = "exit_time") -> DataFrame:
+    """keys, max_wins, max_losses: the longest stretches of trades with and of those without profit, by the instant `order` and then all other columns; a missing or zero profit ends both.
+
+    A key's trades are cut into months of `order`, each numbered by itself; only a month's first
+    and last stretch meet those of other months.
+    """
+    cut = [*keys, "__piece"]
+    rows = trades.withColumns({"__piece": F.date_trunc("month", F.col(order)), "__s": F.signum("pnl")})
+    w = Window.partitionBy(*cut).orderBy(order, *sorted(c for c in trades.columns if c not in (order, *keys)))
+    changes = F.coalesce((F.col("__s") != F.lag("__s").over(w)).cast("int"), F.lit(1))
+    runs = rows.withColumn("__new", changes).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*cut, "__run", "__s").agg(F.count("*").alias("n"))
+    best = lambda v: F.max(F.when(F.col("__s") == v, F.col("n")))
+    end = lambda of, pos: F.struct(F.lit(pos).alias("pos"), of(F.struct("__s", "n"), "__run").alias("run"))
+    pieces = runs.groupBy(*cut).agg(best(1).alias("w"), best(-1).alias("l"), F.count("*").alias("k"), end(F.min_by, 0).alias("first"), end(F.max_by, 1).alias("last"))
+    ends = pieces.withColumn("e", F.explode(F.when(F.col("k") == 1, F.array("first")).otherwise(F.array("first", "last")))).select(*cut, "w", "l", "e.pos", F.col("e.run.__s").alias("__s"), F.col("e.run.n").alias("n"))
+    over = Window.partitionBy(*keys).orderBy("__piece", "pos")
+    # A last stretch is never the first of its month, whatever their signs.
+    opens = F.when(F.col("pos") == 1, 1).otherwise(F.coalesce((F.col("__s") != F.lag("__s").over(over)).cast("int"), F.lit(1)))
+    joined = ends.withColumn("__new", opens).withColumn("__run", F.sum("__new").over(over.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__run", "__s").agg(F.sum("n").alias("n"), F.max("w").alias("w"), F.max("l").alias("l"))
+    longest = lambda v, own: F.greatest(F.coalesce(best(v), F.lit(0)), F.coalesce(F.max(own), F.lit(0)))
+    return joined.groupBy(*keys).agg(longest(1, "w").alias("max_wins"), longest(-1, "l").alias("max_losses"))
+
+
 def trade_row(trades: DataFrame, keys: list[str], *, capital: float, start: str, end: str, order: str = "exit_time") -> DataFrame:
     """keys, entry_time, exit_time, entry_price, size, pnl, mae_pct, mfe_pct (the last two may be missing) -> the trade half of a metric row, one row for each key.
 
@@ -56,10 +81,8 @@ def trade_row(trades: DataFrame, keys: list[str], *, capital: float, start: str,
     profit ends a streak of either kind. low_sample marks keys with under 30 trades.
     """
     p = F.col("pnl")
-    w = Window.partitionBy(*keys).orderBy(order, *sorted(c for c in trades.columns if c not in (order, *keys)))
-    sign = F.signum(p)
-    runs = trades.withColumn("__s", sign).withColumn("__new", F.coalesce((F.col("__s") != F.lag("__s").over(w)).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    longest = runs.groupBy(*keys, "__run", "__s").agg(F.count("*").alias("n")).groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("__s") == v, F.col("n"))), F.lit(0)).alias(name) for v, name in ((1, "max_wins"), (-1, "max_losses"))])
+    # All that follows reads the trades several times over; lost parts of them are made anew.
+    trades = trades.persist()
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c) if c in trades.columns else F.lit(0.0).alias(c)
     own = trades.groupBy(*keys).agg(
         (F.sum(p) / capital * 100).alias("total_return"),
@@ -70,7 +93,7 @@ def trade_row(trades: DataFrame, keys: list[str], *, capital: float, start: str,
         (F.coalesce(F.sum(F.col("entry_price") * F.col("size")), F.lit(0.0)) / capital).alias("turnover"),
         mean("mae_pct"), mean("mfe_pct"), (F.count("*") < LOW_SAMPLE).alias("low_sample"),
     )
-    return own.join(trade_metrics(trades, keys), keys).join(longest, keys).join(exposure(trades, keys, start, end), keys, "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)) * 100)
+    return own.join(trade_metrics(trades, keys), keys).join(streaks(trades, keys, order), keys).join(exposure(trades, keys, start, end), keys, "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)) * 100)
 
 
 def backtest_row(trades: DataFrame, keys: list[str], *, capital: float, start: str, end: str, bars: DataFrame | None = None) -> DataFrame:
