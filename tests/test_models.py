@@ -29,6 +29,19 @@ def test_query_equals_sql(spark, duck, name):
     assert flat_rows(got) == flat_rows(duck.sql(models.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["r_conditional_factor", "r_book_split"])
+def test_ticks_are_read_once(spark, monkeypatch, name):
+    from tidemark.sources import bars
+
+    real, calls = bars.weekly, []
+    monkeypatch.setattr(bars, "weekly", lambda *a: calls.append(a) or real(*a))
+    df = models.QUERIES[name](spark, SF)
+    assert len(calls) == 1
+    # What it was read into was written, and the plan does not hold all plans before.
+    plan = df._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "InMemoryRelation" not in plan
+
+
 def series(spark, symbol, values, step=3600):
     rows = [(1_700_000_000 + k * step, symbol, None if v is None else float(v)) for k, v in enumerate(values)]
     return spark.createDataFrame(rows, "ts long, symbol string, ret double").withColumn("ts", F.timestamp_seconds("ts"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..sources.shared import saved
 from . import linear, scan
 from .risk import both_halves
 from .timeseries import by
@@ -58,13 +59,13 @@ def factor_model(panel: DataFrame, exposures: DataFrame, styles: list[str], ppy:
     """Complete-case panel (ts, symbol, ret) and exposures (symbol, styles), one row a name -> a model with annual covariances (n - 1)."""
     factors = [MARKET, *styles]
     names = projected(exposures.join(panel.select("symbol").distinct(), "symbol", "left_semi"), styles)
-    # All that follows reads these frames several times over; lost parts of them are made anew.
-    rows = panel.join(names, "symbol").persist()
-    returns = rows.groupBy("ts").agg(*[F.sum(F.col("ret") * F.col(f"p_{f}")).alias(f) for f in factors]).persist()
+    # All that follows reads these frames several times over. They are written: kept frames that are made of one another would repeat all earlier plans in each later one.
+    rows = saved(panel.join(names, "symbol"), "model-rows")
+    returns = saved(rows.groupBy("ts").agg(*[F.sum(F.col("ret") * F.col(f"p_{f}")).alias(f) for f in factors]), "factor-returns")
     explained = F.lit(0.0)
     for f in factors:
         explained = explained + F.col(f"a.{f}") * F.col(f"b.{f}")
-    residuals = rows.alias("a").join(returns.alias("b"), "ts").select("ts", "a.symbol", (F.col("a.ret") - explained).alias("residual")).persist()
+    residuals = saved(rows.alias("a").join(returns.alias("b"), "ts").select("ts", "a.symbol", (F.col("a.ret") - explained).alias("residual")), "residuals")
     pairs = linear.pairs(factors)
     covariance = dict(zip(pairs, returns.agg(*[F.covar_samp(a, b) * ppy for a, b in pairs]).first(), strict=True))
     specific = residuals.groupBy("symbol").agg((F.var_samp("residual") * ppy).alias("variance"))
@@ -88,7 +89,7 @@ def assembled(model: FactorModel) -> DataFrame:
         for b in model.factors:
             pull = pull + of(a, b) * F.col(b)
         pulls.append(pull.alias(f"g_{a}"))
-    names = both.select("symbol", *model.factors, *pulls, "variance").persist()
+    names = saved(both.select("symbol", *model.factors, *pulls, "variance"), "model-names")
     cov = F.when(F.col("a.symbol") == F.col("b.symbol"), F.col("a.variance")).otherwise(0.0)
     for f in model.factors:
         cov = cov + F.col(f"a.g_{f}") * F.col(f"b.{f}")
@@ -154,7 +155,8 @@ def conditioned_model(model: FactorModel, method: str, ppy: float, *, min_obs: i
     weighted = model.returns.join(end_weights(model.returns, share, min_obs), "ts")
     pairs = linear.pairs(model.factors)
     sums = weighted.agg(*[F.sum(F.col("weight") * F.col(a) * F.col(b)) * ppy * horizon for a, b in pairs]).first()
-    ahead = forecasts(model.residuals, "residual", method, share, min_obs).select("symbol", (F.col("variance") * horizon * ppy).alias("new")).persist()
+    ahead = forecasts(model.residuals, "residual", method, share, min_obs).select("symbol", (F.col("variance") * horizon * ppy).alias("new"))
+    ahead = saved(ahead, "forecasts")
     if None in sums or ahead.isEmpty():
         return model
     specific = model.specific.join(ahead, "symbol", "left").select("symbol", F.coalesce("new", "variance").alias("variance"))

@@ -7,38 +7,38 @@ from pyspark.sql import functions as F
 
 from ..operators import risk, riskmodel, scan
 from ..sources import bars
-from .queries import CC, HOUR, RETS, WEEK, W, r, returns_of, tidy
+from .queries import CC, HOUR, RETS, WEEK, W, r, tidy, weekly_returns
 
 PPY = 52.0
 STYLES = ["size", "dispersion"]
 MIN_OBS = 60
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.complete_cases(returns_of(bars.weekly(spark, sf)).select("ts", "symbol", "ret"), 100)
+def panel(rets: DataFrame) -> DataFrame:
+    return risk.complete_cases(rets.select("ts", "symbol", "ret"), 100)
 
 
-def styles(spark: SparkSession, sf: str) -> DataFrame:
+def styles(rets: DataFrame) -> DataFrame:
     """Slow exposures of each name: the logarithm of its mean volume, and the deviation of its returns."""
-    return returns_of(bars.weekly(spark, sf)).groupBy("symbol").agg(F.ln(F.avg("volume")).alias("size"), F.stddev_samp("ret").alias("dispersion"))
+    return rets.groupBy("symbol").agg(F.ln(F.avg("volume")).alias("size"), F.stddev_samp("ret").alias("dispersion"))
 
 
-def model(spark: SparkSession, sf: str) -> riskmodel.FactorModel:
-    return riskmodel.factor_model(panel(spark, sf), styles(spark, sf), STYLES, PPY)
+def model(rets: DataFrame) -> riskmodel.FactorModel:
+    return riskmodel.factor_model(panel(rets), styles(rets), STYLES, PPY)
 
 
-def annual(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.covariance(panel(spark, sf)).select("i", "j", (F.col("cov") * PPY).alias("cov"))
+def annual(rows: DataFrame) -> DataFrame:
+    return risk.covariance(rows).select("i", "j", (F.col("cov") * PPY).alias("cov"))
 
 
-def books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def books(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A book of weights by the last digit of the name, and an equal-weighted benchmark."""
-    names = panel(spark, sf).select("symbol").distinct()
+    names = rows.select("symbol").distinct()
     return names.select("symbol", ((F.right("symbol", F.lit(1)).cast("double") + 1) / 100).alias("weight")), names.select("symbol", F.lit(0.04).alias("weight"))
 
 
 def c_ewma_series(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scan.ewma_variance(returns_of(bars.weekly(spark, sf)), decay=0.97, min_obs=20)
+    rows = scan.ewma_variance(weekly_returns(spark, sf), decay=0.97, min_obs=20)
     return tidy(rows.select("ts", "symbol", "i", "variance"))
 
 
@@ -47,34 +47,37 @@ def c_running(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r_streamed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = panel(spark, sf)
+    rows = panel(weekly_returns(spark, sf))
     return tidy(risk.streamed_covariance(rows, [x.symbol for x in rows.select("symbol").distinct().collect()]), 8)
 
 
 def r_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(riskmodel.assembled(model(spark, sf)))
+    return tidy(riskmodel.assembled(model(weekly_returns(spark, sf))))
 
 
 def r_conditional(spark: SparkSession, sf: str) -> DataFrame:
-    rows, cov = panel(spark, sf), annual(spark, sf)
+    rows = panel(weekly_returns(spark, sf))
+    cov = annual(rows)
     both = [riskmodel.conditioned(cov, rows, m, PPY, min_obs=MIN_OBS).select(F.lit(m).alias("method"), "i", "j", "cov") for m in ("ewma", "har")]
     return tidy(both[0].unionByName(both[1]))
 
 
 def r_conditional_factor(spark: SparkSession, sf: str) -> DataFrame:
-    both = [riskmodel.assembled(riskmodel.conditioned_model(model(spark, sf), m, PPY, min_obs=MIN_OBS)).select(F.lit(m).alias("method"), "i", "j", "cov") for m in ("ewma", "har")]
+    made = model(weekly_returns(spark, sf))
+    both = [riskmodel.assembled(riskmodel.conditioned_model(made, m, PPY, min_obs=MIN_OBS)).select(F.lit(m).alias("method"), "i", "j", "cov") for m in ("ewma", "har")]
     return tidy(both[0].unionByName(both[1]), 5)
 
 
 def r_regimes(spark: SparkSession, sf: str) -> DataFrame:
-    rows, cov = panel(spark, sf), annual(spark, sf)
+    rows = panel(weekly_returns(spark, sf))
+    cov = annual(rows)
     before = riskmodel.diagonal(cov)
     both = [riskmodel.regimes(before, riskmodel.diagonal(riskmodel.conditioned(cov, rows, m, PPY, min_obs=MIN_OBS))).withColumn("method", F.lit(m)) for m in ("ewma", "har")]
     return tidy(both[0].unionByName(both[1]), 5)
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    return riskmodel.evaluation_points(returns_of(bars.weekly(spark, sf)), min_obs=MIN_OBS, n_points=50, decay=0.97)
+    return riskmodel.evaluation_points(weekly_returns(spark, sf), min_obs=MIN_OBS, n_points=50, decay=0.97)
 
 
 def e_forecast_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,14 +94,15 @@ def e_forecast_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def r_complete(spark: SparkSession, sf: str) -> DataFrame:
     """Names ending in 5 begin late: too few returns for the panel, so they come in at the median variance."""
-    rets = returns_of(bars.weekly(spark, sf)).where("right(symbol, 1) <> '5' or ts >= '1998-01-01'").select("ts", "symbol", "ret")
+    rets = weekly_returns(spark, sf).where("right(symbol, 1) <> '5' or ts >= '1998-01-01'").select("ts", "symbol", "ret")
     cov = risk.covariance(risk.complete_cases(rets, 100)).select("i", "j", (F.col("cov") * PPY).alias("cov"))
     return tidy(riskmodel.completed(cov, rets))
 
 
 def r_queries(spark: SparkSession, sf: str) -> DataFrame:
-    cov = annual(spark, sf)
-    book, bench = books(spark, sf)
+    rows = panel(weekly_returns(spark, sf))
+    cov = annual(rows)
+    book, bench = books(rows)
     one = lambda metric, df, value, i="symbol", j=None: df.select(F.lit(metric).alias("metric"), (F.col(i) if i else F.lit("")).alias("i"), (F.col(j) if j else F.lit("")).alias("j"), F.col(value).alias("value"))
     rows = one("variance", riskmodel.variance(cov, book), "variance", None)
     for more in (
@@ -111,8 +115,9 @@ def r_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r_book_split(spark: SparkSession, sf: str) -> DataFrame:
-    book, bench = books(spark, sf)
-    made, rows = model(spark, sf), None
+    rets = weekly_returns(spark, sf)
+    book, bench = books(panel(rets))
+    made, rows = model(rets), None
     for name, weights in (("book", book), ("benchmark", bench)):
         one = riskmodel.model_split(made, weights).withColumn("book", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
