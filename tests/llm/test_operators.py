@@ -129,6 +129,37 @@ def test_jaccard_hot_passage_is_not_quadratic(spark, monkeypatch):
     assert shipped[1] <= 5.3 * shipped[0]
 
 
+def test_jaccard_ships_only_keys_that_are_searched(spark, monkeypatch):
+    real, kept = jaccard._search, []
+
+    def looking(every):
+        run = real(every)
+
+        def looked(batches):
+            def seen():
+                for b in batches:
+                    keys = b.column("keys").to_pylist() if "keys" in b.schema.names else []
+                    bad = [k for k, low in zip(b.column("key").to_pylist(), keys, strict=False) if any(x >= k for x in low)]
+                    if bad or (keys and not every):
+                        raise ValueError("keys that no one reads")
+                    yield b
+
+            yield from run(seen())
+
+        kept.append(every)
+        return looked
+
+    monkeypatch.setattr(jaccard, "_search", looking)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    # 40 texts that quote one passage, and a pair beside each.
+    passage = [f"p{k}" for k in range(60)]
+    own = [[f"o{d}x{k}" for k in range(40)] for d in range(40)]
+    texts = [" ".join([*passage, *w]) for w in own] + [" ".join([*passage, *w, "tail"]) for w in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {k: k % 40 for k in range(80)}
+    assert False in kept and True in kept
+
+
 def test_jaccard_links_come_from_trees(monkeypatch):
     rng = random.Random(7)
     texts = [words(rng, 80, 10_000) for _ in range(20)]

@@ -455,7 +455,12 @@ def _tasks(held: DataFrame) -> DataFrame:
 
 
 def _found(tasks: DataFrame, bitmaps: DataFrame, every: bool) -> DataFrame:
+    """The pairs of all tasks (every), or the likeliest of each component."""
     rows = tasks.join(bitmaps, "node")
+    if every:
+        # Only the tasks' own lesser keys tell a pair earlier: no other key of a class goes along.
+        of = tasks.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        rows = rows.join(of, "node").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
     found = rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(_search(every), _PAIRS)
     if every:
         return found.drop("likeness").distinct()
@@ -473,8 +478,7 @@ def _complete(work: _Work, held: DataFrame, component: DataFrame, bitmaps: DataF
     again = _mixed_keys(fine, component)
     if again.isEmpty():
         return found
-    known = bitmaps.drop("keys").join(fine.select("node", F.col("keys.key").alias("keys")), "node")
-    return found.unionByName(_found(_tasks(again), known, True))
+    return found.unionByName(_found(_tasks(again), bitmaps, True))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple[DataFrame, DataFrame]:
@@ -483,8 +487,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple
     made = map_texts(rows.withColumn("h", F.xxhash64("body")), "body", _profile(None if exact else KEYS), "n_shingles long, print binary, keys array<bigint>", lower=True)
     profile = saved(made.drop("body"), "profiles")
     some = profile.where("id is not null and n_shingles > 0")
-    reps = some.groupBy("print").agg(F.min("id").alias("rep"))
-    member = some.select("print", "id", "n_shingles", "keys").join(reps, "print").where("id = rep").dropDuplicates(["print"])
+    # Rows of one print have one set, so any row's size and keys will do.
+    member = some.groupBy("print").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     classes = saved(member.select(F.monotonically_increasing_id().alias("node"), "id", "print", "n_shingles", "keys"), "classes")
 
     lists = saved(_shared_keys(classes, exact), "keys")
@@ -493,7 +497,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple
     texts = work.with_texts(homes.select("id", "node", "print", "home", "salt"))
     settled_at_home = saved(texts.repartition("home", "salt").sortWithinPartitions("home", "salt", "node").mapInArrow(_at_home, "node long, component long, bitmap binary"), "trees")
     component = settled_at_home.select("node", "component")
-    bitmaps = settled_at_home.select("node", "bitmap").join(homes.select("node", F.col("keys.key").alias("keys")), "node")
+    bitmaps = settled_at_home.select("node", "bitmap")
 
     for every in (False, True):
         held = _mixed_keys(homes, component)
