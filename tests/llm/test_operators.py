@@ -129,6 +129,34 @@ def test_jaccard_hot_passage_is_not_quadratic(spark, monkeypatch):
     assert shipped[1] <= 5.3 * shipped[0]
 
 
+def test_jaccard_near_copies_go_to_trees_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    real, shipped = jaccard._found, []
+
+    def counting(tasks, bitmaps, every):
+        shipped.append((every, tasks.count()))
+        return real(tasks, bitmaps, every)
+
+    monkeypatch.setattr(jaccard, "_found", counting)
+    # Near copies about the threshold: some link, many do not, and all share most of their keys.
+    rng = random.Random(23)
+    base, n = words(rng, 150, 10_000).split(), 240
+    texts = [" ".join(f"z{k}x{j}" if rng.random() < 0.022 else w for j, w in enumerate(base)) for k in range(n)]
+    sets = [shingle_set(t) for t in texts]
+    least = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if least[a] != least[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = sorted((least[a], least[b]))
+                least = [p if x == q else x for x in least]
+    assert len(set(least)) > 20 and max(least.count(x) for x in set(least)) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert got == dict(enumerate(least))
+    assert {every for every, _ in shipped} == {False, True}
+    assert sum(rows for _, rows in shipped) <= 12 * n
+
+
 def test_jaccard_ships_only_keys_that_are_searched(spark, monkeypatch):
     real, kept = jaccard._search, []
 

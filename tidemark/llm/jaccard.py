@@ -17,7 +17,9 @@ whose sizes are too far apart, whose largest possible overlap is too small, or t
    the order of likeness, and classes already joined are not compared again.
 4. Picks: keys that still hold several components from several homes have trees of their own, in
    parts of BLOCK again. Of each tree, each component keeps its few likeliest pairs. They join
-   the parts of a large group of near copies, each of which a home has made one component.
+   the parts of a large group of near copies, each of which a home has made one component. All
+   of the group have most of its keys, so large keys that hold nearly the same classes are one
+   key here and in 5: a class is sent to a group's trees once, not once for each shared key.
 5. Rest: keys that still hold several components are searched completely. Classes of a key with
    more than BLOCK of them, as under a passage that very many texts quote, get finer keys in its
    place: of all their shingles, those that several components have, and a pair of size cells.
@@ -36,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -53,6 +55,8 @@ KEYS, SHARED = 48, 14
 BLOCK, MOST = 512, 1 << 22
 #: Pairs that a component keeps in step 4, and a class of all its keys.
 PICKS = 3
+#: A large key becomes part of another where this percentage of its classes is at least.
+WITHIN = 75
 #: Rows of roles that are broadcast at most, about 20 MB; beyond that the join is shuffled.
 SMALL = 500_000
 LEAF, FAN = 16, 8
@@ -395,6 +399,26 @@ def _mixed_keys(homes: DataFrame, component: DataFrame) -> DataFrame:
     return saved(entries.join(keys, "key"), "mixed-keys")
 
 
+def _families(held: DataFrame) -> DataFrame:
+    """held with one key for the large keys that hold nearly the same classes, as all those of a group of near copies do.
+
+    A large key goes into the one that is the most frequent of most of its classes, and takes all
+    its classes there. So whoever met under a key still meets. Only one step is taken: a key that
+    others go into may itself go elsewhere, and they do not follow it, so groups do not chain.
+    """
+    large = held.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return held
+    top = F.max(F.struct("n", "key")).over(Window.partitionBy("node"))["key"]
+    votes = large.select("key", "n", top.alias("top")).groupBy("key", "n", "top").agg(F.count("*").alias("votes"))
+    most = votes.groupBy("key", "n").agg(F.max(F.struct("votes", "top")).alias("x"))
+    into = saved(most.select("key", F.when(100 * F.col("x.votes") >= WITHIN * F.col("n"), F.col("x.top")).otherwise(F.col("key")).alias("into")), "families")
+    rows = large.drop("n").join(into, "key").withColumn("key", F.col("into")).drop("into").dropDuplicates(["key", "node"])
+    rows = saved(rows, "family-keys")
+    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n")), "key-counts")
+    return held.where(F.col("n") <= BLOCK).unionByName(saved(rows.join(sizes, "key"), "family-keys"))
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of classes -> all shingle hashes of each."""
     for batch in batches:
@@ -456,11 +480,12 @@ def _tasks(held: DataFrame) -> DataFrame:
 
 def _found(tasks: DataFrame, bitmaps: DataFrame, every: bool) -> DataFrame:
     """The pairs of all tasks (every), or the likeliest of each component."""
-    rows = tasks.join(bitmaps, "node")
     if every:
         # Only the tasks' own lesser keys tell a pair earlier: no other key of a class goes along.
-        of = tasks.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        rows = rows.join(of, "node").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
+        of = tasks.groupBy("node").agg(F.collect_set("key").alias("keys")).join(bitmaps, "node")
+        rows = tasks.join(of, "node").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
+    else:
+        rows = tasks.join(bitmaps, "node")
     found = rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(_search(every), _PAIRS)
     if every:
         return found.drop("likeness").distinct()
@@ -478,7 +503,7 @@ def _complete(work: _Work, held: DataFrame, component: DataFrame, bitmaps: DataF
     again = _mixed_keys(fine, component)
     if again.isEmpty():
         return found
-    return found.unionByName(_found(_tasks(again), bitmaps, True))
+    return found.unionByName(_found(_tasks(_families(again)), bitmaps, True))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple[DataFrame, DataFrame]:
@@ -506,7 +531,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, exact: bool) -> tuple
         if every:
             pairs = _complete(work, held, component, bitmaps)
         else:
-            parts = held.withColumn("task", F.xxhash64("key", F.pmod(F.xxhash64("node"), _parts("n")))).withColumn("side", F.lit(0)).drop("n")
+            parts = _families(held).withColumn("task", F.xxhash64("key", F.pmod(F.xxhash64("node"), _parts("n")))).withColumn("side", F.lit(0)).drop("n")
             pairs = _found(parts, bitmaps, every)
         links = work.links(saved(pairs, "pairs"))
         if not links.isEmpty():
